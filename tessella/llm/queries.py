@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import packing, simhash, token_files
-from tessella.llm.common import load
+from tessella.llm import langid, line_dedup, packing, simhash, token_files, toxicity
+from tessella.llm.common import held_out, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,12 +37,44 @@ def op1_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def piece_vocabulary() -> list[str]:
+    """The pieces of the public vocabulary, without its control and byte pieces."""
+    import public_tokenizers
+    import sentencepiece
+
+    p = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    return [p.id_to_piece(i) for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i))]
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
+    return toxicity.fit(toxicity.sample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), ~held_out()))
+
+
+@query()
+def op2_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(load(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 @query()
 def op3_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(load(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@query(line_dedup.ORACLE)
+def op6_winnowing_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.drop_repeated_runs(load(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "text", "n_lines", "removed_lines")
+
+
+@query()
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = langid.fit(langid.sample(docs, ~held_out()), piece_vocabulary())
+    return langid.predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 @query()
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
