@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontamination, langid, line_dedup, packing, simhash, token_files, topk, toxicity
+from tessella.llm import decontamination, langid, line_dedup, packing, pii, simhash, token_files, topk, toxicity, url_filter
 from tessella.llm.common import held_out, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,21 @@ def op3_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+#: The queries' key; a corpus that is handed on has a secret one.
+SURROGATE_KEY = b"a key for the registered query"
+
+
+@query()
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = pii.replace(load(spark, sf_dir, "documents"), SURROGATE_KEY)
+    return replaced.select("row.doc_id", "text", "n_entities")
+
+
+@query()
+def op5_link_graph_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(load(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
 @query(line_dedup.ORACLE)
 def op6_winnowing_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.drop_repeated_runs(load(spark, sf_dir, "documents"))
