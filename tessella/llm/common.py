@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of jobs that are over: it does so as their handles are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def held_out(doc_id: str = "doc_id") -> F.Column:
     """True where crc32 of the id as text leaves 1 when divided by 3; false for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -68,71 +76,95 @@ def components(edges: DataFrame, src: str = "u", dst: str = "v") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
 
 
+#: White space as the tokenizers' patterns know it.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Letters and numbers below U+0250; all others there are marks and signs.
+LETTERS, NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc\xbd\xbe"
+#: Texts with none of these are cut finer: every character's kind is known and no contraction occurs.
+INTRICATE = re.compile("['\u0250-\U0010ffff]")
+#: A text's pieces that the byte-level tokenizer never joins: a word with the space before it,
+#: white space that another one follows, a single white space.
+BYTE_PIECES = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
+BYTE_FINER = re.compile(f" ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{WHITE}{LETTERS}{NUMBERS}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
+#: The same for the tokenizer that drops white space and lower-cases.
+WORD_PIECES = re.compile(f"[^{WHITE}]+")
+WORD_FINER = re.compile(f"[{LETTERS}]+|[^{WHITE}{LETTERS}]+")
+
+
+def byte_pieces(text: str) -> list[str]:
+    return (BYTE_PIECES if INTRICATE.search(text) else BYTE_FINER).findall(text)
+
+
+def word_pieces(text: str) -> list[str]:
+    return WORD_PIECES.findall(text) if INTRICATE.search(text) else WORD_FINER.findall(text.lower())
+
+
 class WordIds(dict):
     """The token ids of text pieces as little-endian unsigned 32-bit bytes.
 
-    ``joined(keys)`` gives the ids of a text cut into ``keys``. Pieces not seen yet are encoded
-    by the tokenizer, all at once; the memory is emptied beyond ``most`` pieces, and a piece of
-    over ``LONG`` characters is forgotten with the next that is new.
+    ``encoded(texts)`` gives each text's ids. Pieces not seen yet are encoded by the tokenizer,
+    all at once: words as one text, cut again where the vocabulary marks a word's beginning or
+    end, other pieces each for itself. The memory is emptied beyond ``most`` pieces, and a piece
+    of over ``LONG`` characters is forgotten with the next that is new.
     """
 
     LONG = 200
 
-    def __init__(self, tokenizer_json: str, most: int = 400_000):
+    def __init__(self, tokenizer_json: str, cut: Callable[[str], list[str]], most: int = 400_000):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.most, self.long = Tokenizer.from_str(tokenizer_json), most, []
+        self.tokenizer, self.cut, self.most, self.long = Tokenizer.from_str(tokenizer_json), cut, most, []
         self.tokenizer.encode_special_tokens = True
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.marks = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.marks[[k for t, k in vocabulary.items() if (t.endswith(suffix) if suffix else t.startswith("\u0120"))]] = True
+        self.at_end, self.word = bool(suffix), re.compile(f"[{LETTERS}]+" if suffix else f" [{LETTERS}]+")
 
-    def learn(self, keys: Iterable[str]) -> None:
-        import numpy as np
-
+    def learn(self, keys: set[str]) -> None:
         for key in self.long:
             self.pop(key, None)
-        new = [k for k in set(keys) if k not in self]
+        new = [k for k in keys if k not in self]
         if len(self) + len(new) > self.most:
             self.clear()
-            new = list(set(keys))
+            new = list(keys)
         self.long = [k for k in new if len(k) > self.LONG]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
+        words = [k for k in new if self.word.fullmatch(k)]
+        rest = [k for k in new if not self.word.fullmatch(k)]
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([(" " if self.at_end else "").join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            marked = np.flatnonzero(self.marks[ids])
+            if len(marked) != len(part):
+                rest += part
+                continue
+            ends = (marked + 1 if self.at_end else np.r_[marked[1:], len(ids)]) * 4
+            whole, start = ids.tobytes(), 0
+            for key, end in zip(part, ends.tolist(), strict=True):
+                self[key] = whole[start:end]
+                start = end
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
             for key, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self[key] = np.array(code.ids, dtype="<u4").tobytes()
 
-    def joined(self, keys: list[str]) -> bytes:
-        try:
-            return b"".join(map(self.__getitem__, keys))
-        except KeyError:
-            self.learn(keys)
-            return b"".join(map(self.__getitem__, keys))
-
-
-#: White space as the tokenizers' patterns know it.
-WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A text's pieces that the byte-level tokenizer never joins: a word with the space before it,
-#: white space that another one follows, a single white space.
-BYTE_PIECES = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
-#: The same for the tokenizer that drops white space and lower-cases.
-WORD_PIECES = re.compile(f"[^{WHITE}]+")
-
-
-def byte_pieces(text: str) -> list[str]:
-    return BYTE_PIECES.findall(text)
-
-
-def word_pieces(text: str) -> list[str]:
-    return WORD_PIECES.findall(text.lower() if text.isascii() else text)
+    def encoded(self, texts: list[str]) -> Iterator[bytes]:
+        for run in batches_of(texts, 2_000_000):
+            cut = [self.cut(t) for t in run]
+            self.learn(set().union(*cut))
+            for keys in cut:
+                yield b"".join(map(self.__getitem__, keys))
 
 
 _WORD_IDS: dict[int, WordIds] = {}
 
 
-def word_ids(tokenizer_json: str) -> WordIds:
+def word_ids(tokenizer_json: str, cut: Callable[[str], list[str]]) -> WordIds:
     """One ``WordIds`` for each tokenizer and Python worker."""
     key = hash(tokenizer_json)
     if key not in _WORD_IDS:
-        _WORD_IDS[key] = WordIds(tokenizer_json)
+        _WORD_IDS[key] = WordIds(tokenizer_json, cut)
     return _WORD_IDS[key]
 
 

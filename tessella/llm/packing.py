@@ -30,11 +30,12 @@ def pieces_of(docs: DataFrame, tokenizer_json: str, end_id: int, length: int = L
     code = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # one tokenizer's file: its size is fixed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = word_ids(code.value), np.array([end_id], dtype="<u4").tobytes()
+        encode, end = word_ids(code.value, word_pieces), np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
             rows = []
-            for key, x in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                ids = encode.joined(word_pieces(x.as_py() or "")) + end
+            texts = [x or "" for x in b.column("text").to_pylist()]
+            for key, ids in zip(b.column("doc_id").to_pylist(), encode.encoded(texts), strict=True):
+                ids += end
                 total = len(ids) // 4
                 rows += [(key, at, min(length, total - at), crc32(ids[4 * at : 4 * (at + length)]), total) for at in range(0, total, length)]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]

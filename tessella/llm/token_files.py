@@ -153,19 +153,20 @@ def write_tokens(docs: DataFrame, tokenizer_json: str, end_id: int, path: str, p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, end = word_ids(code.value), np.array([end_id], dtype="<u4").tobytes()
+        encode, end = word_ids(code.value, pieces), np.array([end_id], dtype="<u4").tobytes()
         shard, name = TaskContext.get().partitionId(), ""
         writer = stream = None
         for b in batches:
-            for key, x in zip(b.column("doc_id"), b.column("text"), strict=True):
+            texts = [x or "" for x in b.column("text").to_pylist()]
+            for key, ids in zip(b.column("doc_id").to_pylist(), encode.encoded(texts), strict=True):
                 if writer is None:
                     name = f"{path}/{shard:06d}-{uuid.uuid4().hex}.zst"
                     system, at = _opened(name)
                     system.create_dir(at.rpartition("/")[0], recursive=True)
                     stream = system.open_output_stream(at, compression=None)
                     writer = FrameWriter(stream, width)
-                ids = encode.joined(pieces(x.as_py() or "")) + end
-                writer.add(key.as_py(), ids if width == 4 else np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes())
+                ids += end
+                writer.add(key, ids if width == 4 else np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes())
         if writer:
             writer.close()
             size = stream.tell()

@@ -81,18 +81,21 @@ def test_near_duplicates_odd_rows(spark):
 
 @pytest.mark.parametrize("name, pieces", [("byte_bpe_50k.json", byte_pieces), ("word_bpe_49k.json", word_pieces)])
 def test_pieces_give_the_tokenizers_ids(name, pieces):
-    ids = WordIds(tokenizer(name), most=300)
+    ids = WordIds(tokenizer(name), pieces, most=300)
     rng = random.Random(5)
     alphabet = list("abzAZ019.,!'\"-_ \n\t\r\x1c\x85\xa0 　éßΣςİ日本") + ["  ", "\n\n", " '", "'s", "'re", "é", "́", "<|endoftext|>"]
-    for _ in range(1500):
-        text = "".join(rng.choices(alphabet, k=rng.randrange(30)))
-        want = ids.tokenizer.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(ids.joined(pieces(text)), "<u4").tolist() == want, repr(text)
+    plain = list("abcéßÉ  .,9²A")
+    texts = ["".join(rng.choices(alphabet if i % 2 else plain, k=rng.randrange(30))) for i in range(4000)]
+    for text, got in zip(texts, ids.encoded(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    words = [" ".join(f"wörd{rng.randrange(10**6):x}ab" for _ in range(50)) for _ in range(60)]
+    for text, got in zip(words, ids.encoded(words), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_token_files_round_trip(spark, tmp_path):
     code = tokenizer("byte_bpe_50k.json")
-    encode = WordIds(code).tokenizer
+    encode = WordIds(code, byte_pieces).tokenizer
     rows = [(7 - i, t, "x", 1) for i, t in enumerate(TEXTS)] + [(None, "no id", "x", 1), (3, "again", "x", 1)]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     files = token_files.write_tokens(docs, code, 0, f"file://{tmp_path}")
@@ -175,7 +178,7 @@ def test_packing(spark):
     docs = [(i, " ".join(rng.choices(["word", "other", "é", "thing."], k=rng.randrange(90)))) for i in range(300)] + [(900 + i, t) for i, t in enumerate(TEXTS)]
     df = spark.createDataFrame([(*d, "x", 1) for d in docs], SCHEMA)
     rows = packing.pack_documents(df, code, 2, length=64).collect()
-    check_packed(rows, docs, 64, WordIds(code).tokenizer)
+    check_packed(rows, docs, 64, WordIds(code, word_pieces).tokenizer)
     assert packing.pack_documents(df.limit(0), code, 2).count() == 0
     twice = packing.pack_documents(df.where(F.col("doc_id") == 904).union(df.where(F.col("doc_id") == 904)), code, 2).collect()
     assert len(twice) == 2
