@@ -113,7 +113,7 @@ def _own_out(scores: np.ndarray, queries: list[dict], ids: np.ndarray) -> np.nda
 def _histogram(queries: list[dict], scores: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     rows, other = [], _own_out(scores, queries, ids)
     for q, s, ok in zip(queries, scores, other, strict=True):
-        s = s[ok & (s >= q["low"]) & (s < q["low"] + q["width"] * BINS)]
+        s = s[ok & (s >= q["low"]) & (s < q["high"])]
         if len(s) > q["need"]:
             s = np.partition(s, len(s) - q["need"])[len(s) - q["need"] :]
         bins, counts = np.unique((s - q["low"]) // q["width"], return_counts=True)
@@ -155,7 +155,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_i
 
     def scored(queries: DataFrame, report, width: int, schema: str) -> DataFrame:
         each = queries.select(F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(True).alias("query"), "vec_id", "dim", "v", "low", "need")
-        both = cands.unionByName(each).withColumn("width", F.lit(width).cast("long"))
+        both = cands.unionByName(each).withColumns({"width": F.lit(width).cast("long"), "high": F.col("low") + width * BINS})
         return both.repartition("slice").sortWithinPartitions("slice", "dim", "query").mapInArrow(_by_slice(report), schema)
 
     while True:

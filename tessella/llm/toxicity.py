@@ -148,7 +148,8 @@ def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
     share of label 1.
     """
     rows = list({t[:60]: (t, y) for t, y in rows}.values())  # copies share their beginning and count once
-    halves = rows[::2], rows[1::2]
+    by_label = [[r for r in rows if r[1] == k] for k in (0, 1)]
+    halves = [by_label[0][k::2] + by_label[1][k::2] for k in (0, 1)]
     if any({y for _, y in half} != {0, 1} for half in halves):
         share = (sum(y for _, y in rows) + 0.5) / (len(rows) + 1)
         return ToxicityModel(b"", b"", [float(np.log(share / (1 - share)))] + [0.0] * (len(SAVED) + 1))
