@@ -7,9 +7,10 @@ longest item, so that a whole item always lies in one of them. A passage retriev
 above the threshold; each is then verified: five-word shingles of the item's question (all but
 its last sentence) and of its answer (the last sentence) must be found in the passage.
 
-Only passages whose rarer terms can reach the threshold are searched at all: the terms of most
-documents are set aside while no item can reach it by them alone, which bounds any passage's
-score by what those terms give at most plus the sum of its other terms' greatest weights.
+Only passages that can reach the threshold are searched at all. The commonest terms are set
+aside as long as they give no item more than a share of its score; for the others, each half
+passage's weights are summed by item, for a document's passages at once. An item's sums in two
+halves and what the common terms give it at most bound its score in the passage.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 K1, B = 1.2, 0.75
 #: Share of an item's own score from which a passage is retrieved, and shingle overlap from which it counts.
 RETRIEVE, OVERLAP, SHINGLE = 0.55, 0.8, 5
+#: Share of an item's score that common terms may give.
+SET_ASIDE = 0.3
 #: Postings of a block, items of an index (more items make more indexes), words of a passage at least.
 BLOCK, SHARD_ITEMS, PASSAGE = 64, 20_000, 128
 
@@ -70,23 +73,41 @@ class ItemIndex:
         self.docs = [[k for k, _ in postings[t]] for t in order]
         self.weights = [[x for _, x in postings[t]] for t in order]
         self.block_max = [[max(w[i : i + BLOCK]) for i in range(0, len(w), BLOCK)] for w in self.weights]
-        self.greatest = np.array([max(w) for w in self.weights] + [0.0])  # the last for words that are no terms
-        reach, self.common, self.common_reach = np.zeros(len(items)), 0, 0.0
+        self.greatest = [max(w) for w in self.weights]
+        reach, self.common = np.zeros(len(items)), 0
         for t in range(len(order)):
-            reach[self.docs[t]] += self.weights[t]
-            if reach.max() > RETRIEVE / 2:
+            more = reach.copy()
+            more[self.docs[t]] += self.weights[t]
+            if more.max() > SET_ASIDE:
                 break
-            self.common, self.common_reach = t + 1, float(reach.max())
-        self.bound = self.greatest.copy()
-        self.bound[: self.common] = 0
+            reach, self.common = more, t + 1
+        self.reach = reach
+        self.ends = np.r_[0, np.cumsum([len(d) for d in self.docs], dtype=np.int64)].astype(np.int64)
+        self.flat_docs = np.array([k for d in self.docs for k in d], dtype=np.int64)
+        self.flat_weights = np.array([x for w in self.weights for x in w])
 
     def passages(self, found: np.ndarray) -> list[int]:
-        """Starts of the passages that may reach the threshold; ``found``: the words' term numbers."""
-        n = len(found)
-        starts = np.arange(0, max(n - self.passage // 2, 1), self.passage // 2)
-        sums = np.r_[0, np.cumsum(self.bound[found])]
-        most = sums[np.minimum(starts + self.passage, n)] - sums[starts]
-        return starts[most + self.common_reach >= RETRIEVE - 1e-9].tolist()
+        """Starts of the passages that may reach the threshold; ``found``: the words' term numbers.
+
+        For every half passage the weights of its rarer terms are summed by item; two halves, and
+        what the common terms can give that item at most, bound its score.
+        """
+        half, n_items, n_terms = self.passage // 2, len(self.ids), len(self.term)
+        blocks = -(-len(found) // half)
+        step, starts = max(2, 4_000_000 // n_items), []
+        for first in range(0, max(blocks - 1, 1), step - 1):
+            part = found[first * half : (first + step) * half]
+            block = np.arange(len(part)) // half
+            rare = (part >= self.common) & (part < n_terms)
+            keys = np.unique(block[rare] * n_terms + part[rare])
+            b, t = keys // n_terms, keys % n_terms
+            size = self.ends[t + 1] - self.ends[t]
+            at = np.repeat(self.ends[t] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            n = min(step, blocks - first)
+            sums = np.bincount(np.repeat(b, size) * n_items + self.flat_docs[at], weights=self.flat_weights[at], minlength=n * n_items).reshape(n, n_items)
+            both = sums[:-1] + sums[1:] if n > 1 else sums
+            starts += [(first + k) * half for k in np.flatnonzero((both + self.reach >= RETRIEVE - 1e-9).any(axis=1)).tolist()]
+        return starts
 
     def search(self, terms: list[int], least: float = RETRIEVE) -> list[tuple[int, float]]:
         """Block-max WAND: all items (by position) that score ``least`` or more."""
