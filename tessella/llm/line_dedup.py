@@ -10,47 +10,89 @@ occurs earlier (in a smaller document id, or further up in the same document) ma
 go; windows that overlap or touch make one run. So what goes is exactly the lines in repeated
 runs of ``WINDOW`` lines or more, and the first occurrence stays.
 
-No pairs are formed: each fingerprint and each window is reduced to its count or its first
-position before it is joined, so that a passage that a third of all documents share costs one
+No pairs are formed: each fingerprint is reduced to its count, and each window to its first
+position, before it is joined, so that a passage that a third of all documents share costs one
 row for each of its occurrences.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import stored
+from tessella.llm.common import release, stored
 
 #: Consecutive lines that make a run.
 WINDOW = 4
+#: A position's bits for the line; the document has the 39 above. Lines and documents beyond are refused.
+AT_BITS = 24
+MOST_DOCS = 1 << 39
 #: One line with the punctuation or line breaks that end it; lines joined give the text again.
 LINE = r"[^.,;:!?\n]*[.,;:!?\n]+|[^.,;:!?\n]+"
 
 
+def once(value: Column, name: str) -> Column:
+    """``value`` as a column that is computed once a row: lambdas that use it would each compute it anew."""
+    return F.explode(F.array(value)).alias(name)
+
+
 def lines_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(LINE), F.lit(0))
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Rows (doc_id, hash, at): windows of lines that occur earlier; ``docs`` has doc_id, hash, text."""
+def _lined(docs: DataFrame, window: int) -> DataFrame:
+    """Stored rows (uid, doc_id, hash, h, chosen): line hashes and fingerprint positions.
+
+    ``uid`` is in the order of the documents. Ids that are distinct and not too large serve as
+    they are; otherwise documents are numbered in the order of id and hash.
+    """
     hashes = F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(F.btrim(x, F.lit(" \n\t\r"))))
-    lined = stored(docs.select("doc_id", "hash", hashes.alias("h")).where(F.size("h") >= window), "line-hashes")
-    starts = F.sequence(F.lit(0), F.size("h") - window)
+    own = docs.select("doc_id", "hash", once(hashes, "h")).where(F.size("h") >= window)
+    own = own.withColumn("ok", F.when(F.size("h") < 1 << AT_BITS, True).otherwise(F.raise_error(F.lit("a document has too many lines")))).where("ok")
     cut = lambda i: F.slice("h", i + 1, window)
+    starts = F.sequence(F.lit(0), F.size("h") - window)
     chosen = F.array_distinct(F.transform(starts, lambda i: (i + F.array_position(cut(i), F.array_min(cut(i)))).cast("int") - 1))
-    seeds = lined.select("doc_id", "hash", "h", F.explode(chosen).alias("pos"))
-    seed = F.get("h", F.col("pos"))
-    repeated = seeds.groupBy(seed.alias("seed")).count().where("count > 1").select("seed")
-    first = F.greatest(F.col("pos") - window + 1, F.lit(0))
-    last = F.least(F.col("pos"), F.size("h") - window)
-    around = F.transform(F.sequence(first, last), lambda i: F.xxhash64(cut(i)))
-    near = seeds.select(seed.alias("seed"), "doc_id", "hash", first.alias("first"), around.alias("windows")).join(repeated, "seed")
-    windows = near.select("doc_id", "hash", "first", F.posexplode("windows").alias("k", "window"))
-    windows = windows.select("window", "doc_id", "hash", (F.col("first") + F.col("k")).alias("at"))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "at")
-    earliest = windows.groupBy("window").agg(F.min(place).alias("earliest"))
-    return windows.join(earliest, "window").where(place > F.col("earliest")).select("doc_id", "hash", "at")
+    own = own.select("doc_id", "hash", "h", chosen.alias("chosen"))
+    plain = docs.agg(F.count("*") == F.count_distinct("doc_id"), F.min("doc_id") >= 0, F.max("doc_id") < MOST_DOCS).first()
+    if all(plain):
+        return stored(own.select(F.col("doc_id").alias("uid"), "doc_id", "hash", "h", "chosen"), "line-hashes")
+    own = stored(own.dropDuplicates(["doc_id", "hash"]), "line-hashes")
+    order = [F.asc_nulls_last("doc_id"), F.asc("hash")]
+    keys = stored(own.select("doc_id", "hash").repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "hash", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")), "line-documents")
+    sizes = keys.groupBy("part").agg(F.count("*").alias("n"), F.min("row").alias("low"))
+    base = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n") - F.col("low")).alias("base"))  # a row per partition
+    numbered = keys.join(F.broadcast(base), "part").select((F.col("row") + F.col("base")).alias("uid"), F.col("doc_id").alias("k_id"), F.col("hash").alias("k_hash"))
+    joined = own.join(numbered, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("hash") == F.col("k_hash")))
+    return stored(joined.select("uid", "doc_id", "hash", "h", "chosen"), "line-hashes")
+
+
+def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Rows (doc_id, hash, ats): where windows of lines start that occur earlier; ``docs`` has doc_id, hash, text.
+
+    Each step is a table of its own, and shuffle files go when they have served. A position is
+    one number, its document's ``uid`` before its line.
+    """
+    spark = docs.sparkSession
+    lined = _lined(docs, window)
+    place = lambda at: F.shiftleft("uid", AT_BITS) + at
+    seeds = lined.select("uid", F.posexplode(F.transform("chosen", lambda i: F.get("h", i))).alias("k", "seed"), "chosen")
+    seeds = seeds.select("seed", place(F.get("chosen", F.col("k"))).alias("place"))
+    repeated = stored(seeds.groupBy("seed").count().where("count > 1").select("seed"), "repeated-seeds")
+    release(spark)
+    met = seeds.join(repeated, "seed").groupBy(F.shiftright("place", AT_BITS).alias("uid"))
+    met = stored(met.agg(F.collect_list((F.col("place") % (1 << AT_BITS)).cast("int")).alias("seeds")), "seed-positions")
+    release(spark)
+    around = lambda p: F.sequence(F.greatest(p - window + 1, F.lit(0)), F.least(p, F.size("h") - window))
+    starts = F.array_distinct(F.flatten(F.transform("seeds", around)))
+    near = lined.select("uid", "h").join(met, "uid").select("uid", "h", F.explode(starts).alias("at"))
+    near = stored(near.select(F.xxhash64(F.slice("h", F.col("at") + 1, window)).alias("window"), place(F.col("at")).alias("place")), "line-windows")
+    release(spark)
+    earliest = near.groupBy("window").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = near.join(earliest, "window").where("place > first").groupBy(F.shiftright("place", AT_BITS).alias("uid"))
+    later = later.agg(F.collect_list((F.col("place") % (1 << AT_BITS)).cast("int")).alias("ats"))
+    later = stored(later.join(lined.select("uid", "doc_id", "hash"), "uid").select("doc_id", "hash", "ats"), "later-windows")
+    release(spark)
+    return later
 
 
 def drop_repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -62,12 +104,11 @@ def drop_repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     own = own.withColumn("hash", F.xxhash64("text"))
-    found = repeated_windows(own.select("doc_id", "hash", "text"), window)
-    by_doc = found.groupBy("doc_id", "hash").agg(F.collect_set("at").alias("ats")).withColumnsRenamed({"doc_id": "f_id", "hash": "f_hash"})
+    by_doc = repeated_windows(own.select("doc_id", "hash", "text"), window).withColumnsRenamed({"doc_id": "f_id", "hash": "f_hash"})
     joined = own.join(by_doc, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("hash") == F.col("f_hash")), "left")
     lines = lines_of(F.col("text"))
     gone = F.array_distinct(F.flatten(F.transform("ats", lambda p: F.sequence(p, p + window - 1))))
-    joined = joined.select("row", "doc_id", "text", lines.alias("lines"), gone.alias("gone"))
+    joined = joined.select("row", "doc_id", "text", gone.alias("gone"), once(lines, "lines"))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     rest = F.array_join(F.transform(left, lambda i: F.get("lines", i)), "")
     return joined.select(
