@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import dedup, identity, split
 from tessella.registry import query
-from tessella.tables import load
+from tessella.tables import load, with_checkpoints
 
 HIT = "SELECT DISTINCT d.doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)"
 LINES = """SELECT d.doc_id, d.lang, l.quality, trim(u.line) AS line FROM documents d LEFT JOIN labels l USING (doc_id),
@@ -87,10 +87,7 @@ def dedup_audit_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def dedup_greedy_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    with_checkpoints(spark)
     docs = load(spark, sf_dir, "documents").select("doc_id", F.concat_ws("-", "source", "n_chars").alias("slot"), identity.exact(F.col("text")).alias("h"))
     return dedup.greedy_two_keys(docs, "slot", "h", "doc_id")
 

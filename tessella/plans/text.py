@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import rules, url
 from tessella.operators import flow, retrieval
 from tessella.registry import query
-from tessella.tables import load
+from tessella.tables import load, with_checkpoints
 
 
 def sql_any(column: str, patterns) -> str:
@@ -187,10 +187,7 @@ h AS (SELECT href FROM l GROUP BY href HAVING count(*) <= 12), e AS (SELECT DIST
 w(node, depth) AS (SELECT min(page_id), 0 FROM pages UNION SELECT dst, depth + 1 FROM w JOIN e ON node = src WHERE depth < 4)
 SELECT node, min(depth) AS depth FROM w GROUP BY node""")
 def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    with_checkpoints(spark)
     pages = load(spark, sf_dir, "pages")
     links = pages.select("page_id", F.explode(F.array_distinct(url.hrefs(F.col("html")))).alias("href"))
     # a link that more pages share is navigation and says nothing; so no link makes many edges
@@ -240,8 +237,9 @@ def retrieval_ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item ask for it: how well TF-IDF finds it."""
     from tessella.plans.curation import hits
 
-    gold = hits(spark, sf_dir)
-    asked = load(spark, sf_dir, "documents").join(gold.select("doc_id").distinct(), "doc_id", "left_semi")
+    with_checkpoints(spark)
+    gold = hits(spark, sf_dir).checkpoint()
+    asked = load(spark, sf_dir, "documents").join(gold.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text").checkpoint()
     ranked = retrieval.blended(asked, load(spark, sf_dir, "benchmark"), "doc_id", "item_id", k=3)
     return retrieval.ranking_measures(ranked, gold, "doc_id", "item_id", 3)
 

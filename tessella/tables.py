@@ -15,3 +15,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table: {name}")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def with_checkpoints(spark: SparkSession) -> SparkSession:
+    """The session, with a checkpoint folder: the cluster's, or a local one where none is set."""
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return spark
