@@ -182,14 +182,19 @@ class Scorer:
 def sample(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> list[tuple[str, str]]:
     """The bounded sample of (language, text) where ``learn`` holds of the id.
 
-    Per language the first texts in a hashed order; Spark cuts each partition to the bound
-    before it shuffles (a window group limit).
+    Languages are counted first. A share of each language's rows, by hash and about three times
+    the bound, is ranked, and the first of them in hashed order are taken.
     """
     known = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn)
-    order = F.struct(F.xxhash64("doc_id", "text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    ranked = known.select("lang", order.alias("o")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("o.h")))
-    rows = ranked.where(F.col("r") <= SAMPLE_TEXTS).select("lang", "o.h", "o.text").collect()
+    known = known.where(F.col("lang").isNotNull() & learn)
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    if not counts:
+        return []
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], 3.0 * SAMPLE_TEXTS / r["count"])])[F.col("lang")]
+    hashed = known.where("text is not null").withColumn("h", F.xxhash64("doc_id", "text"))
+    few = hashed.where(F.pmod("h", F.lit(1 << 31)) / (1 << 31) < share).select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 31)), "h", "text")))
+    rows = ranked.where(F.col("r") <= SAMPLE_TEXTS).select("lang", "h", "text").collect()
     return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], r["h"]))]
 
 
