@@ -110,7 +110,7 @@ class WordIds(dict):
 
     LONG = 200
 
-    def __init__(self, tokenizer_json: str, cut: Callable[[str], list[str]], most: int = 400_000):
+    def __init__(self, tokenizer_json: str, cut: Callable[[str], list[str]], most: int = 800_000):
         from tokenizers import Tokenizer
 
         super().__init__()

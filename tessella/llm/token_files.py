@@ -50,7 +50,7 @@ class FrameWriter:
 
     out: object
     width: int = 4
-    level: int = 3
+    level: int = 1
     docs: list = field(default_factory=list)
     held: int = 0
     doc_table: list = field(default_factory=list)
