@@ -54,15 +54,36 @@ PATTERNS = {
     "name": rf"\b(?:{'|'.join(t for ts in TITLES.values() for t in ts)})\.?\s+(?P<name>{_CAP}(?:\s{_CAP}){{0,2}})",
 }
 _ANY = re.compile("|".join(f"(?P<{k}_>{v})" for k, v in PATTERNS.items()))
-#: No entity is without one of these, so most texts need no more than this search.
-_MAY = re.compile(rf"@|\d|\b(?:{'|'.join(t for ts in TITLES.values() for t in ts)})\b|(?i:password|passwd|token|secret|api[_-]?key)|(?:sk|pk|ghp|xox[bp])[-_]")
+_DIGIT = re.compile(r"\d")
+_TITLE_WORDS = tuple(t for ts in TITLES.values() for t in ts)
+_MARKS = ("password", "passwd", "token", "secret", "api", "sk-", "sk_", "pk-", "pk_", "ghp-", "ghp_", "xoxb", "xoxp")
 _SHAPE = {"lower": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщыэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω", "hex": "0123456789abcdef"}
 
 
+def _may(text: str) -> bool:
+    """False only where no entity can be: each has a digit, an @, a title or one of a few words."""
+    if "@" in text or _DIGIT.search(text) or any(t in text for t in _TITLE_WORDS):
+        return True
+    low = text.lower()
+    return any(m in low for m in _MARKS)
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, type, canonical form) of every entity, left to right, none overlapping."""
-    if not _MAY.search(text):
+    """(start, end, type, canonical form) of every entity, left to right, none overlapping.
+
+    An entity lies within a line; only lines that may hold one are searched.
+    """
+    if not _may(text):
         return []
+    found, at = [], 0
+    for line in text.split("\n"):
+        if _may(line):
+            found += [(at + s, at + e, kind, form) for s, e, kind, form in _in_line(line)]
+        at += len(line) + 1
+    return found
+
+
+def _in_line(text: str) -> list[tuple[int, int, str, str]]:
     found = []
     for m in _ANY.finditer(text):
         kind = next(k for k in PATTERNS if m.group(f"{k}_") is not None)
