@@ -87,7 +87,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     near = lined.select("uid", "h").join(met, "uid").select("uid", "h", F.explode(starts).alias("at"))
     near = stored(near.select(F.xxhash64(F.slice("h", F.col("at") + 1, window)).alias("window"), place(F.col("at")).alias("place")), "line-windows")
     release(spark)
-    earliest = near.groupBy("window").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # a table of its own: a join of two plain shuffles is one that Spark can split where a window is hot
+    earliest = stored(near.groupBy("window").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-windows")
     later = near.join(earliest, "window").where("place > first").groupBy(F.shiftright("place", AT_BITS).alias("uid"))
     later = later.agg(F.collect_list((F.col("place") % (1 << AT_BITS)).cast("int")).alias("ats"))
     later = stored(later.join(lined.select("uid", "doc_id", "hash"), "uid").select("doc_id", "hash", "ats"), "later-windows")
