@@ -21,6 +21,26 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def bfs_shared(links: DataFrame, seeds: DataFrame, depth: int, node: str, via: str) -> DataFrame:
+    """Rows (node, depth): nodes within ``depth`` steps of ``seeds`` (node), a step leading to every node with a shared ``via``.
+
+    ``links`` has columns ``node`` and ``via``. The search goes from the newest nodes to values of ``via`` not yet
+    seen and from these to nodes, so that a value costs one row for each of its nodes and no pairs arise.
+    """
+    links = links.select(F.col(node).alias("node"), F.col(via).alias("via")).distinct().checkpoint()
+    seen = front = seeds.select("node").distinct().withColumn("depth", F.lit(0)).checkpoint()
+    passed = None
+    for step in range(1, depth + 1):
+        new = links.join(front.select("node"), "node").select("via").distinct()
+        new = (new.join(passed, "via", "left_anti") if passed is not None else new).checkpoint()
+        front = links.join(new, "via").select("node").distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(step)).checkpoint()
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+        passed = new if passed is None else passed.unionByName(new)
+    return seen
+
+
 def joined_value(df: DataFrame, *by: str) -> DataFrame:
     """Joins abstract values of one variable: union of sources, sanitizer only if all agree, any unknown.
 

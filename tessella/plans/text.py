@@ -190,11 +190,7 @@ def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_checkpoints(spark)
     pages = load(spark, sf_dir, "pages")
     links = pages.select("page_id", F.explode(F.array_distinct(url.hrefs(F.col("html")))).alias("href"))
-    # a link that more pages share is navigation and says nothing; so no link makes many edges
-    rare = links.groupBy("href").count().where("count <= 12").select("href")
-    own = links.join(rare, "href")
-    edges = own.select("href", F.col("page_id").alias("src")).join(own.select("href", F.col("page_id").alias("dst")), "href").where("src <> dst").select("src", "dst").distinct()
-    return flow.bfs(edges.checkpoint(), pages.agg(F.min("page_id").alias("node")), 4)
+    return flow.bfs_shared(links, pages.agg(F.min("page_id").alias("node")), 4, "page_id", "href")
 
 
 @query("""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import rules, text, url
 from tessella.operators import audit, dedup, flow, metrics, ordering, retrieval, split
+from tessella.plans.text import crawl_bfs
 from tessella.sources import jsonl
 
 
@@ -170,3 +171,19 @@ def test_stream_rollup(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r["event_type"], r["n"], r["total"]) for r in spark.table("days").collect()} == {("a", 2, 4.0), ("b", 1, 3.0)}
+
+
+def test_bfs_shared_follows_hot_links(spark):
+    pages = {0: ["hot"], **{i: ["hot", f"x{i}"] for i in range(1, 30)}, 30: ["x7", "y"], 31: ["y", "z"], 32: ["z"], 33: ["alone"]}
+    links = spark.createDataFrame([(p, h) for p, hs in pages.items() for h in hs], "page_id long, href string")
+    got = flow.bfs_shared(links, spark.createDataFrame([(0,)], "node long"), 4, "page_id", "href")
+    want = {0: 0, **{i: 1 for i in range(1, 30)}, 30: 2, 31: 3, 32: 4}
+    assert {r["node"]: r["depth"] for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_crawl_bfs_drops_no_link(spark, tmp_path):
+    pages = [(i, f"http://h/{i}", '<a href="/all">x</a>' + (f'<a href="/{i}">x</a>' if i > 2 else "")) for i in range(1, 31)]
+    pages.append((31, "http://h/31", '<a href="/9">x</a>'))
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["node"]: r["depth"] for r in crawl_bfs(spark, str(tmp_path)).collect()}
+    assert got == {1: 0, **{i: 1 for i in range(2, 31)}, 31: 2}
