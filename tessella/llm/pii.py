@@ -7,8 +7,11 @@ digit, length and check digit, an address's shape, an IPv4 octet's length, a nam
 script and capitals.
 
 Distinctness is checked over the whole corpus: where two entities drew the same surrogate, or a
-surrogate is another entity's own form, all but the first draw again, until none collides. What
-is collected is only in tables; texts without entities take no part in any join.
+surrogate is another entity's own form, all but the first draw again, until none collides; later
+draws, and those of forms with nothing to vary, grow longer, so that this ends. What is collected is only in tables; texts without entities take no part in any join.
+
+A name is found after a title; wherever the same text has it, or a part of it, in capitals again,
+with another title or none, that is a mention of the same person.
 """
 
 from __future__ import annotations
@@ -56,6 +59,7 @@ PATTERNS = {
 _ANY = re.compile("|".join(f"(?P<{k}_>{v})" for k, v in PATTERNS.items()))
 _DIGIT = re.compile(r"\d")
 _TITLE_WORDS = tuple(t for ts in TITLES.values() for t in ts)
+_WORD = re.compile(rf"(?<!\w){_CAP}(?!\w)")
 _MARKS = ("password", "passwd", "token", "secret", "api", "sk-", "sk_", "pk-", "pk_", "ghp-", "ghp_", "xoxb", "xoxp")
 _SHAPE = {"lower": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщыэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω", "hex": "0123456789abcdef"}
 
@@ -68,19 +72,109 @@ def _may(text: str) -> bool:
     return any(m in low for m in _MARKS)
 
 
+def _blocks(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of lines that may hold an entity.
+
+    Only names and secrets reach over line ends: where a title or mark is among a line's last four words,
+    the next four lines with words belong to its run.
+    """
+    lines, at = [], 0
+    for line in text.split("\n"):
+        lines.append((at, at + len(line)))
+        at += len(line) + 1
+    first = reach = None
+    for k, (start, end) in enumerate(lines):
+        line = text[start:end]
+        may = _may(line)
+        if first is not None and k > reach:
+            yield lines[first][0], lines[reach][1]
+            first = None
+        if not may:
+            continue
+        first, reach = (k if first is None else first), max(k, reach or 0)
+        if _crosses(line):
+            left = 4
+            while left and reach + 1 < len(lines):
+                reach += 1
+                left -= not text[slice(*lines[reach])].isspace() and lines[reach][0] < lines[reach][1]
+    if first is not None:
+        yield lines[first][0], lines[reach][1]
+
+
+def _crosses(line: str) -> bool:
+    last = " ".join(line.rsplit(None, 4)[-4:])
+    return any(t in last for t in _TITLE_WORDS) or any(m in last.lower() for m in _MARKS)
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, canonical form) of every entity, left to right, none overlapping.
 
-    An entity lies within a line; only lines that may hold one are searched.
+    Only lines that may hold an entity, with those that it may reach into, are searched.
     """
     if not _may(text):
         return []
-    found, at = [], 0
-    for line in text.split("\n"):
-        if _may(line):
-            found += [(at + s, at + e, kind, form) for s, e, kind, form in _in_line(line)]
-        at += len(line) + 1
-    return found
+    found = []
+    for start, end in _blocks(text):
+        found += [(start + s, start + e, kind, form) for s, e, kind, form in _in_line(text[start:end])]
+    return _people(text, found) if any(kind.startswith("name-") for _, _, kind, _ in found) else found
+
+
+def _people(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """``found`` with all mentions of a person under the person's longest name, those without a title too.
+
+    A part that may be several people's is an entity of its own. A single word without a title counts only if
+    the text does not have it in small letters as well.
+    """
+    genders: dict[tuple, set[str]] = {}
+    for _, _, kind, form in found:
+        if kind.startswith("name-"):
+            genders.setdefault(tuple(form.split()), set()).add(kind[-1])
+    runs: dict[tuple, set[tuple]] = {}
+    for p in genders:
+        for i in range(len(p)):
+            for j in range(i + 1, len(p) + 1):
+                runs.setdefault(p[i:j], set()).add(p)
+    known: dict[tuple, tuple[str, str]] = {}
+
+    def person(name: tuple, gender: str) -> tuple[str, str]:
+        if (name, gender) not in known:
+            fits = [p for p in runs[name] if len(runs[p]) == 1 and (p == name or gender == "n" or not genders[p] - {"n"} or gender in genders[p])]
+            whole = fits[0] if len(fits) == 1 else name
+            told = (genders.get(whole, set()) | {gender}) - {"n"}
+            own = gender if gender != "n" else told.pop() if len(told) == 1 else "n"
+            if gender != "n" and whole != name and gender not in genders[whole]:
+                genders[whole].add(gender)
+            known[name, gender] = f"name-{own}", " ".join(whole)
+        return known[name, gender]
+
+    # titles that tell a gender first, so that they count for mentions without one
+    for _, _, kind, form in sorted(found, key=lambda x: x[2] == "name-n"):
+        if kind.startswith("name-"):
+            person(tuple(form.split()), kind[-1])
+    out = [(s, e, *person(tuple(form.split()), kind[-1])) if kind.startswith("name-") else (s, e, kind, form) for s, e, kind, form in found]
+    small = {w for w in re.findall(r"[^\W\d_]+", text) if w.islower()}
+    words = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text)]
+    k = at = 0
+    while k < len(words):
+        start = words[k][0]
+        while at < len(found) and found[at][1] <= start:
+            at += 1
+        limit = found[at][0] if at < len(found) else len(text)
+        n = next((n for n in (3, 2, 1) if _run(text, words, k, n, limit, runs)), 0)
+        if n == 1 and (words[k][2].lower() in small or words[k][2] in _GENDER):
+            n = 0
+        if n:
+            out.append((start, words[k + n - 1][1], *person(tuple(w.casefold() for _, _, w in words[k : k + n]), "n")))
+        k += n or 1
+    return sorted(out)
+
+
+def _run(text: str, words: list[tuple[int, int, str]], k: int, n: int, limit: int, runs: dict) -> bool:
+    """Whether the ``n`` words from the ``k``-th on, up to ``limit``, are a name or a part of one."""
+    part = words[k : k + n]
+    if len(part) < n or part[-1][1] > limit or tuple(w.casefold() for _, _, w in part) not in runs:
+        return False
+    return all(text[a[1] : b[0]].isspace() for a, b in zip(part, part[1:], strict=False))
 
 
 def _in_line(text: str) -> list[tuple[int, int, str, str]]:
@@ -137,28 +231,31 @@ def _luhn(digits: str) -> int:
 def surrogate(key: bytes, kind: str, form: str, attempt: int = 0) -> str:
     """The canonical form of the replacement of an entity."""
     draw = Draw(key, kind, form, attempt)
+    varies = any(c.isdigit() or c.isalpha() for c in (form.rpartition("@")[0] if kind == "email" else form))
+    more = max(0, attempt - 3) if varies else attempt + 1  # a space of forms may be full or hold one form only
     if kind == "email":
         local, _, domain = form.rpartition("@")
         hosts, _, top = domain.rpartition(".")
         at = Draw(key, "domain", hosts, 0)  # a domain's mentions agree over all addresses
-        return "".join(map(draw.char, local)) + "@" + "".join(map(at.char, hosts)) + "." + top
+        return "".join(map(draw.char, local + "a" * more)) + "@" + "".join(map(at.char, hosts)) + "." + top
     if kind == "card":
-        digits = form[0] + "".join(map(draw.char, form[1:]))
+        digits = form[0] + "".join(map(draw.char, form[1:] + "0" * more))
         if _luhn(form) == 0:
             digits = digits[:-1] + str((10 - _luhn(digits[:-1] + "0")) % 10)
         return digits
     if kind == "ip":
         made = []
         for octet in form.split("."):
-            low, high = {1: (0, 9), 2: (10, 99)}.get(len(octet), (100, 254))
+            low, high = {1: (0, 9), 2: (10, 99)}.get(len(octet), (100, 254)) if not more else (0, 255)
             made.append(str(low + draw.below(high - low + 1)))
+        made += [str(draw.below(256)) for _ in range(max(0, more - 28))]
         return ".".join(made)
     if kind == "phone" and form.startswith("+"):
-        return form[:2] + "".join(map(draw.char, form[2:]))
+        return form[:2] + "".join(map(draw.char, form[2:] + "0" * more))
     if kind == "iban":
-        return form[:2] + "".join(map(draw.char, form[2:]))
+        return form[:2] + "".join(map(draw.char, form[2:] + "0" * more))
     if kind == "secret" and set(form) <= set(_SHAPE["hex"]):
-        return "".join(_SHAPE["hex"][draw.below(16)] for _ in form)
+        return "".join(_SHAPE["hex"][draw.below(16)] for _ in range(len(form) + more))
     if kind.startswith("name-"):
         script = "cyrillic" if any(c in _SHAPE["cyrillic"] for c in form) else "latin"
         words = form.split()
@@ -168,11 +265,11 @@ def surrogate(key: bytes, kind: str, form: str, attempt: int = 0) -> str:
         # names are few, entities are not: later attempts grow a family name letter by letter
         picked[-1] += "".join(draw.char("a" if script == "latin" else "а") for _ in range(attempt))
         return " ".join(picked).casefold()
-    return "".join(map(draw.char, form))
+    return "".join(map(draw.char, form + ("0" if kind in ("phone", "ssn") else "a") * more))
 
 
-def styled(kind: str, surface: str, made: str) -> str:
-    """The surrogate ``made`` in the format of the mention ``surface``."""
+def styled(kind: str, surface: str, made: str, form: str | None = None) -> str:
+    """The surrogate ``made`` in the format of the mention ``surface``; of a name ``form``, ``surface`` may be a part."""
     if kind in ("card", "phone", "ssn", "iban"):
         chars = iter(made)
         rest = "".join(next(chars, "") if c.isalnum() or c == "+" else c for c in surface)
@@ -181,7 +278,9 @@ def styled(kind: str, surface: str, made: str) -> str:
     if kind == "email" and len(made) == len(surface):
         return "".join(m.upper() if s.isupper() else m for s, m in zip(surface, made, strict=True))
     if kind.startswith("name-"):
-        words = made.split()
+        words, own, part = made.split(), (form or "").split(), surface.casefold().split()
+        at = next((i for i in range(len(own)) if own[i : i + len(part)] == part), None)
+        words = words if at is None else words[at : at + len(part)]
         return " ".join(words).upper() if surface.isupper() else " ".join(w[:1].upper() + w[1:] for w in words)
     return made
 
@@ -241,7 +340,7 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, spans in zip(b.column("_text").to_pylist(), b.column("spans").to_pylist(), strict=True):
             out, at = [], 0
             for s in sorted(spans, key=lambda s: s["start"]):
-                out += [text[at : s["start"]], styled(s["kind"], text[s["start"] : s["end"]], s["made"])]
+                out += [text[at : s["start"]], styled(s["kind"], text[s["start"] : s["end"]], s["made"], s["form"])]
                 at = s["end"]
             texts.append("".join([*out, text[at:]]))
         yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string()), pa.array([len(s) for s in b.column("spans").to_pylist()], pa.int32())], names=["row", "text", "n_entities"])
@@ -257,8 +356,12 @@ def replace(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     held = stored(own.mapInArrow(_detect(True), f"{kind}, spans {SPANS}").withColumn("uid", F.monotonically_increasing_id()), "texts-with-entities")
     clean = own.mapInArrow(_detect(False), kind).select("row", F.col("_text").alias("text"), F.lit(0).alias("n_entities"))
     mentions = held.select("uid", F.inline("spans"))
+    # a name without a gender is that of the one gender, if any, that other texts tell of it
+    told = mentions.where("kind in ('name-m', 'name-f')").groupBy("form").agg(F.min("kind").alias("told"), F.max("kind").alias("most")).where("told = most")
+    told = told.select(F.lit("name-n").alias("kind"), "form", "told")
+    mentions = mentions.join(told, ["kind", "form"], "left").select("uid", "start", "end", F.coalesce("told", "kind").alias("kind"), "form")
     made = assign(mentions, key)
-    spans = mentions.join(made, ["kind", "form"]).groupBy("uid").agg(F.collect_list(F.struct("start", "end", "kind", "made")).alias("spans"))
+    spans = mentions.join(made, ["kind", "form"]).groupBy("uid").agg(F.collect_list(F.struct("start", "end", "kind", "form", "made")).alias("spans"))
     rewritten = held.select("uid", "row", "_text").join(spans, "uid").select("row", "_text", "spans")
     rewritten = rewritten.mapInArrow(_rewrite, f"row {own.schema['row'].dataType.simpleString()}, text string, n_entities int")
     return rewritten.unionByName(clean)

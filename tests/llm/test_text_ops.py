@@ -289,3 +289,29 @@ def test_collisions_are_drawn_again(spark, monkeypatch):
     many = spark.createDataFrame([("name-m", f"person {i}") for i in range(300)] + [("name-f", "person 1")], "kind string, form string")
     made = [r["made"] for r in pii.assign(many, KEY).collect()]
     assert len(made) == len(set(made)) == 301
+
+
+def test_forms_with_nothing_to_vary_end(spark):
+    rows = [("secret", "________"), ("secret", "--------"), ("email", "_@_.com"), ("email", "--@--.--")]
+    rows += [("ip", f"{i}.{j}.{k}.{m}") for i in range(10) for j in range(10) for k in range(10) for m in range(7)]
+    made = {(r["kind"], r["form"]): r["made"] for r in pii.assign(spark.createDataFrame(rows, "kind string, form string"), KEY).collect()}
+    assert len(made) == len(set(made.values())) == len(rows) and not set(made.values()) & {f for _, f in rows}
+
+
+def test_a_persons_mentions_agree(spark):
+    text = "Mr John Smith came. Later John Smith left, Mr Smith said. Dr John Smith and JOHN agree: Smith is a smithy.\nDear Mrs\nVera Costa, Costa"
+    other = "Dr John Smith wrote; nobody else did."
+    rows = [(1, text, "x", "y", 1), (2, other, "x", "y", 1)]
+    got = {r["doc_id"]: r["text"] for r in pii.replace(spark.createDataFrame(rows, SCHEMA), KEY).select("row.doc_id", "text").collect()}
+    assert not re.search("(?i)john|smith\\b|vera|costa", got[1] + got[2])
+    first, last = re.match(r"Mr (\w+) (\w+) came", got[1]).groups()
+    woman = re.search(r"Dear Mrs\s(\w+) (\w+),", got[1]).groups()
+    start = f"Mr {first} {last} came. Later {first} {last} left, Mr {last} said. Dr {first} {last} and {first.upper()} agree: {last} is a smithy.\n"
+    assert got[1] == f"{start}Dear Mrs\n{woman[0]} {woman[1]}, {woman[1]}" and got[2] == f"Dr {first} {last} wrote; nobody else did."
+
+
+def test_parts_of_two_names_stay_apart():
+    text = "Mr John Smith met Mrs Mary Smith. Mrs Smith spoke, then Smith. Mr Smith\nwas there."
+    assert [(text[s:e], k, f) for s, e, k, f in pii.entities(text)] == [
+        ("John Smith", "name-m", "john smith"), ("Mary Smith", "name-f", "mary smith"), ("Smith", "name-f", "mary smith"), ("Smith", "name-n", "smith"), ("Smith", "name-m", "john smith"),
+    ]
