@@ -104,7 +104,8 @@ class WordIds(dict):
 
     ``encoded(texts)`` gives each text's ids. Pieces not seen yet are encoded by the tokenizer,
     all at once: words as one text, cut again where the vocabulary marks a word's beginning or
-    end, other pieces each for itself. The memory is emptied beyond ``most`` pieces, and a piece
+    end, other pieces each for itself. A text that contains an added token, which no piece may cut,
+    is encoded whole by ``tokenizer``, as it was loaded. The memory is emptied beyond ``most`` pieces, and a piece
     of over ``LONG`` characters is forgotten with the next that is new.
     """
 
@@ -115,7 +116,10 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer, self.cut, self.most, self.long = Tokenizer.from_str(tokenizer_json), cut, most, []
-        self.tokenizer.encode_special_tokens = True
+        self.plain = Tokenizer.from_str(tokenizer_json)
+        self.plain.encode_special_tokens = True  # words are learnt side by side: "<|", "end", "|>" in a row are no token
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) if added else "(?!)", re.IGNORECASE)
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.marks = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -134,7 +138,7 @@ class WordIds(dict):
         rest = [k for k in new if not self.word.fullmatch(k)]
         for at in range(0, len(words), 2000):
             part = words[at : at + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([(" " if self.at_end else "").join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self.plain.encode_batch_fast([(" " if self.at_end else "").join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             marked = np.flatnonzero(self.marks[ids])
             if len(marked) != len(part):
                 rest += part
@@ -146,15 +150,18 @@ class WordIds(dict):
                 start = end
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
-            for key, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            for key, code in zip(part, self.plain.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self[key] = np.array(code.ids, dtype="<u4").tobytes()
 
     def encoded(self, texts: list[str]) -> Iterator[bytes]:
         for run in batches_of(texts, 2_000_000):
-            cut = [self.cut(t) for t in run]
-            self.learn(set().union(*cut))
-            for keys in cut:
-                yield b"".join(map(self.__getitem__, keys))
+            cut = [None if self.added.search(t) else self.cut(t) for t in run]
+            self.learn(set().union(*filter(None, cut)))
+            for text, keys in zip(run, cut, strict=True):
+                if keys is None:
+                    yield np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+                else:
+                    yield b"".join(map(self.__getitem__, keys))
 
 
 _WORD_IDS: dict[int, WordIds] = {}

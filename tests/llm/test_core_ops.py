@@ -182,3 +182,15 @@ def test_packing(spark):
     assert packing.pack_documents(df.limit(0), code, 2).count() == 0
     twice = packing.pack_documents(df.where(F.col("doc_id") == 904).union(df.where(F.col("doc_id") == 904)), code, 2).collect()
     assert len(twice) == 2
+
+
+@pytest.mark.parametrize("name, pieces", [("byte_bpe_50k.json", byte_pieces), ("word_bpe_49k.json", word_pieces)])
+def test_literal_special_tokens_are_as_the_file_names_them(name, pieces):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_str(tokenizer(name))
+    texts = ["end <|endoftext|> more", "<|endoftext|>", "a<|endoftext|><|startoftext|>b's  \n", "<|EndOfText|> no", "<|endoftext| >", "plain", "", "end <|endoftext|>"]
+    want = [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in WordIds(tokenizer(name), pieces).encoded(texts)] == want
+    if name == "byte_bpe_50k.json":
+        assert want[0] == [437, 220, 50256, 517]
