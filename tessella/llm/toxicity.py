@@ -25,6 +25,8 @@ SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 1500, 3000, 20_000
 WINDOW_WORDS = 8
 #: Bytes saved at which a window counts, one feature for each.
 SAVED = (1, 2, 3, 4, 6, 8)
+#: Ordinary texts of the sample, and windows of each from its beginning, that the ordinary dictionary is trained on.
+BASE_TEXTS, BASE_WINDOWS = 400, 60
 BASE_BYTES, OWN_BYTES, LEVEL = 1024, 15360, 3
 #: Shorter matches than six bytes, with the space before a word, are chance; 4 is zstandard's lazy strategy.
 MIN_MATCH, STRATEGY = 6, 4
@@ -134,7 +136,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 50)
 
 def _dictionaries(rows: list[tuple[str, int]]) -> ToxicityModel:
     toxic, ordinary = ([t for t, y in rows if y == k] for k in (1, 0))
-    base = _dictionary([w for t in ordinary[:400] for w in windows_of(t)[:60]], BASE_BYTES)[-BASE_BYTES:]
+    base = _dictionary([w for t in ordinary[:BASE_TEXTS] for w in windows_of(t)[:BASE_WINDOWS]], BASE_BYTES)[-BASE_BYTES:]
     telling = _telling(toxic, ordinary)
     own = _dictionary([x for t in toxic if len(x := _told(t, telling)) > 1] or [b" "], OWN_BYTES)
     return ToxicityModel(base, own + base, [])
@@ -147,7 +149,7 @@ def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
     dictionaries kept come from all rows. Without both labels in either half the score is the
     share of label 1.
     """
-    rows = list({t[:60]: (t, y) for t, y in rows}.values())  # copies share their beginning and count once
+    rows = list(dict.fromkeys((t, y) for t, y in rows))  # copies, the same in text and label, count once
     by_label = [[r for r in rows if r[1] == k] for k in (0, 1)]
     halves = [by_label[0][k::2] + by_label[1][k::2] for k in (0, 1)]
     if any({y for _, y in half} != {0, 1} for half in halves):

@@ -315,3 +315,11 @@ def test_parts_of_two_names_stay_apart():
     assert [(text[s:e], k, f) for s, e, k, f in pii.entities(text)] == [
         ("John Smith", "name-m", "john smith"), ("Mary Smith", "name-f", "mary smith"), ("Smith", "name-f", "mary smith"), ("Smith", "name-n", "smith"), ("Smith", "name-m", "john smith"),
     ]
+
+
+def test_texts_that_begin_alike_all_count(monkeypatch):
+    header, seen = "The same header line stands at the start of all of these texts. ", []
+    monkeypatch.setattr(toxicity, "_dictionaries", lambda rows: seen.append(rows) or toxicity.ToxicityModel(b"a", b"b", []))
+    rows = [(f"{header}word{i}", i % 2) for i in range(40)] + [(f"{header}word1", 0)]
+    toxicity.fit(rows + rows[:7])
+    assert sorted(seen[-1]) == sorted(rows)
