@@ -2,9 +2,10 @@
 
 Each language has a probability for every piece of a fixed public vocabulary. A word's
 probability is the sum, over all ways to cut it into pieces, of the product of the pieces'
-probabilities: a forward pass over its characters gives it. The probabilities are trained by
-expectation maximisation, forward and backward, on a bounded sample of texts with a language.
-A text's score for a language is the sum of its words' log-probabilities, over the whole text.
+probabilities: a forward pass over its characters, in logarithms, gives it for words of any length.
+The probabilities are trained by expectation maximisation, forward and backward, on a bounded
+sample of labelled texts. A text's score for a language is the sum of its words'
+log-probabilities, over the whole text.
 """
 
 from __future__ import annotations
@@ -19,15 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import batches_of
+from tessella.llm.common import batches_of, stored
 
-#: Most texts of a language in the sample, most characters of each, and most languages.
-SAMPLE_TEXTS, SAMPLE_CHARS, LANGUAGES = 300, 4000, 200
-#: Characters of the longest piece and of the longest stretch scored at once (with the word mark).
-LONGEST_PIECE, STRETCH = 8, 24
+#: Most texts of a language in the sample; each is read whole.
+SAMPLE_TEXTS = 300
 ROUNDS, SMOOTH, UNKNOWN = 4, 0.1, 1e-7
-#: Words whose scores a worker keeps.
-KEPT_WORDS = 400_000
+#: Words whose scores a worker keeps, letters of words handled at once, languages up to which their counts are broadcast.
+KEPT_WORDS, BATCH_LETTERS, BROADCAST_LANGUAGES = 400_000, 100_000, 10_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 MARK = "▁"
@@ -38,102 +37,146 @@ def words_of(text: str) -> list[str]:
 
 
 class Lattice:
-    """Words as rows of symbols, and the pieces of the vocabulary that lie in them."""
+    """The pieces of the vocabulary as a trie, and where they lie in words."""
 
     def __init__(self, pieces: list[str]):
-        symbols = sorted({c for p in pieces for c in p})
-        self.symbol = {c: i + 1 for i, c in enumerate(symbols)}
-        rows, ends = [[0] * (len(symbols) + 1), [0] * (len(symbols) + 1)], [-1, -1]  # state 0 is dead, 1 the root
+        self.symbol = {c: i + 1 for i, c in enumerate(sorted({c for p in pieces for c in p}))}
+        self.longest, self.width = max(map(len, pieces), default=1), len(self.symbol) + 1
+        steps: dict[int, int] = {}  # state * width + symbol -> state; state 0 is the root
+        ends = [-1]
         for k, p in enumerate(pieces):
-            at = 1
+            at = 0
             for c in p:
-                s = self.symbol[c]
-                if not rows[at][s]:
-                    rows[at][s] = len(rows)
-                    rows.append([0] * (len(symbols) + 1))
+                key = at * self.width + self.symbol[c]
+                if key not in steps:
+                    steps[key] = len(ends)
                     ends.append(-1)
-                at = rows[at][s]
+                at = steps[key]
             ends[at] = k
-        self.step, self.piece = np.array(rows, dtype=np.int32), np.array(ends, dtype=np.int32)
-
-    def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Symbols, lengths and the word of each stretch; a long word has several."""
-        stretches, owner = [], []
-        for k, w in enumerate(words):
-            marked = MARK + w
-            for at in range(0, len(marked), STRETCH):
-                stretches.append(marked[at : at + STRETCH])
-                owner.append(k)
-        lengths = np.array([len(s) for s in stretches], dtype=np.int64)
-        table = np.zeros((len(stretches), STRETCH + LONGEST_PIECE), dtype=np.int32)
-        get = self.symbol.get
-        flat = np.fromiter((get(c, 0) for s in stretches for c in s), dtype=np.int32, count=int(lengths.sum()))
-        table[np.arange(table.shape[1]) < lengths[:, None]] = flat
-        return table, lengths, np.array(owner, dtype=np.int64)
-
-    def arcs(self, table: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(start, length, rows, pieces): where pieces lie; -1 stands for a lone unknown symbol."""
-        for start in range(int(lengths.max(initial=0))):
-            live = np.flatnonzero(lengths > start)
-            state = np.ones(len(live), dtype=np.int32)
-            for size in range(1, LONGEST_PIECE + 1):
-                state = self.step[state, table[live, start + size - 1]]
-                if size == 1:
-                    found = self.piece[state]
-                    yield start, 1, live, found  # -1 where no piece is that symbol
-                on = state > 0
-                live, state = live[on], state[on]
-                if not len(live):
-                    break
-                if size > 1:
-                    found = self.piece[state]
-                    has = found >= 0
-                    yield start, size, live[has], found[has]
-
-
-def _forward(arcs: list, n: int, width: int, prob: np.ndarray) -> np.ndarray:
-    """Sums of all segmentations up to each position; ``prob`` has a row per piece, the last for unknown symbols."""
-    alpha = np.zeros((width + LONGEST_PIECE + 1, n, prob.shape[1]))
-    alpha[0] = 1
-    for start, size, rows, found in arcs:
-        alpha[start + size, rows] += alpha[start, rows] * prob[found]
-    return alpha
+        self.keys = np.array(sorted(steps), dtype=np.int64)
+        self.states = np.array([steps[k] for k in self.keys.tolist()], dtype=np.int64)
+        self.piece = np.array(ends, dtype=np.int64)
+
+    def _step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which walks go on, and the states of those."""
+        key = state * self.width + symbol
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        on = np.flatnonzero(self.keys[at] == key) if len(self.keys) else np.zeros(0, dtype=np.int64)
+        return on, self.states[at[on]]
+
+    def batches(self, words: list[str]) -> Iterator[list[int]]:
+        """Positions of words in runs of like length and of about ``BATCH_LETTERS`` letters, one word at least."""
+        order, run, cells = sorted(range(len(words)), key=lambda k: len(words[k])), [], 0
+        for k in order:
+            size = len(words[k]) + 1
+            if run and (len(run) + 1) * size > BATCH_LETTERS:
+                yield run
+                run = []
+            run.append(k)
+        if run:
+            yield run
+
+    def arcs(self, words: list[str]) -> tuple[np.ndarray, Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
+        """The words' lengths with the mark, and for each start (start, rows, sizes, pieces).
+
+        Piece -1 stands for a symbol that is no piece. A word is a row; (row, size) are distinct.
+        """
+        marked = [MARK + w for w in words]
+        lengths = np.array([len(m) for m in marked], dtype=np.int64)
+        offsets, get = np.cumsum(lengths) - lengths, self.symbol.get
+        flat = np.fromiter((get(c, 0) for m in marked for c in m), dtype=np.int64, count=int(lengths.sum()))
+
+        def found() -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+            span = max(1, BATCH_LETTERS // len(words))
+            for first in range(0, int(lengths.max()), span):
+                many = np.clip(lengths - first, 0, span)
+                row = np.repeat(np.arange(len(words)), many)
+                start = first + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                cell, state = offsets[row] + start, np.zeros(len(row), dtype=np.int64)
+                parts = []
+                for size in range(1, self.longest + 1):
+                    on, after = self._step(state, flat[cell + size - 1])
+                    if size == 1:
+                        piece = np.full(len(row), -1)
+                        piece[on] = self.piece[after]
+                        parts.append((start, row, np.ones_like(row), piece))
+                    row, start, cell, state = row[on], start[on], cell[on], after
+                    if size > 1:
+                        has = np.flatnonzero(self.piece[state] >= 0)
+                        parts.append((start[has], row[has], np.full(len(has), size), self.piece[state[has]]))
+                    room = np.flatnonzero(start + size < lengths[row])
+                    row, start, cell, state = row[room], start[room], cell[room], state[room]
+                    if not len(row):
+                        break
+                start, row, size, piece = (np.concatenate(x) for x in zip(*parts, strict=True))
+                order = np.argsort(start, kind="stable")
+                row, size, piece = row[order], size[order], piece[order]
+                ends = np.cumsum(np.bincount(start - first, minlength=min(span, int(lengths.max()) - first)))
+                for k, (a, b) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)):
+                    yield first + k, row[a:b], size[a:b], piece[a:b]
+
+        return lengths, found()
+
+
+def totals(lattice: Lattice, words: list[str], log_prob: np.ndarray) -> np.ndarray:
+    """Log-probabilities (word, language): all segmentations summed; ``log_prob`` has a row per piece, the last for unknown symbols.
+
+    Only the sums that a piece can still reach are held, whatever a word's length.
+    """
+    lengths, arcs = lattice.arcs(words)
+    ring = lattice.longest + 1
+    alpha = np.full((ring, len(words), log_prob.shape[1]), -np.inf)
+    alpha[0], out = 0.0, np.empty((len(words), log_prob.shape[1]))
+    for start, row, size, piece in arcs:
+        at, now = (start + size) % ring, alpha[start % ring]
+        alpha[at, row] = np.logaddexp(alpha[at, row], now[row] + log_prob[piece])
+        now[:] = -np.inf
+        done = np.flatnonzero(lengths == start + 1)
+        out[done] = alpha[(start + 1) % ring, done]
+    return out
 
 
 def train(lattice: Lattice, n_pieces: int, counts: Counter) -> np.ndarray:
-    """Piece probabilities of one language by expectation maximisation."""
-    words = list(counts)
-    table, lengths, owner = lattice.rows(words)
-    weight = np.array([counts[w] for w in words], dtype=float)[owner]
-    arcs = list(lattice.arcs(table, lengths))
-    prob = np.full((n_pieces + 1, 1), 1.0 / n_pieces)
-    prob[-1] = UNKNOWN
-    every = np.arange(len(lengths))
+    """Log-probabilities of one language's pieces by expectation maximisation."""
+    words = sorted(counts)
+    made = []
+    for run in lattice.batches(words):
+        lengths, arcs = lattice.arcs([words[k] for k in run])
+        made.append((lengths, np.array([counts[words[k]] for k in run], dtype=float), list(arcs)))
+    logs = np.full(n_pieces + 1, -np.log(max(n_pieces, 1)))
+    logs[-1] = np.log(UNKNOWN)
     for _ in range(ROUNDS):
-        alpha = _forward(arcs, len(lengths), STRETCH, prob)[:, :, 0]
-        beta = np.zeros_like(alpha)
-        beta[lengths, every] = 1
-        for start, size, rows, found in reversed(arcs):
-            beta[start, rows] += beta[start + size, rows] * prob[found, 0]
-        total = np.maximum(alpha[lengths, every], 1e-300)
         expected = np.zeros(n_pieces + 1)
-        for start, size, rows, found in arcs:
-            gain = weight[rows] * alpha[start, rows] * prob[found, 0] * beta[start + size, rows] / total[rows]
-            expected += np.bincount(np.where(found < 0, n_pieces, found), weights=gain, minlength=n_pieces + 1)
-        prob[:-1, 0] = (expected[:-1] + SMOOTH) / (expected[:-1].sum() + SMOOTH * n_pieces)
-    return prob[:, 0]
+        for lengths, weight, arcs in made:
+            n, longest = len(lengths), int(lengths.max())
+            alpha = np.full((longest + 1, n), -np.inf)
+            beta = alpha.copy()
+            alpha[0], beta[lengths, np.arange(n)] = 0.0, 0.0
+            for start, row, size, piece in arcs:
+                alpha[start + size, row] = np.logaddexp(alpha[start + size, row], alpha[start, row] + logs[piece])
+            total = alpha[lengths, np.arange(n)]
+            for start, row, size, piece in reversed(arcs):
+                gain = logs[piece] + beta[start + size, row]
+                np.logaddexp.at(beta, (start, row), gain)
+                gain = weight[row] * np.exp(alpha[start, row] + gain - total[row])
+                expected += np.bincount(np.where(piece < 0, n_pieces, piece), weights=gain, minlength=n_pieces + 1)
+        logs[:-1] = np.log((expected[:-1] + SMOOTH) / (expected[:-1].sum() + SMOOTH * n_pieces))
+    return logs
 
 
 @dataclass
 class LanguageModel:
-    """The vocabulary's pieces, the languages, and log-free piece probabilities (pieces + 1, languages)."""
+    """The vocabulary's pieces, the languages, and the pieces' log-probabilities (pieces + 1, languages)."""
 
     pieces: list[str]
     languages: list[str]
-    prob: np.ndarray
+    log_prob: np.ndarray
 
     def scorer(self) -> Scorer:
-        return Scorer(self)
+        """The worker's scorer of this model: made once, with the words it remembers."""
+        if not hasattr(self, "_scorer"):
+            self._scorer = Scorer(self)
+        return self._scorer
 
 
 class Scorer:
@@ -148,17 +191,11 @@ class Scorer:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > KEPT_WORDS:
             self.known, self.scores, new = {}, self.scores[:0], list(words)
-        found = []
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
-            table, lengths, owner = self.lattice.rows(part)
-            alpha = _forward(self.lattice.arcs(table, lengths), len(lengths), STRETCH, self.model.prob)
-            total = np.log(np.maximum(alpha[lengths, np.arange(len(lengths))], 1e-300))
-            sums = np.zeros((len(part), total.shape[1]))
-            np.add.at(sums, owner, total)
-            found.append(sums)
+        found = np.zeros((len(new), self.scores.shape[1]))
+        for run in self.lattice.batches(new):
+            found[run] = totals(self.lattice, [new[k] for k in run], self.model.log_prob)
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        self.scores = np.concatenate([self.scores, *found])
+        self.scores = np.concatenate([self.scores, found])
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """The likeliest language of each text and its posterior; ``und`` and 0 without a letter."""
@@ -179,43 +216,53 @@ class Scorer:
         return names, sure
 
 
-def sample(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> list[tuple[str, str]]:
-    """The bounded sample of (language, text) where ``learn`` holds of the id.
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        counts: Counter = Counter()
+        for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
+            counts.update((lang, w) for w in words_of(text))
+        rows = list(counts.items())
+        yield pa.RecordBatch.from_pydict({"lang": pa.array([k for (k, _), _ in rows], pa.string()), "word": pa.array([w for (_, w), _ in rows], pa.string()), "n": pa.array([n for _, n in rows], pa.int64())})
+
+
+def sample(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict[str, Counter]:
+    """Word counts of each language over a bounded sample of the texts where ``learn`` holds of the id.
 
     Languages are counted first. A share of each language's rows, by hash and about three times
-    the bound, is ranked, and the first of them in hashed order are taken.
+    ``SAMPLE_TEXTS``, is ranked, and the first ``SAMPLE_TEXTS`` in hashed order are taken, each as a
+    whole. Null texts and languages are left out.
     """
     known = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    known = known.where(F.col("lang").isNotNull() & learn)
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return []
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], 3.0 * SAMPLE_TEXTS / r["count"])])[F.col("lang")]
-    hashed = known.where("text is not null").withColumn("h", F.xxhash64("doc_id", "text"))
-    few = hashed.where(F.pmod("h", F.lit(1 << 31)) / (1 << 31) < share).select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 31)), "h", "text")))
-    rows = ranked.where(F.col("r") <= SAMPLE_TEXTS).select("lang", "h", "text").collect()
-    return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], r["h"]))]
-
-
-def fit(rows: list[tuple[str, str]], vocabulary: list[str]) -> LanguageModel:
-    """``vocabulary``: the pieces of a fixed public vocabulary; those that the sample cannot reach are left out."""
-    counts: dict[str, Counter] = {}
-    for lang, text in rows:
-        counts.setdefault(lang, Counter()).update(words_of(text))
-    counts = {k: c for k, c in counts.items() if c}
-    seen = {MARK}.union(*(set(w) for c in counts.values() for w in c))
-    lower = {p.lower() for p in vocabulary} | {MARK}
-    pieces = sorted(p for p in lower if 0 < len(p) <= LONGEST_PIECE and seen.issuperset(p))
-    languages = sorted(counts)[:LANGUAGES]
+    known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn)
+    counts = stored(known.groupBy("lang").agg((3.0 * SAMPLE_TEXTS / F.count("*")).alias("share")), "language-shares")
+    side = F.broadcast(counts) if counts.count() <= BROADCAST_LANGUAGES else counts
+    ranks = known.withColumn("h", F.xxhash64("doc_id", "text")).join(side, "lang").where(F.pmod("h", F.lit(1 << 31)) / (1 << 31) < F.col("share"))
+    ranked = ranks.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 31)), "h", "text")))
+    words = ranked.where(F.col("r") <= SAMPLE_TEXTS).select("lang", "text").mapInArrow(_counted, "lang string, word string, n long")
+    found: dict[str, Counter] = {}
+    for r in words.groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
+        found.setdefault(r["lang"], Counter())[r["word"]] = r["n"]
+    return found
+
+
+def fit(counts: dict[str, Counter], vocabulary: list[str]) -> LanguageModel:
+    """``counts``: the sample's words by language; ``vocabulary``: the pieces of a fixed public vocabulary, of which all are kept."""
+    pieces = sorted({p.lower() for p in vocabulary if p} | {MARK})
+    languages = sorted(k for k, c in counts.items() if c)
     lattice = Lattice(pieces)
-    prob = [train(lattice, len(pieces), counts[k]) for k in languages]
-    return LanguageModel(pieces, languages, np.stack(prob, axis=1) if prob else np.zeros((len(pieces) + 1, 0)))
+    logs = [train(lattice, len(pieces), counts[k]) for k in languages]
+    return LanguageModel(pieces, languages, np.stack(logs, axis=1) if logs else np.zeros((len(pieces) + 1, 0)))
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, ``lang_pred`` and ``score`` for every whole text; ``und`` for one that is null or has no letter."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # pieces of one vocabulary times languages, both bounded
+    """``keep``, ``lang_pred`` and ``score`` for every whole text; ``und`` for one that is null or has no letter.
+
+    Of languages with equal scores the first by name is given. Rows that repeat stay as they are, an
+    empty table stays empty, and columns not in ``keep`` are not read; ``keep`` must not name the new columns.
+    """
+    if {"lang_pred", "score"} & set(keep):
+        raise ValueError("keep names a column that predict adds")
+    held = docs.sparkSession.sparkContext.broadcast(model)  # pieces of one vocabulary for each language that has labels
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = held.value.scorer()

@@ -1,11 +1,13 @@
 """Toxicity by compression distance: two zstandard dictionaries, two lengths for each window.
 
-A bounded sample of labelled documents trains the dictionaries: one on ordinary text,
-one on what tells toxic text from it, followed by the first, so that the two differ only in what
-is toxic. A window, a few words long, is compressed with either; the
-bytes that the toxic dictionary saves over the ordinary one are its distance. Thresholds are calibrated on
-documents that the dictionaries used for them have not seen: a logistic model of how many windows of a document save at
-least so many bytes, and of how many windows there are.
+A bounded sample of labelled documents trains the dictionaries. The ordinary one is trained on all windows
+of the sample's ordinary texts. The toxic one is trained on the toxic texts, each cut down to what tells it from ordinary
+text, and is followed by the ordinary one, so that the two differ only in what is toxic: trained
+on whole toxic texts, nearly all of a dictionary is ordinary text, and what it happens to hold of that drowns the rest.
+A window, a few words long, is compressed with either; the bytes that the toxic dictionary saves over the
+ordinary one are its distance. Thresholds are calibrated on documents that the dictionaries used for
+them have not seen: a logistic model of how many windows of a document save at least so many bytes, and
+of how many windows there are.
 """
 
 from __future__ import annotations
@@ -13,21 +15,23 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most labelled documents of either class that the model is fitted on, and most characters of each.
-SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 1500, 3000, 20_000
+#: Most labelled documents of either class that the model is fitted on; each is read whole.
+SAMPLE_TOXIC, SAMPLE_ORDINARY = 1500, 3000
+#: A text of the sample is a copy if earlier ones hold this share of its shingles of so many words.
+COPY_SHARE, COPY_WORDS = 0.5, 5
 #: Words of a window.
 WINDOW_WORDS = 8
 #: Bytes saved at which a window counts, one feature for each.
 SAVED = (1, 2, 3, 4, 6, 8)
-#: Ordinary texts of the sample, and windows of each from its beginning, that the ordinary dictionary is trained on.
-BASE_TEXTS, BASE_WINDOWS = 400, 60
-BASE_BYTES, OWN_BYTES, LEVEL = 1024, 15360, 3
+#: Bytes of the ordinary dictionary and of what the toxic one has before it.
+BASE_BYTES, OWN_BYTES, LEVEL = 65536, 16384, 3
 #: Shorter matches than six bytes, with the space before a word, are chance; 4 is zstandard's lazy strategy.
 MIN_MATCH, STRATEGY = 6, 4
 #: Every window begins with this, and both dictionaries end with it, so that no window is without a match:
@@ -118,8 +122,35 @@ def _telling(own: list[str], other: list[str]) -> set[str]:
 
 
 def _told(text: str, telling: set[str]) -> bytes:
-    """A text cut down to the words that tell."""
-    return (" " + " ".join(w for w in _words(text) if w and not telling.isdisjoint(_keys(w)))).encode("utf-8", "replace")
+    """A text cut down to what tells: of each word the longest beginning that does, or the word itself."""
+    found = []
+    for w in _words(text):
+        if w and (keys := [k for k in _keys(w) if k in telling]):
+            found.append(max(keys, key=len).strip())
+    return f" {' '.join(found)} ".encode("utf-8", "replace") if found else b""
+
+
+def _without_copies(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """The rows whose texts are no copies, exact or near, of earlier ones; a text with both labels goes.
+
+    Copies in both halves of the sample would pass for what tells, and for what is calibrated.
+    Of a text's shingles those with a hash divisible by 4 are compared, or all of few.
+    """
+    labels: dict[str, set[int]] = {}
+    for text, label in rows:
+        labels.setdefault(text, set()).add(label)
+    seen: set[int] = set()
+    kept = []
+    for text, (label, *more) in labels.items():
+        if more:
+            continue
+        words = text.lower().split()
+        own = {crc32(" ".join(words[i : i + COPY_WORDS]).encode("utf-8", "replace")) for i in range(max(1, len(words) - COPY_WORDS + 1))}
+        own = {h for h in own if h % 4 == 0} if len(own) >= 64 else own
+        if len(own & seen) < COPY_SHARE * len(own):
+            kept.append((text, label))
+            seen |= own
+    return kept
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 50) -> np.ndarray:
@@ -136,9 +167,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 50)
 
 def _dictionaries(rows: list[tuple[str, int]]) -> ToxicityModel:
     toxic, ordinary = ([t for t, y in rows if y == k] for k in (1, 0))
-    base = _dictionary([w for t in ordinary[:BASE_TEXTS] for w in windows_of(t)[:BASE_WINDOWS]], BASE_BYTES)[-BASE_BYTES:]
+    base = _dictionary([w for t in ordinary for w in windows_of(t)], BASE_BYTES)[-BASE_BYTES:]
     telling = _telling(toxic, ordinary)
-    own = _dictionary([x for t in toxic if len(x := _told(t, telling)) > 1] or [b" "], OWN_BYTES)
+    own = _dictionary([x for t in toxic if (x := _told(t, telling))] or [b" "], OWN_BYTES)
     return ToxicityModel(base, own + base, [])
 
 
@@ -149,7 +180,7 @@ def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
     dictionaries kept come from all rows. Without both labels in either half the score is the
     share of label 1.
     """
-    rows = list(dict.fromkeys((t, y) for t, y in rows))  # copies, the same in text and label, count once
+    rows = _without_copies(rows)
     by_label = [[r for r in rows if r[1] == k] for k in (0, 1)]
     halves = [by_label[0][k::2] + by_label[1][k::2] for k in (0, 1)]
     if any({y for _, y in half} != {0, 1} for half in halves):
@@ -176,13 +207,19 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     taken = [known.where(F.col("label") == k).orderBy(*order).limit(n).select("doc_id", "label") for k, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_ORDINARY))]
     chosen = F.broadcast(taken[0].unionByName(taken[1]))  # at most the two bounds
-    found = docs.select(F.col(doc_id).alias("doc_id"), F.substring(F.col(text).cast("string"), 1, SAMPLE_CHARS).alias("text")).join(chosen, "doc_id").where("text is not null")
+    found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(chosen, "doc_id").where("text is not null")
     rows = found.orderBy(*order, F.xxhash64("text")).limit(SAMPLE_TOXIC + SAMPLE_ORDINARY).collect()
     return [(r["text"], r["label"]) for r in rows]
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and ``score`` (0 to 1) of every whole text; a null text scores as an empty one."""
+    """``keep`` and ``score`` (0 to 1) of every whole text; a null text scores as an empty one.
+
+    Rows that repeat stay as they are, an empty table stays empty, and columns not in ``keep`` are
+    not read; ``keep`` must not name ``score``.
+    """
+    if "score" in keep:
+        raise ValueError("keep names the column that score adds")
     held = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,6 +235,6 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """``docs`` without the rows whose ``text`` scores ``THRESHOLD`` or more."""
+    """``docs`` without the rows whose ``text`` scores ``THRESHOLD`` or more; null and empty texts score alike."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
     return score(rows, model, keep=("row",)).where(F.col("score") < THRESHOLD).select("row.*")

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -89,6 +90,43 @@ def test_toxicity_on_held_out_texts():
     assert 0 <= model.score(np.array([model.features("", pack)]))[0] < toxicity.THRESHOLD
 
 
+def test_toxicity_scores_follow_the_dictionaries(spark):
+    """Window lengths and the logistic sum computed apart, over the model's two dictionaries."""
+    import zstandard as z
+
+    rows = labelled(120, 5)
+    model = toxicity.fit([(t, y) for _, t, y in rows])
+    how = z.ZstdCompressionParameters.from_level(toxicity.LEVEL, min_match=toxicity.MIN_MATCH, strategy=toxicity.STRATEGY, write_content_size=False, write_checksum=False, write_dict_id=False)
+    packers = [z.ZstdCompressor(dict_data=z.ZstdCompressionDict(d + toxicity.MARK.encode(), dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=how) for d in (model.ordinary, model.toxic)]
+
+    def brute(text):
+        words, saved = text.lower().split(), []
+        while words:
+            window = f"{toxicity.MARK} {' '.join(words[:8])} ".encode()
+            saved.append(len(packers[0].compress(window)) - len(packers[1].compress(window)))
+            words = words[8:]
+        x = [1.0, *(math.log(1 + sum(s >= k for s in saved)) for k in toxicity.SAVED), math.log(1 + len(saved))]
+        return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights, strict=True))))
+
+    texts = [(i, t) for i, t, _ in rows[:30]] + [(900, None), (901, ""), (902, "x " * 50_000), (903, rows[0][1])]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    for i, t in texts:
+        assert got[i] == pytest.approx(brute(t or ""))
+
+
+def test_toxicity_sample_drops_copies_but_not_shared_headers():
+    rows = labelled(80, 6)
+    header = "this site and all that it holds is offered as it is to all of you"
+    texts = [(f"{header} {t}", y) for _, t, y in rows]
+    assert len(toxicity._without_copies(texts)) == len(texts)
+    near = [(t + " more", y) for t, y in texts]
+    assert toxicity._without_copies(texts + near + texts) == toxicity._without_copies(texts)
+    assert toxicity._without_copies([("a b", 0), ("a b", 1), ("c", 1)]) == [("c", 1)]
+    model = toxicity.fit(texts)
+    pack = model.compressors()
+    assert len({round(float(model.score(model.features(t, pack))), 6) for t, _ in texts}) > 2
+
+
 def test_toxicity_in_spark(spark):
     rows = labelled(200, 3)
     docs = spark.createDataFrame([(i, t, "x", "y", 1) for i, t, _ in rows] + [(None, "no id", "x", "y", 1), (900, None, "x", "y", 1), (901, "", "x", "y", 1)], SCHEMA)
@@ -104,23 +142,50 @@ def test_toxicity_in_spark(spark):
 
 
 def all_cuts(word, prob):
-    """Sum over all segmentations, by recursion."""
-    if not word:
-        return 1.0
-    return sum(prob[word[:k]] * all_cuts(word[k:], prob) for k in range(1, len(word) + 1) if word[:k] in prob)
+    """Logarithm of the sum over all segmentations, each position from the ones before it."""
+    sums = [1.0]
+    for end in range(1, len(word) + 1):
+        sums.append(sum(sums[start] * prob[word[start:end]] for start in range(end) if word[start:end] in prob))
+    return math.log(sums[-1])
 
 
-def test_language_scores_sum_all_segmentations():
-    pieces = ["▁", "a", "b", "c", "ab", "bc", "abc", "▁a", "▁ab"]
+def test_language_scores_sum_all_segmentations(monkeypatch):
+    pieces = ["▁", "a", "b", "c", "ab", "bc", "abc", "▁a", "▁ab", "abcabcabcabcabcabcabcabcabca"]
     rng = np.random.default_rng(0)
     prob = np.vstack([rng.random((len(pieces), 2)) / 5, np.full((1, 2), langid.UNKNOWN)])
-    s = langid.LanguageModel(pieces, ["x", "y"], prob).scorer()
-    words = {"a", "abc", "cab", "abcabcab", "bb", "abd"}
-    s.learn(words)
-    for w in words - {"abd"}:
-        want = [all_cuts("▁" + w, dict(zip(pieces, prob[:, k], strict=False))) for k in (0, 1)]
-        assert np.allclose(np.exp(s.scores[s.known[w]]), want)
-    assert np.isfinite(s.scores).all()
+    words = {"a", "abc", "cab", "abcabcab", "bb", "abc" * 13, "abd", *("".join(random.Random(k).choices("abc", k=k)) for k in range(9, 200, 10))}
+    for letters in (100_000, 50):
+        monkeypatch.setattr(langid, "BATCH_LETTERS", letters)
+        s = langid.LanguageModel(pieces, ["x", "y"], np.log(prob)).scorer()
+        s.learn(words)
+        for w in words:
+            want = [all_cuts("▁" + w, {**dict(zip(pieces, prob[:, k], strict=False)), "d": langid.UNKNOWN}) for k in (0, 1)]
+            assert np.allclose(s.scores[s.known[w]], want)
+    long = "abc" * 30_000
+    s.learn({long})
+    assert np.isfinite(s.scores[s.known[long]]).all() and s.scores[s.known[long]].max() < -1000
+
+
+def test_language_training_follows_expectation_maximisation():
+    pieces, counts = ["a", "b", "ab", "▁", "▁a"], {"ab": 3, "b": 2, "abab": 1, "ax": 1}
+    prob = dict.fromkeys(pieces, 1 / len(pieces)) | {"x": langid.UNKNOWN}
+
+    def cuts(word):
+        if not word:
+            return [[]]
+        return [[word[:k], *rest] for k in range(1, len(word) + 1) if word[:k] in prob for rest in cuts(word[k:])]
+
+    for _ in range(langid.ROUNDS):
+        expected = dict.fromkeys(prob, 0.0)
+        for word, n in counts.items():
+            each = [(c, math.prod(prob[p] for p in c)) for c in cuts("▁" + word)]
+            for c, q in each:
+                for p in c:
+                    expected[p] += n * q / sum(x for _, x in each)
+        known = sum(expected[p] for p in pieces)
+        prob |= {p: (expected[p] + langid.SMOOTH) / (known + langid.SMOOTH * len(pieces)) for p in pieces}
+    lattice = langid.Lattice(pieces)
+    assert np.allclose(np.exp(langid.train(lattice, len(pieces), counts)[:-1]), [prob[p] for p in pieces])
 
 
 def test_language_prediction(spark):
@@ -128,14 +193,24 @@ def test_language_prediction(spark):
     parts = {"aa": "ka la mo ri tu".split(), "bb": "schi stro gnu wra ple".split(), "cc": "ka la schi stro xo".split()}
     text = lambda k: " ".join("".join(rng.choices(parts[k], k=rng.randrange(1, 4))) for _ in range(30))
     rows = [(i, text(k), k, "row", 1) for i, k in enumerate(rng.choices(list(parts), k=180))]
-    docs = spark.createDataFrame([*rows, (900, None, "aa", "row", 1), (901, "12 ?!", None, "row", 1), (902, "", "bb", "row", 1), (None, "ka", None, "row", 1)], "doc_id long, text string, lang string, score string, n long")
-    model = langid.fit(langid.sample(docs, F.col("doc_id") % 3 != 1), ["▁ka", "la", "sch", "str", "gn", *"abcdefghijklmnopqrstuvwxyz"])
+    odd = [(900, None, "aa", "row", 1), (901, "12 ?!", None, "row", 1), (902, "", "bb", "row", 1), (None, "ka", None, "row", 1), (903, "ka" * 200_000, None, "row", 1)]
+    docs = spark.createDataFrame([*rows, *odd], "doc_id long, text string, lang string, score string, n long")
+    counts = langid.sample(docs, F.col("doc_id") % 3 != 1)
+    want = {}
+    for i, t, k, *_ in [*rows, *odd]:
+        if i is not None and i % 3 != 1 and t and k:
+            for w in langid.words_of(t):
+                want.setdefault(k, {}).setdefault(w, 0)
+                want[k][w] += 1
+    assert {k: dict(c) for k, c in counts.items()} == want
+    model = langid.fit(counts, ["▁ka", "la", "sch", "str", "gn", *"abcdefghijklmnopqrstuvwxyz"])
     got = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
     test = [r for r in rows if r[0] % 3 == 1]
     assert sum(got[r[0]]["lang_pred"] == r[2] for r in test) >= 0.95 * len(test)
     assert [got[k]["lang_pred"] for k in (900, 901, 902)] == ["und"] * 3
-    assert all(0 <= r["score"] <= 1 for r in got.values()) and len(got) == len(rows) + 4
-    assert langid.Scorer(langid.fit([], ["a"])).predict(["ka"]) == (["und"], [0.0])
+    assert all(0 <= r["score"] <= 1 for r in got.values()) and len(got) == len(rows) + 5
+    assert langid.Scorer(langid.fit({}, ["a"])).predict(["ka"]) == (["und"], [0.0])
+    assert langid.sample(docs.limit(0), F.col("doc_id") % 3 != 1) == {}
 
 
 def items(seed=0, n=30):
