@@ -1,18 +1,19 @@
 """Line dedup by winnowing over line hashes, in DataFrame and SQL functions only.
 
-A line here ends at a line break or at punctuation, so that a passage pasted into the middle of
-a line is seen as well. Every run of ``WINDOW`` consecutive lines selects its smallest line hash
-(the leftmost on ties); the selected positions are the document's fingerprints. Two documents
-that share a run of at least ``WINDOW`` lines share a fingerprint in it: that is winnowing's
+A line here ends at a line break or at punctuation, so that a passage pasted into the middle of a line is
+seen as well. Where it has more than ``LONG_CHARS`` characters it is cut further, after words that end in one of a few
+letters or after ``MOST_WORDS`` words, so that passages with hardly a comma are seen too. A run is two lines or more with
+``RUN_CHARS`` characters together, or else ``WINDOW`` lines. Every run selects its smallest line hash (the leftmost on ties); the selected positions are
+the document's fingerprints. Two documents that share a run share a fingerprint in it: that is winnowing's
 guarantee. Fingerprints that occur at two positions or more are joined back to their positions
-and extended to both sides over every window of lines that holds them. A window that also
+and extended to both sides over every run that holds them. A run that also
 occurs earlier (in a smaller document id, or further up in the same document) makes its lines
-go; windows that overlap or touch make one run. So what goes is exactly the lines in repeated
-runs of ``WINDOW`` lines or more, and the first occurrence stays.
+go; runs that overlap or touch make one. So what goes is exactly the lines in repeated
+runs, and the first occurrence stays.
 
-No pairs are formed: each fingerprint is reduced to its count, and each window to its first
+No pairs are formed: each fingerprint is reduced to its count, and each run to its first
 position, before it is joined, so that a passage that a third of all documents share costs one
-row for each of its occurrences.
+row for each of its occurrences. Runs are told apart by 128 bits of hash.
 """
 
 from __future__ import annotations
@@ -20,15 +21,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import release, stored
+from tessella.llm.common import stored
 
-#: Consecutive lines that make a run.
-WINDOW = 4
-#: A position's bits for the line; the document has the 39 above. Lines and documents beyond are refused.
-AT_BITS = 24
-MOST_DOCS = 1 << 39
+#: A run is so many lines, or as few as two if they have so many characters.
+WINDOW, RUN_CHARS = 4, 80
 #: One line with the punctuation or line breaks that end it; lines joined give the text again.
 LINE = r"[^.,;:!?\n]*[.,;:!?\n]+|[^.,;:!?\n]+"
+#: Longer lines are cut after words that end in one of these letters, or after so many words.
+LONG_CHARS, CUT_LETTERS, MOST_WORDS = 80, "dhlptx", 16
+CUT = rf"[ \t]*(?:[^ \t]+[ \t]+){{0,{MOST_WORDS - 1}}}?[^ \t]*[{CUT_LETTERS}][ \t]+|[ \t]*(?:[^ \t]+[ \t]+){{{MOST_WORDS}}}|[ \t]*[^ \t]+[\s\S]*|[ \t]+"
+TRIMMED = " \n\t\r"
 
 
 def once(value: Column, name: str) -> Column:
@@ -37,25 +39,27 @@ def once(value: Column, name: str) -> Column:
 
 
 def lines_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(LINE), F.lit(0))
+    all_of = lambda x, pattern: F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
+    return F.flatten(F.transform(all_of(text, LINE), lambda x: F.when(F.length(x) > LONG_CHARS, all_of(x, CUT)).otherwise(F.array(x))))
 
 
-def _lined(docs: DataFrame, window: int) -> DataFrame:
-    """Stored rows (uid, doc_id, hash, h, chosen): line hashes and fingerprint positions.
+def _lined(docs: DataFrame) -> DataFrame:
+    """Stored rows (uid, doc_id, hash, h, n, chosen): line hashes, the lines of the run that starts at each, fingerprint positions.
 
-    ``uid`` is in the order of the documents. Ids that are distinct and not too large serve as
-    they are; otherwise documents are numbered in the order of id and hash.
+    ``uid`` is in the order of the documents. Ids that are distinct serve as they are; otherwise documents
+    are numbered in the order of id and hash.
     """
-    hashes = F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(F.btrim(x, F.lit(" \n\t\r"))))
-    own = docs.select("doc_id", "hash", once(hashes, "h")).where(F.size("h") >= window)
-    own = own.withColumn("ok", F.when(F.size("h") < 1 << AT_BITS, True).otherwise(F.raise_error(F.lit("a document has too many lines")))).where("ok")
-    cut = lambda i: F.slice("h", i + 1, window)
-    starts = F.sequence(F.lit(0), F.size("h") - window)
+    own = docs.select("doc_id", "hash", once(F.transform(lines_of(F.col("text")), lambda x: F.btrim(x, F.lit(TRIMMED))), "t"))
+    own = own.where(F.size("t") > 1).select("doc_id", "hash", F.transform("t", lambda x: F.xxhash64(x)).alias("h"), F.transform("t", lambda x: F.length(x)).alias("c"))
+    upto = lambda i, n: sum((F.get("c", i + k) for k in range(1, n)), F.get("c", i))  # noqa: E731  null beyond the last line
+    runs = F.transform(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.when(upto(i, 2) >= RUN_CHARS, 2).when(upto(i, 3) >= RUN_CHARS, 3).when(i + WINDOW <= F.size("h"), WINDOW).otherwise(0).cast("byte"))
+    own = own.select("doc_id", "hash", "h", once(runs, "n"))
+    cut = lambda i: F.slice("h", i + 1, F.get("n", i).cast("int"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.get("n", i) > 0)
     chosen = F.array_distinct(F.transform(starts, lambda i: (i + F.array_position(cut(i), F.array_min(cut(i)))).cast("int") - 1))
-    own = own.select("doc_id", "hash", "h", chosen.alias("chosen"))
-    plain = docs.agg(F.count("*") == F.count_distinct("doc_id"), F.min("doc_id") >= 0, F.max("doc_id") < MOST_DOCS).first()
-    if all(plain):
-        return stored(own.select(F.col("doc_id").alias("uid"), "doc_id", "hash", "h", "chosen"), "line-hashes")
+    own = own.select("doc_id", "hash", "h", "n", chosen.alias("chosen")).where(F.size("chosen") > 0)
+    if docs.agg(F.count("*") == F.count_distinct("doc_id")).first()[0]:
+        return stored(own.select(F.col("doc_id").alias("uid"), "doc_id", "hash", "h", "n", "chosen"), "line-hashes")
     own = stored(own.dropDuplicates(["doc_id", "hash"]), "line-hashes")
     order = [F.asc_nulls_last("doc_id"), F.asc("hash")]
     keys = stored(own.select("doc_id", "hash").repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "hash", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")), "line-documents")
@@ -63,52 +67,44 @@ def _lined(docs: DataFrame, window: int) -> DataFrame:
     base = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n") - F.col("low")).alias("base"))  # a row per partition
     numbered = keys.join(F.broadcast(base), "part").select((F.col("row") + F.col("base")).alias("uid"), F.col("doc_id").alias("k_id"), F.col("hash").alias("k_hash"))
     joined = own.join(numbered, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("hash") == F.col("k_hash")))
-    return stored(joined.select("uid", "doc_id", "hash", "h", "chosen"), "line-hashes")
+    return stored(joined.select("uid", "doc_id", "hash", "h", "n", "chosen"), "line-hashes")
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Rows (doc_id, hash, ats): where windows of lines start that occur earlier; ``docs`` has doc_id, hash, text.
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, hash, runs): start and lines of the runs that occur earlier; ``docs`` has doc_id, hash, text.
 
-    Each step is a table of its own, and shuffle files go when they have served. A position is
-    one number, its document's ``uid`` before its line.
+    Each step is a table of its own.
     """
-    spark = docs.sparkSession
-    lined = _lined(docs, window)
-    place = lambda at: F.shiftleft("uid", AT_BITS) + at
-    seeds = lined.select("uid", F.posexplode(F.transform("chosen", lambda i: F.get("h", i))).alias("k", "seed"), "chosen")
-    seeds = seeds.select("seed", place(F.get("chosen", F.col("k"))).alias("place"))
+    lined = _lined(docs)
+    seeds = lined.select("uid", F.inline(F.transform("chosen", lambda i: F.struct(F.get("h", i).alias("seed"), i.alias("at")))))
     repeated = stored(seeds.groupBy("seed").count().where("count > 1").select("seed"), "repeated-seeds")
-    release(spark)
-    met = seeds.join(repeated, "seed").groupBy(F.shiftright("place", AT_BITS).alias("uid"))
-    met = stored(met.agg(F.collect_list((F.col("place") % (1 << AT_BITS)).cast("int")).alias("seeds")), "seed-positions")
-    release(spark)
-    around = lambda p: F.sequence(F.greatest(p - window + 1, F.lit(0)), F.least(p, F.size("h") - window))
+    met = stored(seeds.join(repeated, "seed").groupBy("uid").agg(F.collect_list("at").alias("seeds")), "seed-positions")
+    around = lambda p: F.filter(F.sequence(F.greatest(p - WINDOW + 1, F.lit(0)), p), lambda s: s + F.get("n", s) > p)
     starts = F.array_distinct(F.flatten(F.transform("seeds", around)))
-    near = lined.select("uid", "h").join(met, "uid").select("uid", "h", F.explode(starts).alias("at"))
-    near = stored(near.select(F.xxhash64(F.slice("h", F.col("at") + 1, window)).alias("window"), place(F.col("at")).alias("place")), "line-windows")
-    release(spark)
-    # a table of its own: a join of two plain shuffles is one that Spark can split where a window is hot
-    earliest = stored(near.groupBy("window").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-windows")
-    later = near.join(earliest, "window").where("place > first").groupBy(F.shiftright("place", AT_BITS).alias("uid"))
-    later = later.agg(F.collect_list((F.col("place") % (1 << AT_BITS)).cast("int")).alias("ats"))
-    later = stored(later.join(lined.select("uid", "doc_id", "hash"), "uid").select("doc_id", "hash", "ats"), "later-windows")
-    release(spark)
-    return later
-
-
-def drop_repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    run = lambda i: F.slice("h", i + 1, F.get("n", i).cast("int"))
+    each = lambda i: F.struct(F.xxhash64(run(i)).alias("run"), F.xxhash64(run(i), F.lit(1)).alias("check"), i.alias("at"), F.get("n", i).alias("n"))
+    near = stored(lined.select("uid", "h", "n").join(met, "uid").select("uid", F.inline(F.transform(starts, each))), "line-runs")
+    place = F.col("uid").cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("at")
+    # a table of its own: a join of two plain shuffles is one that Spark can split where a run is hot
+    earliest = stored(near.groupBy("run", "check").agg(F.min(place).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k"), "first-runs")
+    later = near.join(earliest, ["run", "check"]).where(place > F.col("first")).groupBy("uid").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
+    return stored(later.join(lined.select("uid", "doc_id", "hash"), "uid").select("doc_id", "hash", "runs"), "later-runs")
+
+
+def drop_repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (row, doc_id, text, n_lines, removed_lines): ``row`` holds all columns as they came.
 
     Documents are ordered by id, nulls last, then by their text's hash. Rows alike in both count
     as one document, and all keep or lose the same lines. A null text stays null, with no lines; a
-    text of fewer than ``window`` lines stays as it is; one whose lines all go becomes empty.
+    text without a run stays as it is; one whose lines all go becomes empty. Repeated rows, ties of
+    id and text, are thus all cleaned alike, an empty table stays empty, and no column's name clashes.
     """
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     own = own.withColumn("hash", F.xxhash64("text"))
-    by_doc = repeated_windows(own.select("doc_id", "hash", "text"), window).withColumnsRenamed({"doc_id": "f_id", "hash": "f_hash"})
+    by_doc = repeated_runs(own.select("doc_id", "hash", "text")).withColumnsRenamed({"doc_id": "f_id", "hash": "f_hash"})
     joined = own.join(by_doc, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("hash") == F.col("f_hash")), "left")
     lines = lines_of(F.col("text"))
-    gone = F.array_distinct(F.flatten(F.transform("ats", lambda p: F.sequence(p, p + window - 1))))
+    gone = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["at"] + r["n"] - 1))))
     joined = joined.select("row", "doc_id", "text", gone.alias("gone"), once(lines, "lines"))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     rest = F.array_join(F.transform(left, lambda i: F.get("lines", i)), "")
@@ -121,25 +117,28 @@ def drop_repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     )
 
 
-def clean_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def clean_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with its own columns, repeated runs gone from ``text`` and ``n_chars`` to match."""
-    cleaned = drop_repeated_runs(docs, window=window)
+    cleaned = drop_repeated_runs(docs)
     new = {"text": F.col("text"), "n_chars": F.coalesce(F.length("text"), F.lit(0)).cast("long")}
     return cleaned.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 ORACLE = rf"""
 WITH lined AS (
-  SELECT doc_id, text, regexp_extract_all(text, '{LINE.replace(chr(92) + "n", chr(10))}') AS lines FROM documents
+  SELECT doc_id, text, flatten(list_transform(regexp_extract_all(text, '{LINE}'),
+    lambda x: CASE WHEN length(x) > {LONG_CHARS} THEN regexp_extract_all(x, '{CUT}') ELSE [x] END)) AS lines FROM documents
 ), trimmed AS (
-  SELECT doc_id, lines, list_transform(lines, lambda x: trim(x, ' ' || chr(10) || chr(9) || chr(13))) AS t FROM lined
-), windows AS (
-  SELECT doc_id, i, t[i:i + {WINDOW} - 1] AS w
-  FROM trimmed, LATERAL (SELECT unnest(range(1, len(t) - {WINDOW} + 2)) AS i)
+  SELECT doc_id, list_transform(lines, lambda x: trim(x, ' ' || chr(10) || chr(9) || chr(13))) AS t FROM lined
+), sized AS (
+  SELECT doc_id, i, t, length(t[i]) + length(t[i + 1]) AS two, length(t[i]) + length(t[i + 1]) + length(t[i + 2]) AS three
+  FROM trimmed, LATERAL (SELECT unnest(range(1, len(t) + 1)) AS i)
+), runs AS (
+  SELECT doc_id, i, t, CASE WHEN two >= {RUN_CHARS} THEN 2 WHEN three >= {RUN_CHARS} THEN 3 WHEN i + {WINDOW} - 1 <= len(t) THEN {WINDOW} ELSE 0 END AS n FROM sized
 ), later AS (
-  SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1
+  SELECT doc_id, i, n FROM runs WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY t[i:i + n - 1] ORDER BY doc_id, i) > 1
 ), gone AS (
-  SELECT DISTINCT doc_id, i + k AS line FROM later, (SELECT unnest(range(0, {WINDOW})) AS k)
+  SELECT DISTINCT doc_id, i + k AS line FROM later, LATERAL (SELECT unnest(range(0, n)) AS k)
 ), numbered AS (
   SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM lined
 ), kept AS (

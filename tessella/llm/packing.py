@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from tessella.llm.common import stored, word_ids, word_pieces
 
 LENGTH, GRAIN = 4096, 8
-#: A class's pieces are ranked in so many parts, so that no class meets in one task.
-PARTS = 64
+#: Pieces of a part: a class is ranked in as many parts as its pieces ask for, so that no class meets in one task.
+PART_PIECES = 100_000
 
 
 def pieces_of(docs: DataFrame, tokenizer_json: str, end_id: int, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -141,36 +141,40 @@ def pack(pieces: DataFrame, length: int = LENGTH, grain: int = GRAIN) -> DataFra
     ``pieces`` should be a stored table: it is read twice. An empty table stays empty.
     """
     room = length // grain
-    part = F.pmod(F.xxhash64("doc_id", "start"), F.lit(PARTS)).cast("int")
-    own = pieces.withColumns({"_class": F.ceil(F.col("length") / grain).cast("long"), "_part": part})
-    # at most room x PARTS rows, however many documents there are
-    counts = own.groupBy("_class", "_part").count().withColumnRenamed("count", "_n")
-    histogram = {r["_class"]: r["n"] for r in counts.groupBy("_class").agg(F.sum("_n").alias("n")).collect()}
+    own = pieces.select(F.struct(*[F.col(f"`{c}`") for c in pieces.columns]).alias("piece"), F.ceil(F.col("length") / grain).cast("long").alias("class"))
+    # at most room rows, however many documents there are
+    histogram = {r["class"]: r["count"] for r in own.groupBy("class").count().collect()}
+    if not histogram:
+        return pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
     slots = _slots(histogram, room)
-    before = counts.select("_class", "_part", (F.sum("_n").over(Window.partitionBy("_class").orderBy("_part")) - F.col("_n")).alias("_before"))
-    order = Window.partitionBy("_class", "_part").orderBy(F.desc("length"), "doc_id", "start", *([F.col("ids_crc32")] if "ids_crc32" in pieces.columns else []))
-    ranked = own.withColumn("_rank", F.row_number().over(order).cast("long") - 1).join(F.broadcast(before), ["_class", "_part"])
-    ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_before", "_part")
+    parts = F.create_map(*[F.lit(x) for k, n in histogram.items() for x in (k, -(-n // PART_PIECES))])[F.col("class")]
+    own = own.withColumn("part", F.pmod(F.xxhash64("piece.doc_id", "piece.start"), parts).cast("int"))
+    counts = stored(own.groupBy("class", "part").count(), "piece-counts")
+    before = counts.select("class", "part", (F.sum("count").over(Window.partitionBy("class").orderBy("part")) - F.col("count")).alias("before"))
+    order = Window.partitionBy("class", "part").orderBy(F.desc("piece.length"), "piece.doc_id", "piece.start", *([F.col("piece.ids_crc32")] if "ids_crc32" in pieces.columns else []))
+    ranked = own.withColumn("rank", F.row_number().over(order).cast("long") - 1).join(before, ["class", "part"])
+    ranked = ranked.select("piece", "class", (F.col("rank") + F.col("before")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = slots["size"] << 44 | slots["rank"]
         for b in batches:
-            size, rank = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_class", "_rank"))
+            size, rank = (b.column(c).to_numpy(zero_copy_only=False) for c in ("class", "rank"))
             run = np.searchsorted(keys, size << 44 | rank, side="right") - 1
             inner = rank - slots["rank"][run]
             sequence = slots["sequence"][run] + inner // slots["each"][run]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sequence), pa.array(inner % slots["each"][run])], names=[*b.schema.names, "sequence_id", "_slot"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sequence), pa.array(inner % slots["each"][run])], names=[*b.schema.names, "sequence_id", "slot"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields)
-    placed = ranked.mapInArrow(place, f"{fields}, sequence_id long, _slot long")
-    inside = Window.partitionBy("sequence_id").orderBy(F.desc("_class"), "_slot")
-    offset = F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")
-    return placed.withColumn("offset", offset).drop("_class", "_rank", "_slot")
+    placed = ranked.mapInArrow(place, f"{fields}, sequence_id long, slot long")
+    inside = Window.partitionBy("sequence_id").orderBy(F.desc("class"), "slot")
+    offset = F.sum("piece.length").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("piece.length")
+    return placed.select("piece.*", "sequence_id", offset.alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_json: str, end_id: int, length: int = LENGTH) -> DataFrame:
     """Tokenizes, cuts and packs ``docs``: a row per piece.
 
-    A null text counts as empty: its end id alone. Repeated rows are packed each for itself.
+    A null text counts as empty: its end id alone. Repeated rows are packed each for itself, and so are
+    rows without an id; an empty table stays empty, and other columns of ``docs`` are not read.
     """
     return pack(stored(pieces_of(docs, tokenizer_json, end_id, length), "pieces"), length)

@@ -13,12 +13,20 @@ comparing the homes of an anchor with all that were replicated to it finds every
 Copies share a fingerprint and count once. What an anchor's task returns is a spanning forest
 of its links, not all pairs. Anchors that are home to many fingerprints are split: homes are
 dealt over salted parts, and what is replicated there goes to each part.
+
+Three bits of 64 are far less than what texts of a similarity of 0.8 differ in, about ten. ``drop_near_duplicates``
+serves a bound on the Jaccard similarity of shingles: fingerprints of 256 bits, and many
+blocks, each of ``GOLAY`` + ``EXACT`` bits sampled from them. A block's anchors are the words of the
+perfect Golay code (covering radius 3) with the further bits as they are; its threshold is zero, so that every
+fingerprint has one anchor in it. The pairs that meet at an anchor and are near in all 256 bits give a minimum spanning
+forest, and its edges are verified: only texts whose shingles are as similar as asked for link.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate, repeat
+from itertools import accumulate, combinations, repeat
+from math import acos, ceil, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -33,41 +41,72 @@ PART_HOMES = 1024
 #: Hot anchors up to this count are broadcast; beyond it the join shuffles.
 BROADCAST_ANCHORS = 20_000
 
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: 64-bit words of a wide fingerprint; bits of a block in the Golay code and as they are; blocks.
+#: Beyond some 10^8 documents each doubling wants one exact bit more, and a sixth more blocks for the same recall.
+WIDE, GOLAY, EXACT, BLOCKS = 4, 23, 6, 50
+#: A near-duplicate of the pipeline: so many words a shingle, and so much of the shingles of both in common.
+SHINGLE, SIMILARITY = 5, 0.8
 
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = SEED) -> int:
-    """The SimHash of one text as an unsigned integer; 0 for a null text or one without words."""
-    from xxhash import xxh64_intdigest
 
+def shingles(text: str | None, shingle: int) -> list[bytes]:
+    """The text's runs of ``shingle`` words, A-Z lower-cased; fewer words are one run, none give none."""
     words = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
     if not words:
-        return 0
+        return []
     whole = b" ".join(words)
     if len(words) <= shingle:
-        hashes = np.array([xxh64_intdigest(whole, seed)], dtype=np.uint64)
-    else:
-        ends = list(accumulate((len(w) + 1 for w in words)))
-        starts = [0, *ends[:-shingle]]
-        pieces = [whole[a : b - 1] for a, b in zip(starts, ends[shingle - 1 :], strict=True)]
-        hashes = np.fromiter(map(xxh64_intdigest, pieces, repeat(seed)), dtype=np.uint64, count=len(pieces))
-    set_bits = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 16384):
-        part = hashes[at : at + 16384]
-        set_bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
-    return int(np.packbits(set_bits * 2 > len(hashes), bitorder="little").view("<u8")[0])
-
-
-def fingerprints(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), shingle: int = 3) -> DataFrame:
-    """``keys`` and ``fp``, the fingerprint of ``text`` as a signed 64-bit integer, row by row."""
+        return [whole]
+    ends = list(accumulate((len(w) + 1 for w in words)))
+    starts = [0, *ends[:-shingle]]
+    return [whole[a : b - 1] for a, b in zip(starts, ends[shingle - 1 :], strict=True)]
+
+
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The hashes themselves for k = 0, and others made from them for each k above."""
+    if not k:
+        return hashes
+    x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def wide_fingerprint(text: str | None, shingle: int = 3, seed: int = SEED, words: int = WIDE) -> np.ndarray:
+    """The SimHash of one text in ``words`` unsigned 64-bit words; zero for a null text or one without words."""
+    from xxhash import xxh64_intdigest
+
+    pieces = shingles(text, shingle)
+    if not pieces:
+        return np.zeros(words, dtype=np.uint64)
+    hashes = np.fromiter(map(xxh64_intdigest, pieces, repeat(seed)), dtype=np.uint64, count=len(pieces))
+    made = np.zeros(words, dtype=np.uint64)
+    for k in range(words):
+        set_bits = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(hashes), 16384):
+            part = _mixed(hashes[at : at + 16384], k)
+            set_bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+        made[k] = np.packbits(set_bits * 2 > len(hashes), bitorder="little").view("<u8")[0]
+    return made
+
+
+def fingerprint(text: str | None, shingle: int = 3, seed: int = SEED) -> int:
+    """The SimHash of one text as an unsigned integer; 0 for a null text or one without words."""
+    return int(wide_fingerprint(text, shingle, seed, 1)[0])
+
+
+def fingerprints(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), shingle: int = 3, words: int = 1) -> DataFrame:
+    """``keys`` and ``fp``, the fingerprint of ``text``, row by row: a signed 64-bit integer, or bytes if it has more words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(x.as_py(), shingle) for x in b.column("_text")], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], names=[*keys, "fp"])
+            made = [wide_fingerprint(x.as_py(), shingle, words=words) for x in b.column("_text")]
+            fp = pa.array(np.array(made, dtype=np.uint64).reshape(-1).view(np.int64)) if words == 1 else pa.array([x.tobytes() for x in made], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], fp], names=[*keys, "fp"])
 
     taken = docs.select(*[F.col(k) for k in keys], F.col(text).cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:-1]) + ", fp long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:-1]) + (", fp long" if words == 1 else ", fp binary")
     return taken.mapInArrow(run, schema)
 
 
@@ -172,25 +211,151 @@ def _compare(max_bits: int):
     return run
 
 
+def _parted(placed: DataFrame, homes: DataFrame, part_homes: int) -> DataFrame:
+    """``placed`` with ``parts``: of how many parts each anchor is made, by the count of its ``homes``."""
+    counts = homes.groupBy("anchor").agg(F.ceil(F.count("*") / part_homes).cast("int").alias("parts"))
+    hot = stored(counts.where("parts > 1"), "hot-anchors")
+    n = hot.count()
+    if not n:
+        return placed.withColumn("parts", F.lit(1))
+    return placed.join(F.broadcast(hot) if n <= BROADCAST_ANCHORS else hot, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+
+
 def links(fps: DataFrame, max_bits: int = MAX_BITS, part_homes: int = PART_HOMES) -> DataFrame:
     """Edges (u, v) whose connected components are those of all links among distinct ``fp``."""
     if max_bits > 3:
         raise ValueError("two blocks find links of at most three bits")
     placed = fps.select("fp").mapInArrow(_replicate, "anchor long, visits boolean, fp long")
-    homes = placed.where("not visits").groupBy("anchor").count()
-    hot = stored(homes.where(F.col("count") > part_homes).select("anchor", F.ceil(F.col("count") / part_homes).cast("int").alias("parts")), "hot-anchors")
-    n_hot = hot.count()
-    if n_hot:
-        side = F.broadcast(hot) if n_hot <= BROADCAST_ANCHORS else hot
-        placed = placed.join(side, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        own = F.array(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-        placed = placed.select("anchor", "visits", "fp", F.explode(F.when(F.col("visits"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)).alias("part"))
-    else:
-        placed = placed.withColumn("part", F.lit(0))
+    placed = _parted(placed, placed.where("not visits"), part_homes)
+    every, mine = F.sequence(F.lit(0), F.col("parts") - 1), F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    placed = placed.select("anchor", "visits", "fp", F.explode(F.when(F.col("visits"), every).otherwise(F.array(mine))).alias("part"))
     dealt = placed.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "visits")
     return dealt.select("anchor", "part", "visits", "fp").mapInArrow(_compare(max_bits), "u long, v long")
 
 
+def _golay() -> tuple[np.ndarray, np.ndarray]:
+    """The syndrome of each of a block's bits in the Golay code, and the nearest word's mask for each syndrome."""
+    columns = []
+    for bit in range(GOLAY):
+        v = 1 << bit
+        for i in range(22, 10, -1):  # the rest after division by the code's generator, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
+            v ^= 0b110001110101 << (i - 11) if v >> i & 1 else 0
+        columns.append(v)
+    leaders = np.zeros(1 << 11, dtype=np.int64)
+    for n in (1, 2, 3):
+        for bits in combinations(range(GOLAY), n):
+            syndrome = 0
+            for i in bits:
+                syndrome ^= columns[i]
+            leaders[syndrome] = sum(1 << i for i in bits)
+    return np.array(columns, dtype=np.int64), leaders
+
+
+def _anchors(blocks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (anchor, fp): a wide fingerprint's anchor in each block, the block's number above its bits."""
+        columns, leaders = _golay()
+        size, rng = GOLAY + EXACT, np.random.default_rng(SEED)
+        per = WIDE * 64 // size
+        chosen = [x for _ in range(-(-blocks // per)) for x in rng.permutation(WIDE * 64)[: per * size].reshape(per, size)][:blocks]
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                column = b.column("fp").slice(at, 4096)
+                bits = np.unpackbits(np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, WIDE * 8), axis=1)
+                anchors = []
+                for k, places in enumerate(chosen):
+                    own = bits[:, places].astype(np.int64)
+                    syndrome = np.bitwise_xor.reduce(own[:, :GOLAY] * columns, axis=1)
+                    anchors.append((own << np.arange(size)).sum(axis=1) ^ leaders[syndrome] | k << size)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchors)), pa.concat_arrays([column] * blocks)], names=["anchor", "fp"])
+
+    return run
+
+
+def _nearest(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Edges (u, v): a minimum spanning forest of the pairs of a part that differ in at most ``most`` bits.
+
+        Rows come by (anchor, part), homes first; pairs have a home in them. Of a part that goes on in
+        the next batch only the homes are held.
+        """
+        held = None
+        for b in (b for b in batches if b.num_rows):
+            anchor, part, visits = (b.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "part", "visits"))
+            fp = np.frombuffer(b"".join(b.column("fp").to_pylist()), dtype=np.uint64).reshape(-1, WIDE)
+            known = 0
+            if held is not None and (held[0][-1], held[1][-1]) == (anchor[0], part[0]):
+                known = len(held[0])
+                anchor, part, visits, fp = (np.concatenate(x) for x in zip(held, (anchor, part, visits, fp), strict=True))
+            group = np.r_[0, np.cumsum((anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1]))]
+            last = np.flatnonzero((group == group[-1]) & ~visits)
+            held = (anchor[last], part[last], visits[last], fp[last]) if len(last) else None
+            i, found = np.flatnonzero(~visits), []
+            for k in range(1, len(group)):
+                i = i[i + k < len(group)]
+                i = i[group[i] == group[i + k]]
+                if not len(i):
+                    break
+                bits = np.bitwise_count(fp[i] ^ fp[i + k]).sum(axis=1, dtype=np.int64)
+                near = np.flatnonzero((bits <= most) & (i + k >= known))
+                found.append((bits[near], i[near], i[near] + k))
+            if not found:
+                continue
+            bits, u, v = (np.concatenate(x) for x in zip(*found, strict=True))
+            order, root, kept = np.argsort(bits, kind="stable"), {}, []
+
+            def find(x: int, root: dict[int, int] = root) -> int:
+                while (up := root.get(x, x)) != x:
+                    root[x] = root.get(up, up)
+                    x = up
+                return x
+
+            for x, y in zip(u[order].tolist(), v[order].tolist(), strict=True):
+                a, c = find(x), find(y)
+                if a != c:
+                    root[a] = c
+                    kept.append((x, y))
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array([fp[r[side]].tobytes() for r in kept], pa.binary()) for side in (0, 1)], names=["u", "v"])
+
+    return run
+
+
+def _verified(shingle: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for s, t in zip(b.column("s"), b.column("t"), strict=True):
+                one, other = set(shingles(s.as_py(), shingle)), set(shingles(t.as_py(), shingle))
+                keep.append(len(one & other) >= similarity * len(one | other))
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def met_pairs(fps: DataFrame, similarity: float = SIMILARITY, blocks: int = BLOCKS, part_homes: int | None = None) -> DataFrame:
+    """Pairs (u, v) of distinct wide ``fp`` that meet at an anchor and may be as similar as asked for.
+
+    At 0.8, 50 blocks bring about nine in ten of the pairs that similar together, at 0.9 nearly all. Of an
+    anchor's pairs those of a minimum spanning forest are returned.
+    """
+    share = acos(2 * similarity / (1 + similarity)) / pi  # the bits that two such texts differ in, on average
+    most = ceil(WIDE * 64 * share + 3.2 * sqrt(WIDE * 64 * share * (1 - share)))
+    own = fps.select("fp").mapInArrow(_anchors(blocks), "anchor long, fp binary")
+    own = _parted(own, own, part_homes or PART_HOMES)
+    every, mine = F.sequence(F.lit(0), F.col("parts") - 1), F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    own = own.select("anchor", "fp", F.explode(every).alias("part"), mine.alias("mine")).withColumn("visits", F.col("part") != F.col("mine"))
+    dealt = own.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "visits")
+    met = dealt.select("anchor", "part", "visits", "fp").mapInArrow(_nearest(most), "u binary, v binary")
+    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def similar_links(met: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs of ``met`` whose texts' shingles have a Jaccard similarity of ``similarity`` or more; ``texts`` has fp and text."""
+    pairs = met.join(texts.select(F.col("fp").alias("u"), F.col("text").alias("s")), "u").join(texts.select(F.col("fp").alias("v"), F.col("text").alias("t")), "v")
+    return pairs.select("u", "v", "s", "t").mapInArrow(_verified(shingle, similarity), "u binary, v binary")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per document: its id, ``fingerprint`` and ``component_id``, the smallest id reachable.
 
@@ -209,21 +374,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, blocks: int = BLOCKS) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one with the smallest id.
 
-    Of rows that share that id one stays, the first by its text's hash. Rows with a null id are
+    Texts link as ``similar_links`` says, or if they share a wide fingerprint; null texts and those without words are one
+    group. Of rows that share the smallest id one stays, the first by its text's hash. Rows with a null id are
     told apart by their text and stay only if no row of their group has an id.
     """
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     own = own.withColumn("hash", F.xxhash64("text"))
-    fps = stored(fingerprints(own.select("doc_id", "hash", "text"), keys=("doc_id", "hash"), shingle=shingle), "fingerprints")
+    fps = stored(fingerprints(own.select("doc_id", "hash", "text"), keys=("doc_id", "hash"), shingle=shingle, words=WIDE), "fingerprints")
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
     each = stored(fps.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
-    roots = components(links(each.select("fp"), max_bits))
+    same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("hash") == F.col("k_hash"))
+    met = stored(met_pairs(each, similarity, blocks), "met-fingerprints")
+    ends = met.select(F.col("u").alias("fp")).unionByName(met.select(F.col("v").alias("fp"))).distinct()
+    first = each.join(ends, "fp").select("fp", F.col("least.doc_id").alias("k_id"), F.col("least.hash").alias("k_hash"))
+    texts = stored(own.select("doc_id", "hash", "text").join(first, same).select("fp", "text").dropDuplicates(["fp"]), "met-texts")
+    roots = components(similar_links(met, texts, shingle, similarity))
     rooted = each.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.hash")
-    left = own.join(kept.withColumnsRenamed({"doc_id": "k_id", "hash": "k_hash"}), F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("hash") == F.col("k_hash")), "left_semi")
+    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("k_id"), F.col("least.hash").alias("k_hash"))
+    left = own.join(kept, same, "left_semi")
     repeats = fps.groupBy("doc_id", "hash").count().where("count > 1").limit(1).count()
     left = left.dropDuplicates(["doc_id", "hash"]) if repeats else left
     return left.select("row.*")

@@ -17,6 +17,7 @@ twice leaves at most a file that no table names.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,7 +26,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import byte_pieces, shared_dir, stored, word_ids
@@ -89,8 +90,15 @@ class FrameWriter:
 def _opened(uri: str):
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(uri)
-    return system, path
+    return fs.FileSystem.from_uri(uri)
+
+
+def _whole(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme: one without lies in Spark's default file system, not on a worker's disk."""
+    if re.match("[A-Za-z][A-Za-z0-9+.-]*:", path):
+        return path
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS")
+    return ("file://" if default.startswith("file:") else default.rstrip("/")) + path
 
 
 class FrameReader:
@@ -138,17 +146,21 @@ def read_frame(source, offset: int, packed: int, size: int, checksum: int) -> li
     return [(None if x else int(k), part) for k, x, part in zip(keys, none, np.split(ids, ends[:-1]), strict=True)]
 
 
-def write_tokens(docs: DataFrame, tokenizer_json: str, end_id: int, path: str, pieces: Callable[[str], list[str]] = byte_pieces, doc_id: str = "doc_id", text: str = "text", vocabulary: int = 65536) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer_json: str, end_id: int, path: str, pieces: Callable[[str], list[str]] = byte_pieces, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes ``text``, ends each document with ``end_id`` and writes files under ``path``.
 
     Documents lie in ascending order of their ids, nulls first, ties by the text's hash; file
     numbers ascend with them. Returns the stored table (shard, file, size), a row per file.
-    A null text counts as empty: its end id alone. An empty table gives no file.
+    A null text counts as empty: its end id alone. Rows that repeat are written each for itself. An empty
+    table gives no file. Ids take two bytes where the tokenizer and ``end_id`` allow it.
     """
+    from tokenizers import Tokenizer
+
     spark = docs.sparkSession
+    path = _whole(spark, path)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     code = spark.sparkContext.broadcast(tokenizer_json)  # one tokenizer's file: its size is fixed
-    width = 2 if vocabulary <= 65536 else 4
+    width = 2 if max(end_id, *Tokenizer.from_str(tokenizer_json).get_vocab(with_added_tokens=True).values()) < 1 << 16 else 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

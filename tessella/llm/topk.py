@@ -3,7 +3,7 @@
 Vectors become integers, floor(256 x). All candidates are scored against all queries, slice by
 slice. First for histograms of the scores: the bin that holds each query's k-th highest score is
 found from the counts of all slices, and becomes the next pass's range, until a range is one
-score wide. Then, once more, for the rows at or above the k-th score, ties by smaller id. A
+score wide. A histogram is sent as the few bins that have a score. Then, once more, for the rows at or above the k-th score, ties by smaller id. A
 slice never reports more than k rows for a query: what lies below a slice's own k best cannot
 be among the k best of all.
 """
@@ -19,18 +19,20 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import stored
 
-K, SCALE, BINS = 5, 256, 1024
-#: Candidates of a slice, at most on average and, so that small tables are spread too, at least.
-SLICE_ROWS, LEAST_ROWS = 65536, 2048
+K, SCALE, BINS = 5, 256, 1 << 18
+#: Components of a slice's candidates, at most on average, and, so that small tables are spread too, its least rows.
+SLICE_CELLS, LEAST_ROWS = 1 << 24, 2048
 #: Queries scored at once.
 QUERY_ROWS = 64
+#: Scores beyond 64-bit integers count as the nearest of them.
+LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
 def integers(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """Rows (vec_id, dim, v, norm): valid vectors as packed 64-bit integers, with their length.
+    """Rows (vec_id, dim, v, norm): valid vectors in the least of 2, 4 or 8 bytes a component, with their length.
 
     Vectors that are null, or hold a null, infinite or not-a-number component, take no part, nor
-    do rows without an id. A component whose integer exceeds 2^31 is refused with an error.
+    do rows without an id. In 2 and 4 bytes lie the integers; 8 bytes hold the components as they came.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,29 +42,65 @@ def integers(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embed
                 values = x.values
                 if values is None or values.null_count:
                     continue
-                v = np.floor(SCALE * values.to_numpy(zero_copy_only=False).astype(np.float64))
-                if not np.isfinite(v).all():
+                given = values.to_numpy(zero_copy_only=False).astype(np.float64)
+                if not np.isfinite(given).all():
                     continue
-                if len(v) and np.abs(v).max() > 2**31:
-                    raise ValueError(f"vector {key} has a component too large for integer scores")
+                with np.errstate(over="ignore"):
+                    v = np.floor(SCALE * given)
+                    most, norm = np.abs(v).max(initial=0), float(np.sqrt((v * v).sum()))
                 ids.append(key)
                 dims.append(len(v))
-                packed.append(v.astype("<i8").tobytes())
-                norms.append(float(np.sqrt((v * v).sum())))
+                packed.append(v.astype("<i2").tobytes() if most < 1 << 15 else v.astype("<i4").tobytes() if most < 1 << 31 else given.astype("<f8").tobytes())
+                norms.append(norm)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(packed, pa.binary()), pa.array(norms, pa.float64())], names=["vec_id", "dim", "v", "norm"])
 
     own = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("e"))
     return own.where("vec_id is not null and e is not null").mapInArrow(run, "vec_id long, dim int, v binary, norm double")
 
 
-def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Integer inner products; through floating point where that is exact."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
-    if most < 2**53:
-        return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    if most >= 2**63:
-        raise ValueError("scores exceed 64-bit integers")
-    return q @ c.T
+class Vectors:
+    """Packed vectors of one dimension: as floating-point numbers, and the few large ones as exact integers."""
+
+    def __init__(self, packed: list[bytes], dim: int):
+        self.large = [k for k, v in enumerate(packed) if dim and len(v) == 8 * dim]
+        zero = bytes(2 * dim)
+        small = [v if len(v) < 8 * dim or not dim else zero for v in packed]
+        self.values = np.zeros((len(packed), dim))
+        for width, kind in ((2, "<i2"), (4, "<i4")):
+            rows = [k for k, v in enumerate(small) if len(v) == width * dim]
+            if rows and dim:
+                self.values[rows] = np.frombuffer(b"".join(small[k] for k in rows), dtype=kind).reshape(-1, dim)
+        self.norm = float(np.sqrt((self.values * self.values).sum(axis=1).max(initial=0)))
+        self.exact = {k: [int(x) * SCALE if abs(x) >= 1 << 53 else int(np.floor(SCALE * x)) for x in np.frombuffer(packed[k], dtype="<f8").tolist()] for k in self.large}
+
+    def row(self, k: int) -> list[int]:
+        return self.exact[k] if k in self.exact else [int(x) for x in self.values[k].tolist()]
+
+    @property
+    def single(self) -> np.ndarray:
+        if not hasattr(self, "_single"):
+            self._single = np.ascontiguousarray(self.values.T.astype(np.float32))
+        return self._single
+
+
+def _scores(q: Vectors, c: Vectors) -> np.ndarray:
+    """Integer inner products; through floating point where that is exact, which the lengths tell."""
+    most = q.norm * c.norm * (1 + 1e-9)
+    if most < 1 << 24:
+        scores = (q.values.astype(np.float32) @ c.single).astype(np.int64)
+    elif most < 1 << 53:
+        scores = (q.values @ c.values.T).astype(np.int64)
+    else:
+        scores = np.array([[_clamped(q.row(i), c.row(j)) for j in range(len(c.values))] for i in range(len(q.values))], dtype=np.int64)
+    for i in q.large:
+        scores[i] = [_clamped(q.row(i), c.row(j)) for j in range(len(c.values))]
+    for j in c.large:
+        scores[:, j] = [_clamped(q.row(i), c.row(j)) for i in range(len(q.values))]
+    return scores
+
+
+def _clamped(a: list[int], b: list[int]) -> int:
+    return min(max(sum(x * y for x, y in zip(a, b, strict=True)), LOW), HIGH)
 
 
 def _by_slice(report):
@@ -71,18 +109,12 @@ def _by_slice(report):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, vectors, cands, waiting = None, [], [], None, []
 
-        def ready(dim: int):
-            return np.array(ids, dtype=np.int64), np.frombuffer(b"".join(vectors), dtype="<i8").reshape(-1, dim)
-
         def done():
             nonlocal waiting
-            if waiting and cands is not None and len(cands[0]):
-                q = np.frombuffer(b"".join(w["v"] for w in waiting), dtype="<i8").reshape(len(waiting), -1)
-                made = report(waiting, _scores(q, cands[1]), cands[0])
-                waiting = []
-                return made
-            waiting = []
-            return None
+            asked, waiting = waiting, []
+            if not asked or not len(cands[0]):
+                return None
+            return report(asked, _scores(Vectors([w["v"] for w in asked], key[1]), cands[1]), cands[0])
 
         for b in batches:
             for row in b.to_pylist():
@@ -95,7 +127,8 @@ def _by_slice(report):
                     vectors.append(row["v"])
                     continue
                 if cands is None:
-                    cands = ready(row["dim"])
+                    cands = np.array(ids, dtype=np.int64), Vectors(vectors, row["dim"])
+                    vectors = []
                 waiting.append(row)
                 if len(waiting) == QUERY_ROWS and (made := done()) is not None:
                     yield made
@@ -113,10 +146,13 @@ def _own_out(scores: np.ndarray, queries: list[dict], ids: np.ndarray) -> np.nda
 def _histogram(queries: list[dict], scores: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     rows, other = [], _own_out(scores, queries, ids)
     for q, s, ok in zip(queries, scores, other, strict=True):
-        s = s[ok & (s >= q["low"]) & (s < q["high"])]
+        width = int(q["width"])
+        low, high = q["low"], min(q["low"] + width * q["bins"] - 1, HIGH)
+        s = s[ok & (s >= low) & (s <= high)]
         if len(s) > q["need"]:
             s = np.partition(s, len(s) - q["need"])[len(s) - q["need"] :]
-        bins, counts = np.unique((s - q["low"]) // q["width"], return_counts=True)
+        # as unsigned numbers a difference from ``low`` is right even where it exceeds a signed one
+        bins, counts = np.unique((s.view(np.uint64) - np.int64(low).view(np.uint64)) // np.uint64(width), return_counts=True)
         rows += [(q["vec_id"], int(x), int(n)) for x, n in zip(bins, counts, strict=True)]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["query_id", "bin", "n"])
 
@@ -137,25 +173,26 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_i
 
     ``is_query`` is a condition on ``vec_id``. Rows of a query's own id are not among its
     candidates; where rows repeat a query's id, the one with the smallest vector asks. Vectors
-    of another dimension than the query's take no part. A query without candidates has no row.
+    of another dimension than the query's take no part. A query without candidates has no row. Scores beyond
+    the 64-bit integers count as the nearest of them, so that among them ids decide.
     """
     own = stored(integers(vectors, vec_id, embedding), "vectors")
-    n, longest = own.agg(F.count("*"), F.max("norm")).first()
+    n, longest, dims = own.agg(F.count("*"), F.max("norm"), F.max("dim")).first()
     if not n:
         return own.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.col("vec_id").alias("score"))
-    slices = max(-(-n // SLICE_ROWS), min(64, -(-n // LEAST_ROWS)))
-    bound = int(longest * longest * (1 + 1e-9)) + 1  # no inner product is larger
-    width = 1
-    while width * BINS < 2 * bound + 1:
+    slices = max(-(-n * max(dims, 1) // SLICE_CELLS), min(64, -(-n // LEAST_ROWS)))
+    bound = HIGH if longest > 3e9 else min(int(longest * longest * (1 + 1e-9)) + 1, HIGH)  # no inner product is larger
+    low, width = -bound - 1, 1
+    while width * BINS < bound - low + 1:
         width *= BINS
     asks = own.where(is_query).groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("x")).select("vec_id", "x.dim", "x.v")
-    asks = stored(asks.withColumns({"low": F.lit(-bound).cast("long"), "need": F.lit(k)}), "queries")
+    asks = stored(asks.withColumns({"low": F.lit(low).cast("long"), "need": F.lit(k)}), "queries")
     rest = {"low": F.lit(0).cast("long"), "need": F.lit(0)}
     cands = own.select(F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int").alias("slice"), F.lit(False).alias("query"), "vec_id", "dim", "v").withColumns(rest)
 
     def scored(queries: DataFrame, report, width: int, schema: str) -> DataFrame:
         each = queries.select(F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(True).alias("query"), "vec_id", "dim", "v", "low", "need")
-        both = cands.unionByName(each).withColumns({"width": F.lit(width).cast("long"), "high": F.col("low") + width * BINS})
+        both = cands.unionByName(each).withColumns({"width": F.lit(str(width)), "bins": F.lit(BINS)})
         return both.repartition("slice").sortWithinPartitions("slice", "dim", "query").mapInArrow(_by_slice(report), schema)
 
     while True:
@@ -165,7 +202,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_i
         # the bin that holds the k-th score; the lowest one that has a score where there are fewer than k
         reached = reached.withColumn("hit", F.col("upto") >= F.col("need"))
         chosen = reached.groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("hit"), F.struct("bin", "upto", "n"))), F.min(F.struct("bin", "upto", "n"))).alias("c"), F.first("low").alias("low"), F.first("need").alias("need"))
-        state = chosen.select("query_id", (F.col("low") + F.col("c.bin") * width).alias("low"), (F.col("need") - F.col("c.upto") + F.col("c.n")).cast("int").alias("need"))
+        state = chosen.select("query_id", (F.col("low").cast("decimal(38,0)") + F.col("c.bin").cast("decimal(19,0)") * F.lit(width).cast("decimal(19,0)")).cast("long").alias("low"), (F.col("need") - F.col("c.upto") + F.col("c.n")).cast("int").alias("need"))
         asks = stored(asks.drop("low", "need").join(state.withColumnRenamed("query_id", "vec_id"), "vec_id"), "queries")
         if width == 1:
             break

@@ -76,7 +76,66 @@ def test_near_duplicates_odd_rows(spark):
     assert simhash.near_duplicates(empty).count() == 0
     kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA))
     assert kept.columns == ["doc_id", "text", "fp", "component_id"]
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3, 4, 6, 7, 8, 9]
+    assert simhash.drop_near_duplicates(empty).count() == 0
+
+
+def test_golay_code_is_perfect():
+    columns, leaders = simhash._golay()
+    assert len(set(leaders.tolist())) == 1 << 11 and max(int(x).bit_count() for x in leaders) == 3
+
+
+def similar_texts(n, seed=1):
+    """Groups of texts, each made from one by replacing some of its words."""
+    rng = random.Random(seed)
+    words, texts = ["".join(rng.choices("abcdefghij", k=4)) for _ in range(3000)], []
+    for _ in range(n):
+        base = rng.choices(words, k=rng.randrange(40, 300))
+        for share in (0, 0, 0.01, 0.01, 0.02, 0.03, 0.04, 0.3):
+            texts.append(" ".join(rng.choice(words) if rng.random() < share else w for w in base))
+    return texts
+
+
+def jaccard_components(texts, similarity):
+    own = {i: set(simhash.shingles(t, 5)) for i, t in texts.items()}
+    root = {i: i for i in own}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sorted(own):
+        for b in own:
+            if a < b and len(own[a] & own[b]) >= similarity * len(own[a] | own[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in own}
+
+
+def test_similar_documents_against_brute_force_jaccard(spark, monkeypatch):
+    texts = dict(enumerate(similar_texts(25)))
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in texts.items()], SCHEMA).repartition(4)
+    want = {i for i, r in jaccard_components(texts, 0.8).items() if i == r}
+    for homes in (1024, 2):
+        monkeypatch.setattr(simhash, "PART_HOMES", homes)
+        kept = {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()}
+        assert want <= kept  # nothing goes that is not a near-duplicate
+        assert len(kept - want) <= 0.1 * (len(texts) - len(want))
+
+
+def test_hot_anchors_give_the_same_links(spark):
+    texts = similar_texts(3, seed=7)
+    rows = [(bytearray(simhash.wide_fingerprint(t, 5).tobytes()),) for t in dict.fromkeys(texts)]
+    fps = spark.createDataFrame(rows, "fp binary").distinct()
+    groups = []
+    for homes in (1024, 2):
+        roots = components(simhash.met_pairs(fps, part_homes=homes)).collect()
+        by = {}
+        for r in roots:
+            by.setdefault(bytes(r["root"]), set()).add(bytes(r["node"]))
+        groups.append(sorted(map(sorted, by.values())))
+    assert groups[0] == groups[1] and len(groups[0]) == 3
 
 
 @pytest.mark.parametrize("name, pieces", [("byte_bpe_50k.json", byte_pieces), ("word_bpe_49k.json", word_pieces)])
@@ -182,6 +241,21 @@ def test_packing(spark):
     assert packing.pack_documents(df.limit(0), code, 2).count() == 0
     twice = packing.pack_documents(df.where(F.col("doc_id") == 904).union(df.where(F.col("doc_id") == 904)), code, 2).collect()
     assert len(twice) == 2
+    none = packing.pack_documents(spark.createDataFrame([(None, "a b c", "x", 1), (None, None, "x", 1), (1, "word " * 30_000, "x", 1)], SCHEMA), code, 2).collect()
+    assert sum(r["length"] for r in none) == 4 + 1 + 30_001 and sorted(r["length"] for r in none if r["doc_id"] is None) == [1, 4]
+
+
+def test_packing_in_many_parts_and_with_any_columns(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART_PIECES", 7)
+    rng = random.Random(4)
+    rows = [(i, 0, rng.choice([64, 64, 64, rng.randrange(1, 64)]), "x", 5) for i in range(400)]
+    packed = packing.pack(spark.createDataFrame(rows, "doc_id long, start long, length long, rank string, class int"), 64, 8).collect()
+    assert sorted(r["doc_id"] for r in packed) == list(range(400)) and {r["rank"] for r in packed} == {"x"}
+    by = {}
+    for r in packed:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in by.values():
+        assert [o for o, _ in sorted(pieces)] == [sum(n for _, n in sorted(pieces)[:k]) for k in range(len(pieces))] and sum(n for _, n in pieces) <= 64
 
 
 @pytest.mark.parametrize("name, pieces", [("byte_bpe_50k.json", byte_pieces), ("word_bpe_49k.json", word_pieces)])

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -11,16 +12,23 @@ from tessella.llm import decontamination, langid, line_dedup, pii, topk, toxicit
 SCHEMA = "doc_id long, text string, hash string, row string, n_chars long"
 
 
-def brute_lines(docs, window=line_dedup.WINDOW):
-    """Texts after every window of lines that occurs earlier has lost its lines; docs in order."""
+def cut_lines(text):
+    return [y for x in re.findall(line_dedup.LINE, text) for y in (re.findall(line_dedup.CUT, x) if len(x) > line_dedup.LONG_CHARS else [x])]
+
+
+def brute_lines(docs):
+    """Texts after every run of lines that occurs earlier has lost its lines; docs in order."""
     seen, out = set(), {}
     for key, text in docs:
-        lines = re.findall(line_dedup.LINE, text or "")
+        lines = cut_lines(text or "")
         trimmed, gone = [x.strip(" \n\t\r") for x in lines], set()
-        for i in range(len(lines) - window + 1):
-            w = tuple(trimmed[i : i + window])
+        for i in range(len(lines)):
+            n = next((k for k in (2, 3) if i + k <= len(lines) and sum(map(len, trimmed[i : i + k])) >= line_dedup.RUN_CHARS), line_dedup.WINDOW)
+            if i + n > len(lines):
+                continue
+            w = tuple(trimmed[i : i + n])
             if w in seen:
-                gone.update(range(i, i + window))
+                gone.update(range(i, i + n))
             seen.add(w)
         out[key] = "".join(x for i, x in enumerate(lines) if i not in gone) if gone else text
     return out
@@ -39,20 +47,27 @@ def made_texts(n, seed):
     return texts
 
 
-@pytest.mark.parametrize("shift", [0, 1 << 39])
+@pytest.mark.parametrize("shift", [0, -(1 << 62), (1 << 63) - 200])
 def test_line_dedup_equals_brute_force(spark, shift):
     docs = [(shift + i, t) for i, t in enumerate(made_texts(60, 4))]
     docs += [(shift + 100, docs[7][1]), (shift + 101, ""), (shift + 102, None), (shift + 103, "a. " * 50), (shift + 104, "no end"), (shift + 105, "..,,\n\n")]
+    words = ["".join(random.Random(k).choices("abdehlo", k=5)) for k in range(300)]
+    passage = " ".join(words[:60])
+    docs += [(shift + 110 + k, f"{' '.join(words[70 + 20 * k : 90 + 20 * k])} {passage} {' '.join(words[90 + 20 * k : 97 + 20 * k])}") for k in range(5)]
+    docs += [(shift + 120, "a." * 40_000), (shift + 121, "word" * 300_000)]
     rows = [(k, t, "x", "y", len(t or "")) for k, t in docs]
     df = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), SCHEMA).repartition(5)
     got = {r["doc_id"]: r["text"] for r in line_dedup.clean_documents(df).collect()}
     assert got == brute_lines(docs)
+    assert all(len(got[shift + 110 + k].split()) <= 27 + 20 for k in range(1, 5))  # of the passage without a comma a line at either end may stay
     assert line_dedup.clean_documents(df).columns == ["doc_id", "text", "hash", "row", "n_chars"]
     assert line_dedup.clean_documents(df.limit(0)).count() == 0
 
 
 def test_line_dedup_odd_ids(spark):
     text = "One line. Two lines, three lines. Four lines. Five."
+    for t in (text, "a b " * 90, " \t" * 60 + "x. y", "x" * 300 + " ad" * 40 + "\n\n" + "word " * 200 + "."):
+        assert "".join(cut_lines(t)) == t
     rows = [(None, text, "x", "y", 1), (5, text, "x", "y", 1), (5, text, "x", "y", 1), (2, "Other. " + text, "x", "y", 1)]
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in line_dedup.clean_documents(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == [(False, 2, "Other. " + text), (False, 5, ""), (False, 5, ""), (True, 0, "")]
@@ -274,6 +289,24 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("bins", [16, 1 << 18])
+def test_top_k_with_large_components(spark, monkeypatch, bins):
+    """Every finite component takes part; scores that no long holds count as the nearest that one does."""
+    monkeypatch.setattr(topk, "BINS", bins)
+    rng = random.Random(6)
+    sizes = [1.0, 1e3, 1e7, 1e10, 1e17, 1e100, 1.7e308]
+    vectors = [(i, [rng.choice([-1, 0, 1]) * rng.random() * rng.choice(sizes[: 2 + i % 6]) for _ in range(4)]) for i in range(120)]
+    vectors += [(150, [0.5, 0.25, -1.0, 2.0]), (151, [1e308, -1e308, 0.0, 1.0]), (200, [1.0, 1.0, 1.0, 1.0]), (250, [])]
+    got = sorted(tuple(r) for r in topk.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect())
+    ints = {i: [math.floor(Fraction(x) * 256) for x in v] for i, v in vectors}
+    want = []
+    for q in (0, 50, 100, 150, 200):
+        score = lambda c: min(max(sum(a * b for a, b in zip(ints[q], ints[c], strict=True)), -(2**63)), 2**63 - 1)  # noqa: B023, E731
+        best = sorted((-score(c), c) for c in ints if c != q and ints[c])[:5]
+        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
+    assert got == sorted(want)
+
+
 def test_url_parts_and_rules(spark):
     urls = ["HTTP://A.Example.NET/en/x?y#z", "x://example.net/EN/", "http://org/fr/", "http://xorg/fr/", "http://b.org/fr?x", "http://net", "http://NET?/", "no scheme", None, "http://example.com/de/a://b", "://h.net/"]
     df = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
