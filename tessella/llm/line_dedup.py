@@ -2,8 +2,9 @@
 
 A line here ends at a line break or at punctuation, so that a passage pasted into the middle of a line is
 seen as well. Where it has more than ``LONG_CHARS`` characters it is cut further, after words that end in one of a few
-letters or after ``MOST_WORDS`` words, so that passages with hardly a comma are seen too. A run is two lines or more with
-``RUN_CHARS`` characters together, or else ``WINDOW`` lines. Every run selects its smallest line hash (the leftmost on ties); the selected positions are
+letters, so that passages with hardly a comma are seen too. A run is two lines or more with
+``RUN_CHARS`` characters together, or else ``WINDOW`` lines. Every run selects its smallest line hash (the leftmost on ties), hashes of longer lines being smaller than
+those of short ones, which recur by chance; the selected positions are
 the document's fingerprints. Two documents that share a run share a fingerprint in it: that is winnowing's
 guarantee. Fingerprints that occur at two positions or more are joined back to their positions
 and extended to both sides over every run that holds them. A run that also
@@ -24,12 +25,13 @@ from pyspark.sql import functions as F
 from tessella.llm.common import stored
 
 #: A run is so many lines, or as few as two if they have so many characters.
-WINDOW, RUN_CHARS = 4, 80
+WINDOW, RUN_CHARS = 4, 120
 #: One line with the punctuation or line breaks that end it; lines joined give the text again.
 LINE = r"[^.,;:!?\n]*[.,;:!?\n]+|[^.,;:!?\n]+"
-#: Longer lines are cut after words that end in one of these letters, or after so many words.
-LONG_CHARS, CUT_LETTERS, MOST_WORDS = 80, "dhlptx", 16
-CUT = rf"[ \t]*(?:[^ \t]+[ \t]+){{0,{MOST_WORDS - 1}}}?[^ \t]*[{CUT_LETTERS}][ \t]+|[ \t]*(?:[^ \t]+[ \t]+){{{MOST_WORDS}}}|[ \t]*[^ \t]+[\s\S]*|[ \t]+"
+#: Longer lines are cut after words that end in one of these letters.
+LONG_CHARS, CUT = 80, r"[dhlptx][ \t]"
+#: Lines of so many characters have the smaller hashes.
+SHORT_CHARS = 20
 TRIMMED = " \n\t\r"
 
 
@@ -39,8 +41,14 @@ def once(value: Column, name: str) -> Column:
 
 
 def lines_of(text: Column) -> Column:
-    all_of = lambda x, pattern: F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
-    return F.flatten(F.transform(all_of(text, LINE), lambda x: F.when(F.length(x) > LONG_CHARS, all_of(x, CUT)).otherwise(F.array(x))))
+    whole = F.regexp_extract_all(text, F.lit(LINE), F.lit(0))
+    return F.flatten(F.transform(whole, lambda x: F.when(F.length(x) > LONG_CHARS, F.split(x, f"(?<={CUT})")).otherwise(F.array(x))))
+
+
+def line_hash(line: Column) -> Column:
+    """The hash of a trimmed line: negative for longer lines, so that these are the minima."""
+    h = F.xxhash64(line)
+    return F.when(F.length(line) >= SHORT_CHARS, h.bitwiseOR(F.lit(-(1 << 63)))).otherwise(h.bitwiseAND(F.lit((1 << 63) - 1)))
 
 
 def _lined(docs: DataFrame) -> DataFrame:
@@ -50,14 +58,13 @@ def _lined(docs: DataFrame) -> DataFrame:
     are numbered in the order of id and hash.
     """
     own = docs.select("doc_id", "hash", once(F.transform(lines_of(F.col("text")), lambda x: F.btrim(x, F.lit(TRIMMED))), "t"))
-    own = own.where(F.size("t") > 1).select("doc_id", "hash", F.transform("t", lambda x: F.xxhash64(x)).alias("h"), F.transform("t", lambda x: F.length(x)).alias("c"))
+    own = own.where(F.size("t") > 1).select("doc_id", "hash", F.transform("t", line_hash).alias("h"), F.transform("t", lambda x: F.length(x)).alias("c"))
     upto = lambda i, n: sum((F.get("c", i + k) for k in range(1, n)), F.get("c", i))  # noqa: E731  null beyond the last line
     runs = F.transform(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.when(upto(i, 2) >= RUN_CHARS, 2).when(upto(i, 3) >= RUN_CHARS, 3).when(i + WINDOW <= F.size("h"), WINDOW).otherwise(0).cast("byte"))
-    own = own.select("doc_id", "hash", "h", once(runs, "n"))
-    cut = lambda i: F.slice("h", i + 1, F.get("n", i).cast("int"))
+    own = own.select("doc_id", "hash", "h", once(runs, "n"), once(F.arrays_zip("h", F.sequence(F.lit(0), F.size("h") - 1).alias("at")), "placed"))
     starts = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.get("n", i) > 0)
-    chosen = F.array_distinct(F.transform(starts, lambda i: (i + F.array_position(cut(i), F.array_min(cut(i)))).cast("int") - 1))
-    own = own.select("doc_id", "hash", "h", "n", chosen.alias("chosen")).where(F.size("chosen") > 0)
+    least = lambda i: F.array_min(F.slice("placed", i + 1, F.get("n", i).cast("int")))["at"]
+    own = own.select("doc_id", "hash", "h", "n", F.array_distinct(F.transform(starts, least)).alias("chosen")).where(F.size("chosen") > 0)
     if docs.agg(F.count("*") == F.count_distinct("doc_id")).first()[0]:
         return stored(own.select(F.col("doc_id").alias("uid"), "doc_id", "hash", "h", "n", "chosen"), "line-hashes")
     own = stored(own.dropDuplicates(["doc_id", "hash"]), "line-hashes")
@@ -127,7 +134,7 @@ def clean_documents(docs: DataFrame) -> DataFrame:
 ORACLE = rf"""
 WITH lined AS (
   SELECT doc_id, text, flatten(list_transform(regexp_extract_all(text, '{LINE}'),
-    lambda x: CASE WHEN length(x) > {LONG_CHARS} THEN regexp_extract_all(x, '{CUT}') ELSE [x] END)) AS lines FROM documents
+    lambda x: CASE WHEN length(x) > {LONG_CHARS} THEN string_split(regexp_replace(x, '({CUT})', '\1' || chr(1), 'g'), chr(1)) ELSE [x] END)) AS lines FROM documents
 ), trimmed AS (
   SELECT doc_id, list_transform(lines, lambda x: trim(x, ' ' || chr(10) || chr(9) || chr(13))) AS t FROM lined
 ), sized AS (

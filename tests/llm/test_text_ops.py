@@ -13,7 +13,7 @@ SCHEMA = "doc_id long, text string, hash string, row string, n_chars long"
 
 
 def cut_lines(text):
-    return [y for x in re.findall(line_dedup.LINE, text) for y in (re.findall(line_dedup.CUT, x) if len(x) > line_dedup.LONG_CHARS else [x])]
+    return [y for x in re.findall(line_dedup.LINE, text) for y in (re.split(f"(?<={line_dedup.CUT})", x) if len(x) > line_dedup.LONG_CHARS else [x])]
 
 
 def brute_lines(docs):
