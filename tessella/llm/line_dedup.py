@@ -1,8 +1,8 @@
 """Line dedup by winnowing over line hashes, in DataFrame and SQL functions only.
 
-A line here ends at a line break or at punctuation, so that a passage pasted into the middle of a line is
-seen as well. Where it has more than ``LONG_CHARS`` characters it is cut further, after words that end in one of a few
-letters, so that passages with hardly a comma are seen too. A run is two lines or more with
+A line here ends at a line break or where a sentence does, so that a passage pasted into the middle of a line is
+seen as well. Where it has more than ``LONG_CHARS`` characters it is cut further, after commas and words that end in one of a few
+letters, so that passages with hardly a full stop are seen too. A run is two lines or more with
 ``RUN_CHARS`` characters together, or else ``WINDOW`` lines. Every run selects its smallest line hash (the leftmost on ties), hashes of longer lines being smaller than
 those of short ones, which recur by chance; the selected positions are
 the document's fingerprints. Two documents that share a run share a fingerprint in it: that is winnowing's
@@ -14,7 +14,7 @@ runs, and the first occurrence stays.
 
 No pairs are formed: each fingerprint is reduced to its count, and each run to its first
 position, before it is joined, so that a passage that a third of all documents share costs one
-row for each of its occurrences. Runs are told apart by 128 bits of hash.
+row for each of its occurrences. Runs are told apart by 96 bits of hash.
 """
 
 from __future__ import annotations
@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from tessella.llm.common import stored
 
 #: A run is so many lines, or as few as two if they have so many characters.
-WINDOW, RUN_CHARS = 4, 120
-#: One line with the punctuation or line breaks that end it; lines joined give the text again.
-LINE = r"[^.,;:!?\n]*[.,;:!?\n]+|[^.,;:!?\n]+"
-#: Longer lines are cut after words that end in one of these letters.
-LONG_CHARS, CUT = 80, r"[dhlptx][ \t]"
+WINDOW, RUN_CHARS = 4, 100
+#: One line with what ends it; lines joined give the text again.
+LINE = r"[^.!?\n]*[.!?\n]+|[^.!?\n]+"
+#: Longer lines are cut after each of these with a space.
+LONG_CHARS, CUT = 80, r"[,;:hpx][ \t]"
 #: Lines of so many characters have the smaller hashes.
 SHORT_CHARS = 20
 TRIMMED = " \n\t\r"
@@ -62,9 +62,9 @@ def _lined(docs: DataFrame) -> DataFrame:
     upto = lambda i, n: sum((F.get("c", i + k) for k in range(1, n)), F.get("c", i))  # noqa: E731  null beyond the last line
     runs = F.transform(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.when(upto(i, 2) >= RUN_CHARS, 2).when(upto(i, 3) >= RUN_CHARS, 3).when(i + WINDOW <= F.size("h"), WINDOW).otherwise(0).cast("byte"))
     own = own.select("doc_id", "hash", "h", once(runs, "n"), once(F.arrays_zip("h", F.sequence(F.lit(0), F.size("h") - 1).alias("at")), "placed"))
-    starts = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.get("n", i) > 0)
-    least = lambda i: F.array_min(F.slice("placed", i + 1, F.get("n", i).cast("int")))["at"]
-    own = own.select("doc_id", "hash", "h", "n", F.array_distinct(F.transform(starts, least)).alias("chosen")).where(F.size("chosen") > 0)
+    least = lambda i: F.when(F.get("n", i) > 0, F.array_min(F.slice("placed", i + 1, F.get("n", i).cast("int")))["at"])
+    chosen = F.array_compact(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("h") - 1), least)))
+    own = own.select("doc_id", "hash", "h", "n", chosen.alias("chosen")).where(F.size("chosen") > 0)
     if docs.agg(F.count("*") == F.count_distinct("doc_id")).first()[0]:
         return stored(own.select(F.col("doc_id").alias("uid"), "doc_id", "hash", "h", "n", "chosen"), "line-hashes")
     own = stored(own.dropDuplicates(["doc_id", "hash"]), "line-hashes")
@@ -89,7 +89,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     around = lambda p: F.filter(F.sequence(F.greatest(p - WINDOW + 1, F.lit(0)), p), lambda s: s + F.get("n", s) > p)
     starts = F.array_distinct(F.flatten(F.transform("seeds", around)))
     run = lambda i: F.slice("h", i + 1, F.get("n", i).cast("int"))
-    each = lambda i: F.struct(F.xxhash64(run(i)).alias("run"), F.xxhash64(run(i), F.lit(1)).alias("check"), i.alias("at"), F.get("n", i).alias("n"))
+    each = lambda i: F.struct(F.xxhash64(run(i)).alias("run"), F.hash(run(i)).alias("check"), i.alias("at"), F.get("n", i).alias("n"))
     near = stored(lined.select("uid", "h", "n").join(met, "uid").select("uid", F.inline(F.transform(starts, each))), "line-runs")
     place = F.col("uid").cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("at")
     # a table of its own: a join of two plain shuffles is one that Spark can split where a run is hot

@@ -51,7 +51,7 @@ def made_texts(n, seed):
 def test_line_dedup_equals_brute_force(spark, shift):
     docs = [(shift + i, t) for i, t in enumerate(made_texts(60, 4))]
     docs += [(shift + 100, docs[7][1]), (shift + 101, ""), (shift + 102, None), (shift + 103, "a. " * 50), (shift + 104, "no end"), (shift + 105, "..,,\n\n")]
-    words = ["".join(random.Random(k).choices("abdehlo", k=5)) for k in range(300)]
+    words = ["".join(random.Random(k).choices("abdehlxo", k=5)) for k in range(300)]
     passage = " ".join(words[:60])
     docs += [(shift + 110 + k, f"{' '.join(words[70 + 20 * k : 90 + 20 * k])} {passage} {' '.join(words[90 + 20 * k : 97 + 20 * k])}") for k in range(5)]
     docs += [(shift + 120, "a." * 40_000), (shift + 121, "word" * 300_000)]
