@@ -2,7 +2,7 @@
 
 A line here ends at a line break or where a sentence does, so that a passage pasted into the middle of a line is
 seen as well. Where it has more than ``LONG_CHARS`` characters it is cut further, after commas and words that end in one of a few
-letters, so that passages with hardly a full stop are seen too. A run is two lines or more with
+letters, so that passages with hardly a full stop are seen too. A run is two lines with
 ``RUN_CHARS`` characters together, or else ``WINDOW`` lines. Every run selects its smallest line hash (the leftmost on ties), hashes of longer lines being smaller than
 those of short ones, which recur by chance; the selected positions are
 the document's fingerprints. Two documents that share a run share a fingerprint in it: that is winnowing's
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import stored
 
-#: A run is so many lines, or as few as two if they have so many characters.
-WINDOW, RUN_CHARS = 4, 100
+#: A run is two lines if they have so many characters together, or else so many lines.
+WINDOW, RUN_CHARS = 4, 80
 #: One line with what ends it; lines joined give the text again.
 LINE = r"[^.!?\n]*[.!?\n]+|[^.!?\n]+"
 #: Longer lines are cut after each of these with a space.
@@ -59,8 +59,8 @@ def _lined(docs: DataFrame) -> DataFrame:
     """
     own = docs.select("doc_id", "hash", once(F.transform(lines_of(F.col("text")), lambda x: F.btrim(x, F.lit(TRIMMED))), "t"))
     own = own.where(F.size("t") > 1).select("doc_id", "hash", F.transform("t", line_hash).alias("h"), F.transform("t", lambda x: F.length(x)).alias("c"))
-    upto = lambda i, n: sum((F.get("c", i + k) for k in range(1, n)), F.get("c", i))  # noqa: E731  null beyond the last line
-    runs = F.transform(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.when(upto(i, 2) >= RUN_CHARS, 2).when(upto(i, 3) >= RUN_CHARS, 3).when(i + WINDOW <= F.size("h"), WINDOW).otherwise(0).cast("byte"))
+    two = lambda i: F.get("c", i) + F.get("c", i + 1)  # noqa: E731  null beyond the last line
+    runs = F.transform(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.when(two(i) >= RUN_CHARS, 2).when(i + WINDOW <= F.size("h"), WINDOW).otherwise(0).cast("byte"))
     own = own.select("doc_id", "hash", "h", once(runs, "n"), once(F.arrays_zip("h", F.sequence(F.lit(0), F.size("h") - 1).alias("at")), "placed"))
     least = lambda i: F.when(F.get("n", i) > 0, F.array_min(F.slice("placed", i + 1, F.get("n", i).cast("int")))["at"])
     chosen = F.array_compact(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("h") - 1), least)))
@@ -99,10 +99,10 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 
 
 def drop_repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (row, doc_id, text, n_lines, removed_lines): ``row`` holds all columns as they came.
+    """Rows (row, doc_id, text, removed_lines): ``row`` holds all columns as they came.
 
     Documents are ordered by id, nulls last, then by their text's hash. Rows alike in both count
-    as one document, and all keep or lose the same lines. A null text stays null, with no lines; a
+    as one document, and all keep or lose the same lines. A null text stays null; a
     text without a run stays as it is; one whose lines all go becomes empty. Repeated rows, ties of
     id and text, are thus all cleaned alike, an empty table stays empty, and no column's name clashes.
     """
@@ -112,14 +112,13 @@ def drop_repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     joined = own.join(by_doc, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("hash") == F.col("f_hash")), "left")
     lines = lines_of(F.col("text"))
     gone = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["at"] + r["n"] - 1))))
-    joined = joined.select("row", "doc_id", "text", gone.alias("gone"), once(lines, "lines"))
+    joined = joined.select("row", "doc_id", "text", gone.alias("gone")).withColumn("lines", once(F.when(F.col("gone").isNotNull(), lines), "lines"))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     rest = F.array_join(F.transform(left, lambda i: F.get("lines", i)), "")
     return joined.select(
         "row",
         "doc_id",
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest).alias("text"),
-        F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).alias("removed_lines"),
     )
 
@@ -138,10 +137,10 @@ WITH lined AS (
 ), trimmed AS (
   SELECT doc_id, list_transform(lines, lambda x: trim(x, ' ' || chr(10) || chr(9) || chr(13))) AS t FROM lined
 ), sized AS (
-  SELECT doc_id, i, t, length(t[i]) + length(t[i + 1]) AS two, length(t[i]) + length(t[i + 1]) + length(t[i + 2]) AS three
+  SELECT doc_id, i, t, length(t[i]) + length(t[i + 1]) AS two
   FROM trimmed, LATERAL (SELECT unnest(range(1, len(t) + 1)) AS i)
 ), runs AS (
-  SELECT doc_id, i, t, CASE WHEN two >= {RUN_CHARS} THEN 2 WHEN three >= {RUN_CHARS} THEN 3 WHEN i + {WINDOW} - 1 <= len(t) THEN {WINDOW} ELSE 0 END AS n FROM sized
+  SELECT doc_id, i, t, CASE WHEN two >= {RUN_CHARS} THEN 2 WHEN i + {WINDOW} - 1 <= len(t) THEN {WINDOW} ELSE 0 END AS n FROM sized
 ), later AS (
   SELECT doc_id, i, n FROM runs WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY t[i:i + n - 1] ORDER BY doc_id, i) > 1
 ), gone AS (
@@ -150,10 +149,9 @@ WITH lined AS (
   SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM lined
 ), kept AS (
   SELECT n.doc_id, string_agg(CASE WHEN g.line IS NULL THEN n.line ELSE '' END, '' ORDER BY n.pos) AS text,
-         count(*) AS n_lines, count(g.line) AS removed_lines
+         count(g.line) AS removed_lines
   FROM numbered n LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.line = n.pos GROUP BY n.doc_id
 )
-SELECT l.doc_id, coalesce(k.text, l.text) AS text, CAST(coalesce(k.n_lines, 0) AS INTEGER) AS n_lines,
-       CAST(coalesce(k.removed_lines, 0) AS INTEGER) AS removed_lines
+SELECT l.doc_id, coalesce(k.text, l.text) AS text, CAST(coalesce(k.removed_lines, 0) AS INTEGER) AS removed_lines
 FROM lined l LEFT JOIN kept k USING (doc_id)
 """

@@ -80,7 +80,7 @@ def op5_link_graph_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(line_dedup.ORACLE)
 def op6_winnowing_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.drop_repeated_runs(load(spark, sf_dir, "documents"))
-    return cleaned.select("doc_id", "text", "n_lines", "removed_lines")
+    return cleaned.select("doc_id", "text", "removed_lines")
 
 
 @query()

@@ -23,7 +23,7 @@ def brute_lines(docs):
         lines = cut_lines(text or "")
         trimmed, gone = [x.strip(" \n\t\r") for x in lines], set()
         for i in range(len(lines)):
-            n = next((k for k in (2, 3) if i + k <= len(lines) and sum(map(len, trimmed[i : i + k])) >= line_dedup.RUN_CHARS), line_dedup.WINDOW)
+            n = 2 if i + 2 <= len(lines) and len(trimmed[i] + trimmed[i + 1]) >= line_dedup.RUN_CHARS else line_dedup.WINDOW
             if i + n > len(lines):
                 continue
             w = tuple(trimmed[i : i + n])
@@ -75,6 +75,7 @@ def test_line_dedup_odd_ids(spark):
 
 def test_line_dedup_uses_no_python(spark):
     docs = spark.createDataFrame([(1, "a. b. c. d. e.", "x", "y", 1)], SCHEMA)
+    assert line_dedup.drop_repeated_runs(docs).columns == ["row", "doc_id", "text", "removed_lines"]
     plan = line_dedup.drop_repeated_runs(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
