@@ -50,15 +50,16 @@ def shared_suffix(a: Column, b: Column) -> Column:
     return shared_prefix(F.reverse(a), F.reverse(b))
 
 
-def reflection_context(html: Column, needle: str, back: int = 80, ahead: int = 40) -> Column:
-    """Where the first mention of ``needle`` stands: script, comment, attribute, tag or text; none if absent."""
+def reflection_context(html: Column, needle: str, back: int = 80) -> Column:
+    """Where the first mention of ``needle`` stands, by the characters before it; dom_html if it is absent."""
     at = F.instr(html, needle)
     before = F.substring(html, F.greatest(at - back, F.lit(1)), at - F.greatest(at - back, F.lit(1)))
-    opened = lambda o, c: F.instr(F.reverse(before), o[::-1]) - F.when(F.instr(F.reverse(before), c[::-1]) == 0, 10**6).otherwise(F.instr(F.reverse(before), c[::-1]))
-    inside = lambda o, c: (F.instr(before, o) > 0) & (opened(o, c) < 0)
+    last = lambda x: F.when(F.instr(before, x) == 0, 0).otherwise(F.length(before) - F.instr(F.reverse(before), x[::-1]) - len(x) + 2)
+    tag = F.substring(before, last("<"), F.length(before))
     return (
-        F.when(at == 0, "none").when(inside("<script", "</script"), "script").when(inside("<!--", "-->"), "comment")
-        .when(inside("<", ">") & before.rlike("=\\s*[\"'][^\"']*$"), "attribute").when(inside("<", ">"), "tag").otherwise("text")
+        F.when(at == 0, "dom_html").when(last("<script") > last("</script>"), "js_string")
+        .when((last("<") > last(">")) & tag.rlike("=\\s*(\"[^\"]*|'[^']*)$"), "html_attr").when(last("<") > last(">"), "html_attr_unquoted")
+        .when(last("<!--") > last("-->"), "html_comment").otherwise("html_text")
     )
 
 

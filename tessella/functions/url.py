@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# fixed values: what routes in scripts look like, and the hosts of the own machine
 JS_ROUTE = r"""["'](/[A-Za-z0-9_\-/]{1,80}(?:\?[^"']*)?)["']"""
+LOOPBACK_HOSTS = ("127.0.0.1", "localhost", "::1")
 
 
 def query_names(url: Column) -> Column:
@@ -30,41 +32,72 @@ def hrefs(html: Column) -> Column:
 
 
 def scheme(url: Column) -> Column:
-    return F.regexp_extract(url, r"^([a-z]+)://", 1)
+    return F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
 
 
 def host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[a-z]+://([^/?#:]+)", 1))
+    """Lower-cased, without user, password, port and brackets."""
+    place = F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), "^.*@", "")
+    bare = F.when(place.startswith("["), F.regexp_extract(place, r"^\[([^\]]*)", 1)).otherwise(F.regexp_replace(place, ":.*$", ""))
+    return F.lower(bare)
 
 
 def path(url: Column) -> Column:
-    return F.regexp_extract(url, r"^[a-z]+://[^/?#]+([^?#]*)", 1)
+    return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+
+
+def is_loopback(host: Column) -> Column:
+    return F.lower(host).isin(*LOOPBACK_HOSTS)
 
 
 def under(path: Column, base: str) -> Column:
     """True for the base itself and what lies below it, by whole segments."""
     base = base.rstrip("/")
-    return (path == base) | path.startswith(base + "/")
+    return F.lit(True) if not base else (path == base) | path.startswith(base + "/")
+
+
+def resolved(path: Column) -> Column:
+    """The path from its root, without dot segments and empty ones; a slash at its end stays."""
+    step = lambda seen, part: F.when(part.isin("", "."), seen).when(part == "..", F.slice(seen, 1, F.greatest(F.size(seen) - 1, F.lit(0)))).otherwise(F.array_append(seen, part))
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    return F.concat(F.lit("/"), F.array_join(parts, "/"), F.when(path.endswith("/") & (F.size(parts) > 0), "/").otherwise(""))
 
 
 def decoded(path: Column, rounds: int = 5) -> Column:
-    """Percent-decoding repeated, as far as that is valid."""
+    """Percent-decoding repeated; a sign without two hexadecimal digits, and a plus, stay as they are."""
     for _ in range(rounds):
-        path = F.coalesce(F.try_url_decode(path), path)
+        safe = F.regexp_replace(F.regexp_replace(path, "%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B")
+        path = F.coalesce(F.try_url_decode(safe), path)
     return path
 
 
-def in_scope(url: Column, hosts: tuple[str, ...], domains: tuple[str, ...], excluded: tuple[str, ...], allowed: tuple[str, ...]) -> Column:
-    """ok and the first reason that speaks against it."""
-    h, p = host(url), decoded(path(url))
-    known = h.isin(*hosts)
-    for d in domains:
-        known = known | (h == d) | h.endswith("." + d)
-    bad = p.startswith(excluded[0])
-    for x in excluded[1:]:
-        bad = bad | p.startswith(x)
-    inside = under(p, allowed[0])
-    for x in allowed[1:]:
-        inside = inside | under(p, x)
+def path_variants(path: Column) -> Column:
+    """What a browser or server may take a path for: as sent and wholly decoded, both resolved, backslashes as slashes in the latter."""
+    return F.array(resolved(path), resolved(F.translate(decoded(path), "\\", "/")))
+
+
+def any_of(tests: list[Column]) -> Column:
+    """True if one of the tests holds; false without any."""
+    found = F.lit(False)
+    for t in tests:
+        found = found | t
+    return found
+
+
+def in_scope(url: Column, hosts: tuple[str, ...], domains: tuple[str, ...], excluded: tuple[str, ...] = (), allowed: tuple[str, ...] = (), external: bool = False) -> Column:
+    """ok and the first reason that speaks against it.
+
+    No variant of the path may begin as an excluded one, and all must lie under an allowed prefix, if there are any. Hosts
+    other than the own machine need ``external``. A null url is out of scope.
+    """
+    h = host(url)
+    known = h.isin(*hosts) | any_of([(h == d) | h.endswith("." + d) for d in domains])
+    variants = path_variants(path(url))
+    roots = [resolved(F.lit(x)) for x in excluded]
+    bad = F.exists(variants, lambda v: any_of([v.startswith(x) for x in roots]))
+    inside = F.forall(variants, lambda v: any_of([under(v, x) for x in allowed])) if allowed else F.lit(True)
     of = lambda ok, why: F.struct(F.lit(ok).alias("ok"), F.lit(why).alias("reason"))
-    return F.when(~scheme(url).isin("http", "https"), of(False, "scheme")).when(~known, of(False, "host")).when(bad, of(False, "excluded path")).when(~inside, of(False, "outside allowed prefixes")).otherwise(of(True, "in_scope"))
+    found = F.when(url.isNull() | ~scheme(url).isin("http", "https"), of(False, "scheme")).when(~known, of(False, "host"))
+    if not external:
+        found = found.when(~is_loopback(h), of(False, "external host"))
+    return found.when(bad, of(False, "excluded path")).when(~inside, of(False, "outside allowed prefixes")).otherwise(of(True, "in_scope"))

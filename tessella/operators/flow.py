@@ -56,11 +56,19 @@ def verdict(candidate: Column, inconclusive: Column, none: Column) -> Column:
 
 
 def relation(source: Column, sink: Column, excerpt: Column) -> Column:
-    """How a source reaches a sink in an excerpt: directly, through a call, or not at all."""
-    squeeze = lambda c: F.regexp_replace(c, r"\s+", "")
-    quoted = lambda c: F.concat(F.lit("\\Q"), squeeze(c), F.lit("\\E"))
-    text = squeeze(excerpt)
-    direct = F.regexp_like(text, F.concat(quoted(sink), F.lit("="), quoted(source), F.lit("(;|$)")))
-    call = F.regexp_like(text, F.concat(quoted(sink), F.lit("=\\w+\\("), quoted(source), F.lit("\\)")))
-    literal = F.regexp_like(text, F.concat(quoted(sink), F.lit("=['\"][^'\"]*['\"]")))
-    return F.when(direct, "CONNECTED").when(call, "UNKNOWN").when(literal, "DISCONNECTED").otherwise("UNKNOWN")
+    """How a source reaches a sink in an excerpt; what is not obvious is UNKNOWN.
+
+    A call's result that is written to the sink is UNKNOWN, whatever else there is. The source assigned
+    as it is, or handed to the sink as an argument, is CONNECTED; the sink overwritten by a
+    literal that ends its statement is DISCONNECTED. Nulls and empty texts are UNKNOWN.
+    """
+    bare = lambda c: F.btrim(F.coalesce(c, F.lit("")), F.lit(" \t\n\r"))
+    quoted = lambda c: F.concat(F.lit("\\Q"), F.replace(bare(c), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    text, src, out = bare(F.regexp_replace(excerpt, r"\s+", " ")), quoted(source), quoted(sink)
+    found = lambda *parts: F.regexp_like(text, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]))
+    end = r"(?:\s*;|\s*$)"
+    opaque = found(out, r"\s*=\s*(?:new\s+)?[A-Za-z_$][\w$.]*\([^;]*", src, r"[^;]*\)")
+    direct = found(out, r"\s*=\s*", src, end) | found(out, r"\s*\([^;]*\b", src, r"\b[^;]*\)")
+    literal = found("(?i)", out, r"""\s*=\s*(?:['"][^'"]*['"]|\d+(?:\.\d+)?|true|false|null|undefined)""", end)
+    missing = (bare(source) == "") | (bare(sink) == "") | (text == "") | excerpt.isNull()
+    return F.when(missing | opaque, "UNKNOWN").when(direct, "CONNECTED").when(literal, "DISCONNECTED").otherwise("UNKNOWN")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.identity import number
+from tessella.operators.ordering import with_position
 
 
 def hash_mod(content: Column, modulus: int = 3) -> Column:
@@ -19,11 +20,10 @@ def salted(seed: str, key: Column) -> Column:
 
 def group_split(df: DataFrame, group: str, share: float, seed: str) -> DataFrame:
     """Whole groups to ``validation``: in hash order the first max(1, min(G - 1, round(G * share)))."""
-    groups = df.select(group).distinct()
-    ranked = groups.withColumn("_rank", F.row_number().over(Window.orderBy(salted(seed, F.col(group)), group)))
-    n = F.count("*").over(Window.partitionBy())
-    take = F.greatest(F.lit(1), F.least(n - 1, F.bround(n * share).cast("long")))
-    sides = ranked.select(group, F.when(F.col("_rank") <= take, "validation").otherwise("train").alias("split"))
+    ranked = with_position(df.select(group).distinct().withColumn("_hash", salted(seed, F.col(group))), "_hash", group, name="_rank")
+    n = ranked.count()
+    take = max(1, min(n - 1, round(n * share)))  # halves to even
+    sides = ranked.select(group, F.when(F.col("_rank") < take, "validation").otherwise("train").alias("split"))
     return df.join(sides, group)
 
 
@@ -51,13 +51,19 @@ def cap(df: DataFrame, label: str, most: int, seed: str, key: str) -> DataFrame:
 
 
 def balance(df: DataFrame, label: str, seed: str, key: str) -> DataFrame:
-    """As many rows of every label as the rarest has."""
-    least = df.groupBy(label).count().agg(F.min("count").alias("_least"))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(salted(seed, F.col(key)), key))
-    return df.withColumn("_rank", rank).join(least, F.col("_rank") <= F.col("_least")).drop("_rank", "_least")
+    """As many rows of every label as the rarest has, the first in hash order; ``key`` is unique.
+
+    Rows are numbered over all labels by range partitions, and a label's first number taken off: no label meets in one task.
+    """
+    counts = df.groupBy(label).agg(F.count("*").alias("_n"))
+    least = counts.agg(F.min("_n")).first()[0]
+    placed = with_position(df.withColumn("_hash", salted(seed, F.col(key))), label, "_hash", key, name="_place")
+    first = placed.groupBy(label).agg(F.min("_place").alias("_first"))
+    kept = placed.join(first, label).where(F.col("_place") - F.col("_first") < (least or 0))
+    return kept.select(*df.columns)
 
 
 def sample(df: DataFrame, share: float, seed: str, key: str) -> DataFrame:
-    """floor(n * share) rows without replacement, the first in hash order."""
-    n = df.count()
-    return df.orderBy(salted(seed, F.col(key)), key).limit(int(n * share))
+    """floor(n * share) rows without replacement, the first in hash order; ``key`` is unique."""
+    placed = with_position(df.withColumn("_hash", salted(seed, F.col(key))), "_hash", key, name="_place")
+    return placed.where(F.col("_place") < int(df.count() * share)).select(*df.columns)

@@ -136,7 +136,13 @@ def shared_affixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("a", "b", r.shared_prefix(F.col("a"), F.col("b")).cast("long").alias("prefix"), r.shared_suffix(F.col("a"), F.col("b")).cast("long").alias("suffix"))
 
 
-@query()
+@query(r"""
+WITH m AS (SELECT needle, html, strpos(html, needle) AS pos FROM pages, (SELECT unnest(['track', 'utf-8', 'the', 'lang']) AS needle)),
+b AS (SELECT needle, pos, substr(html, greatest(pos - 80, 1), pos - greatest(pos - 80, 1)) AS t FROM m),
+l AS (SELECT *, length(t) - length(regexp_replace(t, '^.*<', '', 's')) AS lt, length(t) - length(regexp_replace(t, '^.*>', '', 's')) AS gt,
+  contains(t, '<script') AND NOT contains(regexp_replace(t, '^.*<script', '', 's'), '</script>') AS js, contains(t, '<!--') AND NOT contains(regexp_replace(t, '^.*<!--', '', 's'), '-->') AS note FROM b)
+SELECT needle, CASE WHEN pos = 0 THEN 'dom_html' WHEN js THEN 'js_string' WHEN lt > gt AND regexp_matches(substr(t, lt), '=\s*("[^"]*|''[^'']*)$') THEN 'html_attr' WHEN lt > gt THEN 'html_attr_unquoted'
+  WHEN note THEN 'html_comment' ELSE 'html_text' END AS context, count(*) AS n FROM l GROUP BY ALL""")
 def reflection_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages")
     each = F.array(*[F.struct(F.lit(w).alias("needle"), r.reflection_context(F.col("html"), w).alias("context")) for w in ("track", "utf-8", "the", "lang")])

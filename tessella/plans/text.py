@@ -165,11 +165,14 @@ def js_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH p AS (SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS s, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS h, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS p FROM pages)
+WITH p AS (SELECT page_id, page_id % 5 AS k, regexp_extract(url, '^([a-z]+)://', 1) AS s, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS h, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS p FROM pages)
 SELECT page_id, CASE WHEN s NOT IN ('http', 'https') THEN 'scheme' WHEN NOT (h = 'localhost' OR h = 'example.com' OR h LIKE '%.example.com' OR h = 'example.org' OR h LIKE '%.example.org') THEN 'host'
- WHEN starts_with(p, '/de/1') OR starts_with(p, '/fr/2') THEN 'excluded path' WHEN NOT (p = '/en' OR starts_with(p, '/en/') OR p = '/de' OR starts_with(p, '/de/')) THEN 'outside allowed prefixes' ELSE 'in_scope' END AS reason FROM p""")
+ WHEN k = 3 OR starts_with(p, '/de/1') OR starts_with(p, '/fr/2') THEN 'excluded path' WHEN k = 2 OR NOT (p = '/en' OR starts_with(p, '/en/') OR p = '/de' OR starts_with(p, '/de/')) THEN 'outside allowed prefixes' ELSE 'in_scope' END AS reason FROM p""")
 def scope_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decision = url.in_scope(F.col("url"), ("localhost",), ("example.com", "example.org"), ("/de/1", "/fr/2"), ("/en", "/de"))
+    """The pages' urls as they are, with dot segments, with encoded ones, leading to an excluded path, and with an upper-case scheme and a user."""
+    cut, k = lambda how: F.regexp_replace("url", "^([a-z]+)://([^/?#]+)", how), F.col("page_id") % 5
+    made = F.when(k == 1, cut("$1://$2/zz/..")).when(k == 2, cut("$1://$2/zz/%252e%2e")).when(k == 3, cut("$1://$2/en/..%5c%64e/1/..\\\\1")).when(k == 4, F.concat(F.upper(url.scheme(F.col("url"))), F.regexp_replace("url", "^[a-z]+://", "://user:pw@"))).otherwise(F.col("url"))
+    decision = url.in_scope(made, ("localhost",), ("example.com", "example.org"), ("/de/1", "/fr/2"), ("/en", "/de"), external=True)
     return load(spark, sf_dir, "pages").select("page_id", decision["reason"].alias("reason"))
 
 
@@ -183,8 +186,7 @@ def link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH RECURSIVE l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages),
-h AS (SELECT href FROM l GROUP BY href HAVING count(*) <= 12), e AS (SELECT DISTINCT a.page_id AS src, b.page_id AS dst FROM l a JOIN h USING (href) JOIN l b USING (href) WHERE a.page_id <> b.page_id),
-w(node, depth) AS (SELECT min(page_id), 0 FROM pages UNION SELECT dst, depth + 1 FROM w JOIN e ON node = src WHERE depth < 4)
+w(node, depth) AS (SELECT min(page_id), 0 FROM pages UNION SELECT b.page_id, depth + 1 FROM w JOIN l a ON node = a.page_id JOIN l b USING (href) WHERE depth < 4)
 SELECT node, min(depth) AS depth FROM w GROUP BY node""")
 def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_checkpoints(spark)
@@ -292,12 +294,20 @@ def snippet_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("snippet")).agg(made.alias("verdict"))
 
 
-@query("""
-WITH r AS (SELECT p_partkey, p_brand AS src, 'out.' || replace(p_type, ' ', '_') AS sink, p_partkey % 4 AS k FROM part)
-SELECT p_partkey, CASE WHEN k = 0 THEN 'CONNECTED' WHEN k = 2 THEN 'DISCONNECTED' ELSE 'UNKNOWN' END AS relation FROM r""")
+@query(r"""
+WITH r AS (SELECT p_partkey, p_brand AS src, 'out.' || replace(p_type, ' ', '_') AS sink, length(p_name) % 10 AS k FROM part),
+x AS (SELECT *, CASE k WHEN 0 THEN sink || ' =  ' || src || ';' WHEN 1 THEN 'let ' || sink || ' = wrap( ' || src || ' )' WHEN 2 THEN sink || ' = ''fixed''; log(' || src || ')' WHEN 3 THEN sink || ' = ''<b>'' + ' || src || ';'
+  WHEN 4 THEN sink || '( ' || src || ' );' WHEN 5 THEN sink || ' = 5;' WHEN 6 THEN sink || ' = NULL' WHEN 7 THEN sink || ' = new Box(' || src || '); ' || sink || '(' || src || ')' WHEN 8 THEN '' ELSE 'if (' || src || ') go()' END AS t FROM r)
+SELECT p_partkey, CASE WHEN t = '' OR regexp_matches(t, regexp_escape(sink) || '\s*=\s*(new\s+)?[A-Za-z_$][\w$.]*\([^;]*' || regexp_escape(src) || '[^;]*\)') THEN 'UNKNOWN'
+  WHEN regexp_matches(t, regexp_escape(sink) || '\s*=\s*' || regexp_escape(src) || '\s*(;|$)') OR regexp_matches(t, regexp_escape(sink) || '\s*\([^;]*\b' || regexp_escape(src) || '\b[^;]*\)') THEN 'CONNECTED'
+  WHEN regexp_matches(t, regexp_escape(sink) || '\s*=\s*(''[^'']*''|[0-9]+|null)\s*(;|$)', 'i') THEN 'DISCONNECTED' ELSE 'UNKNOWN' END AS relation FROM x""")
 def flow_relation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src, sink, k = F.col("p_brand"), F.concat(F.lit("out."), F.replace("p_type", F.lit(" "), F.lit("_"))), F.col("p_partkey") % 4
-    text = F.when(k == 0, F.concat(sink, F.lit(" =  "), src, F.lit(";"))).when(k == 1, F.concat(sink, F.lit(" = wrap( "), src, F.lit(" )"))).when(k == 2, F.concat(sink, F.lit(" = 'fixed'; log("), src, F.lit(")"))).otherwise(F.concat(F.lit("if ("), src, F.lit(") go()")))
+    src, sink, k = F.col("p_brand"), F.concat(F.lit("out."), F.replace("p_type", F.lit(" "), F.lit("_"))), F.length("p_name") % 10
+    made = [[sink, " =  ", src, ";"], ["let ", sink, " = wrap( ", src, " )"], [sink, " = 'fixed'; log(", src, ")"], [sink, " = '<b>' + ", src, ";"], [sink, "( ", src, " );"], [sink, " = 5;"], [sink, " = NULL"],
+            [sink, " = new Box(", src, "); ", sink, "(", src, ")"], [""]]
+    text = F.concat(F.lit("if ("), src, F.lit(") go()"))
+    for i, parts in enumerate(made):
+        text = F.when(k == i, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])).otherwise(text)
     return load(spark, sf_dir, "part").select("p_partkey", flow.relation(src, sink, text).alias("relation"))
 
 

@@ -116,9 +116,16 @@ def test_parsed_fields_last_wins(spark):
 def test_urls(spark):
     df = spark.createDataFrame([("https://x.org/a?b=2&a=1&c#f",)], "u string")
     assert df.select(url.normal_route(F.col("u"))).first()[0] == "https://x.org/a?a&b&c"
-    scoped = spark.createDataFrame([("http://a.x.org/%2561dm",), ("http://a.x.org/ok/1",), ("http://y.org/ok",), ("ftp://x.org/ok",), ("http://x.org/okay",)], "u string")
-    reasons = [r[0] for r in scoped.select(url.in_scope(F.col("u"), (), ("x.org",), ("/adm",), ("/ok",))["reason"]).collect()]
-    assert reasons == ["excluded path", "in_scope", "host", "scheme", "outside allowed prefixes"]
+    cases = {
+        "http://a.x.org/%2561dm": "excluded path", "http://a.x.org/ok/1": "in_scope", "http://y.org/ok": "host", "ftp://x.org/ok": "scheme", "http://x.org/okay": "outside allowed prefixes",
+        "http://x.org/ok/../adm/1": "excluded path", "http://x.org/ok/%2e%2e/adm": "excluded path", "http://x.org/ok/..%5cadm": "excluded path", "http://x.org/ok/%zz/%2e%2e/%2e%2e/adm": "excluded path",
+        "HTTP://u:p@X.org:80/ok/": "in_scope", "http://x.org@y.org/ok": "host", "http://x.org/ok/a+b": "in_scope", "http://x.org": "outside allowed prefixes", "http://x.org/ok/%2e%2e/ok": "in_scope", None: "scheme",
+    }
+    scoped = spark.createDataFrame([(c,) for c in cases], "u string")
+    reasons = {r[0]: r[1] for r in scoped.select("u", url.in_scope(F.col("u"), (), ("x.org",), ("/adm",), ("/ok",), external=True)["reason"]).collect()}
+    assert reasons == cases
+    alone = spark.createDataFrame([("http://[::1]:8/x",), ("http://x.org/x",)], "u string")
+    assert [r[0] for r in alone.select(url.in_scope(F.col("u"), ("::1",), ("x.org",))["reason"]).collect()] == ["in_scope", "external host"]
 
 
 def test_single_edits(spark):
@@ -187,3 +194,14 @@ def test_crawl_bfs_drops_no_link(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r["node"]: r["depth"] for r in crawl_bfs(spark, str(tmp_path)).collect()}
     assert got == {1: 0, **{i: 1 for i in range(2, 31)}, 31: 2}
+
+
+def test_relations_of_source_and_sink(spark):
+    cases = [
+        ("out = src;", "CONNECTED"), ("out = '<b>' + src;", "UNKNOWN"), ("out = 5;", "DISCONNECTED"), ("out = 'x'", "DISCONNECTED"), ("out = TRUE ;", "DISCONNECTED"), ("out(src);", "CONNECTED"),
+        ("out = f(src)", "UNKNOWN"), ("const out = new A.b( 1, src ); out = src;", "UNKNOWN"), ("out\n =\n src", "CONNECTED"), ("out = source;", "UNKNOWN"), ("", "UNKNOWN"), (None, "UNKNOWN"),
+    ]
+    df = spark.createDataFrame([(c, w) for c, w in cases], "t string, want string")
+    assert [tuple(r) for r in df.select(flow.relation(F.lit("src"), F.lit("out"), F.col("t")), "want").collect() if r[0] != r[1]] == []
+    odd = df.limit(1).select(flow.relation(F.lit("a.b[0]\\E("), F.lit("el.$x"), F.lit("el.$x = a.b[0]\\E(;"))).first()[0]
+    assert odd == "CONNECTED"
