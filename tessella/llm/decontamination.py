@@ -55,7 +55,7 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
 class ItemIndex:
     """The inverted index of up to ``SHARD_ITEMS`` items; ``n`` and ``df`` are over all items."""
 
-    def __init__(self, items: list[tuple[int, str]], n: int, df: dict[str, int], mean: float):
+    def __init__(self, items: list[tuple[int | None, str]], n: int, df: dict[str, int], mean: float):
         self.ids = [i for i, _ in items]
         words = [terms_of(t) for _, t in items]
         self.parts = [question_and_answer(t) for _, t in items]
@@ -186,7 +186,7 @@ def indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text")
     shards = -(-n // SHARD_ITEMS)
     for k in range(shards):
         part = own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k) if shards > 1 else own
-        items = sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in part.collect())
+        items = sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         df = Counter(t for _, x in items for t in set(terms_of(x)))
         if shards > 1:
             mine = part.mapInArrow(_terms, "term string").distinct()

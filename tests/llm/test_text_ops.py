@@ -267,6 +267,8 @@ def test_decontamination(spark, monkeypatch):
         assert got == {(100 + i, i) for i in range(20)} | {(None, 3)}
         kept = decontamination.drop_contaminated(docs, bench)
         assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {*range(60), 200, 201}
+    nameless = spark.createDataFrame([(None, its[0][1]), (-1, its[1][1])], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, nameless).collect()} == {(100, None), (101, -1)}
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
     assert decontamination.drop_contaminated(docs.limit(0), bench).count() == 0
 
