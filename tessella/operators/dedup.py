@@ -22,6 +22,13 @@ def quarantine_conflicts(df: DataFrame, key: str, label: str, *order: str) -> Da
     return keep_first(df.join(label_conflicts(df, key, label), key, "left_anti"), key, *order)
 
 
+def unique_or_raise(df: DataFrame, key: str, label: str, *order: str) -> DataFrame:
+    """The first row of every key; keys whose rows disagree on the label are refused."""
+    if bad := [r[key] for r in label_conflicts(df, key, label).limit(20).collect()]:
+        raise ValueError(f"labels in conflict, among them {bad}")
+    return keep_first(df, key, *order)
+
+
 def dedup_counters(df: DataFrame, key: str, label: str, order: str, forbidden: DataFrame) -> DataFrame:
     """One row: forbidden rows, later duplicates, and later rows against the label of the first."""
     marked = df.join(forbidden.select(key).distinct().withColumn("_forbidden", F.lit(True)), key, "left")

@@ -76,10 +76,8 @@ def per_label(df: DataFrame, labels: list[str], truth: str = "truth", pred: str
 
     The matrix is counted once; every label's sums come from it.
     """
-    spark = df.sparkSession
     matrix = df.groupBy(truth, pred).agg(F.count("*").alias("k"))
-    every = spark.createDataFrame([(x,) for x in labels], "label string")
-    on = matrix.join(F.broadcast(every), F.col("label").isin(F.col(truth), F.col(pred)) | F.lit(True))  # a few labels times the matrix
+    on = matrix.withColumn("label", F.explode(F.array(*map(F.lit, labels))))  # a few labels times the matrix
     s = lambda test: F.coalesce(F.sum(F.when(test, F.col("k"))), F.lit(0))
     t, p = F.col(truth) == F.col("label"), F.col(pred) == F.col("label")
     sums = on.groupBy("label").agg(s(t & p).alias("tp"), s(~t & p).alias("fp"), s(t & ~p).alias("fn"), s(~t & ~p).alias("tn"))

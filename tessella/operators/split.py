@@ -44,6 +44,23 @@ def three_way(groups: DataFrame, group: str, label: str, seed: str) -> DataFrame
     return groups.withColumn("split", F.when(rank <= hard, "hard").when(rank <= hard + val, "validation").otherwise("train"))
 
 
+def shares(df: DataFrame, group: str, seed: str, parts: dict[str, float]) -> DataFrame:
+    """Whole groups in hash order, dealt by shares that add up to 1: a part ends at the whole number below its share's end."""
+    ranked = with_position(df.select(group).distinct().withColumn("_hash", salted(seed, F.col(group))), "_hash", group, name="_rank")
+    n, upto, names = ranked.count(), 0.0, list(parts)
+    side = F.when(F.lit(False), "")
+    for name in names[:-1]:
+        upto += parts[name]
+        side = side.when(F.col("_rank") < int(n * upto + 1e-9), name)
+    return df.join(ranked.select(group, side.otherwise(names[-1]).alias("split")), group)
+
+
+def permutation_split(df: DataFrame, share: float, seed: str, key: str, least: int = 2) -> DataFrame:
+    """The first max(``least``, floor(n * share)) rows in hash order to ``validation``; ``key`` is unique."""
+    placed = with_position(df.withColumn("_hash", salted(seed, F.col(key))), "_hash", key, name="_place")
+    return placed.withColumn("split", F.when(F.col("_place") < max(least, int(df.count() * share)), "validation").otherwise("train")).select(*df.columns, "split")
+
+
 def cap(df: DataFrame, label: str, most: int, seed: str, key: str) -> DataFrame:
     """At most ``most`` rows of each label, the first in hash order."""
     rank = F.row_number().over(Window.partitionBy(label).orderBy(salted(seed, F.col(key)), key))

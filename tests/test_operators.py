@@ -205,3 +205,30 @@ def test_relations_of_source_and_sink(spark):
     assert [tuple(r) for r in df.select(flow.relation(F.lit("src"), F.lit("out"), F.col("t")), "want").collect() if r[0] != r[1]] == []
     odd = df.limit(1).select(flow.relation(F.lit("a.b[0]\\E("), F.lit("el.$x"), F.lit("el.$x = a.b[0]\\E(;"))).first()[0]
     assert odd == "CONNECTED"
+
+
+def test_alignment_refuses_what_does_not_match(spark):
+    from tessella.operators import align
+
+    gold = spark.createDataFrame([(1, 1), (2, 0)], "k long, gold int")
+    run = spark.createDataFrame([(2, 1), (1, 0)], "k long, answer int")
+    assert sorted(tuple(r) for r in align.by_id(gold, "k", run).collect()) == [(1, 1, 0), (2, 0, 1)]
+    assert sorted((r["k"], r["run_k"], r["answer"]) for r in align.by_position(gold, run, "k").collect()) == [(1, 1, 0), (2, 2, 1)]
+    for bad in ([(1, 1)], [(1, 1), (3, 1)], [(1, 1), (1, 1)], [(1, 1), (2, 1), (2, 1)]):
+        with pytest.raises(ValueError):
+            align.by_id(gold, "k", spark.createDataFrame(bad, "k long, answer int"))
+    with pytest.raises(ValueError):
+        align.by_position(gold, run.limit(1), "k")
+    rows = spark.createDataFrame([("a", 1, 0), ("a", 1, 1), ("b", 2, 2)], "h string, label int, at int")
+    assert sorted(r["at"] for r in dedup.unique_or_raise(rows, "h", "label", "at").collect()) == [0, 2]
+    with pytest.raises(ValueError):
+        dedup.unique_or_raise(rows.unionByName(spark.createDataFrame([("b", 3, 3)], rows.schema)), "h", "label", "at")
+
+
+def test_shares_and_permutations(spark):
+    rows = spark.createDataFrame([(i, i % 10) for i in range(50)], "k long, g long")
+    parts = {r["g"]: r["split"] for r in split.shares(rows, "g", "1", {"train": 0.8, "validation": 0.1, "test": 0.1}).collect()}
+    assert sorted(parts.values()) == ["test", "train", "train", "train", "train", "train", "train", "train", "train", "validation"]
+    assert split.permutation_split(rows, 0.15, "1", "k").where("split = 'validation'").count() == 7
+    assert split.permutation_split(rows.limit(3), 0.15, "1", "k").where("split = 'validation'").count() == 2
+    assert split.sample(rows.limit(0), 0.3, "1", "k").count() == split.balance(rows.limit(0), "g", "1", "k").count() == 0
