@@ -26,7 +26,7 @@ def by_id(gold: DataFrame, key: str, *runs: DataFrame) -> DataFrame:
     """``gold`` with the columns of every run, by id; a run that lacks or repeats an id, or has another, is refused."""
     total = gold.count()
     joined = reduce(lambda a, b: a.join(b, key), runs, gold)
-    if any(r.count() != total for r in runs) or joined.count() != total:
+    if any(r.count() != total for r in runs) or joined.count() != total or joined.select(key).distinct().count() != total:
         raise ValueError("the runs do not have the ids of the gold rows, each once")
     return joined
 
