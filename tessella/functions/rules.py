@@ -140,9 +140,10 @@ def poisoning_gate(text: Column, reference: Column) -> Column:
     return F.struct(private.alias("private"), injected.alias("injected"), trusted.alias("trusted"), (trusted & ~private & ~injected).alias("reaches"))
 
 
-def knowledge_route(relevant: Column, volatile: Column, needs: Column, reusable: Column, verified: Column, at: float = 0.5) -> Column:
-    """The route of an item by its probabilities; earlier gates win."""
-    return F.when(relevant < at, "IGNORE").when(volatile >= at, "RAG_ONLY").when((needs >= at) & ~verified, "VERIFY").when(reusable >= at, "TRAINING_CANDIDATE").otherwise("RAG_ONLY")
+def knowledge_route(relevant: Column, volatile: Column, needs: Column, reusable: Column, verified: Column, at: float = 0.5, item_volatile: Column | None = None) -> Column:
+    """The route of an item by its probabilities and, if given, its own mark as volatile; earlier gates win."""
+    fleeting = volatile >= at if item_volatile is None else (volatile >= at) | item_volatile
+    return F.when(relevant < at, "IGNORE").when(fleeting, "RAG_ONLY").when((needs >= at) & ~verified, "VERIFY").when(reusable >= at, "TRAINING_CANDIDATE").otherwise("RAG_ONLY")
 
 
 def finding_state(executed: Column, raw: Column, sanitizer_safe: Column, blocked: Column, reflected: Column) -> Column:

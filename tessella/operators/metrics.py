@@ -95,6 +95,33 @@ def live(*by: str) -> tuple[list[Column], list[Column]]:
     return counts, rates
 
 
+def decision_rates(df: DataFrame, *by: str, recall: float = 0.9, fpr: float = 0.05, missed: float = 0.0) -> DataFrame:
+    """Rates of a suite labelled unsafe, safe or needs_review by status; null where a denominator is 0.
+
+    Takes label and status (CANDIDATE, SAFE, INCONCLUSIVE, NOT_TESTED). candidate_precision is null while alerts lack a
+    label. The gates ask for a recall, a rate of false alarms and a share of unsafe called safe, the second one at the
+    ends of their intervals; they fail where there is nothing to measure.
+    """
+    at = lambda label, status: F.count_if((F.col("label") == label) & (F.col("status") == status))
+    of = lambda column, value: F.count_if(F.col(column) == value)
+    c = df.groupBy(*by).agg(
+        F.count("*").alias("n"), of("label", "unsafe").alias("unsafe"), of("label", "safe").alias("safe"), of("label", "needs_review").alias("review"),
+        at("unsafe", "CANDIDATE").alias("tp"), at("safe", "CANDIDATE").alias("fp"), at("needs_review", "CANDIDATE").alias("alerts"), at("unsafe", "SAFE").alias("missed"), at("needs_review", "SAFE").alias("rs"),
+        at("unsafe", "INCONCLUSIVE").alias("ua"), at("safe", "INCONCLUSIVE").alias("sa"), at("unsafe", "NOT_TESTED").alias("un"), of("status", "NOT_TESTED").alias("untested"), of("status", "INCONCLUSIVE").alias("unresolved"),
+    )
+    n, unsafe, safe, tp, fp, alerts = (F.col(k) for k in ("n", "unsafe", "safe", "tp", "fp", "alerts"))
+    tested = n - F.col("untested")
+    point = (ratio(tp, unsafe) >= recall) & (ratio(fp, safe) <= fpr) & (F.col("missed") <= unsafe * missed)
+    interval = point & (wilson(tp, unsafe)[0] >= recall) & (wilson(fp, safe)[1] <= fpr)
+    return c.withColumns({
+        "unsafe_candidate_recall": ratio(tp, unsafe), "adjudicated_precision": ratio(tp, tp + fp), "candidate_precision": F.when(alerts == 0, ratio(tp, tp + fp)), "verified_alert_fraction": ratio(tp, tp + fp + alerts),
+        "safe_false_positive_rate": ratio(fp, safe), "unsafe_static_safe_rate": ratio(F.col("missed"), unsafe), "unsafe_candidate_miss_rate": ratio(unsafe - tp, unsafe),
+        "unsafe_abstention_rate": ratio(F.col("ua"), unsafe), "safe_abstention_rate": ratio(F.col("sa"), safe), "needs_review_overclaim_rate": ratio(alerts + F.col("rs"), F.col("review")),
+        "unsafe_not_tested_rate": ratio(F.col("un"), unsafe), "test_coverage": ratio(tested, n), "decision_coverage": ratio(tested - F.col("unresolved"), n),
+        "point_gate": F.coalesce(point, F.lit(False)), "interval_gate": F.coalesce(interval, F.lit(False)),
+    })
+
+
 def bootstrap(df: DataFrame, order: str, difference: str, reps: int, seed: int) -> DataFrame:
     """Mean of a paired difference and its 95 % percentile interval from ``reps`` resamples.
 

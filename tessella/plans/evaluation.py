@@ -159,12 +159,15 @@ def ablation_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {P} SELECT CASE WHEN gold AND pred <> 'vulnerable' THEN CASE WHEN source LIKE 'src1%' AND toxic THEN 'IDENTITY_ERROR' WHEN pred = 'abstain' THEN CASE WHEN lang = 'en' THEN 'GENERATION_ERROR' ELSE 'UNSUPPORTED' END
-   WHEN conf >= 0.1 THEN 'INTERACTION_MISSING' ELSE 'CONTEXT_ERROR' END WHEN NOT gold AND pred = 'vulnerable' THEN 'CONTEXT_ERROR' ELSE 'OTHER' END AS failure, lang, count(*) AS n FROM p GROUP BY ALL""")
+WITH {P} SELECT CASE WHEN gold AND pred <> 'vulnerable' THEN CASE WHEN source LIKE 'src1%' AND toxic THEN 'SANITIZER_IDENTITY_ERROR' WHEN pred = 'abstain' THEN CASE WHEN lang = 'en' THEN 'PROBE_GENERATION_ERROR' ELSE 'UNSUPPORTED_FLOW' END
+   WHEN conf >= 0.1 THEN CASE WHEN n_chars % 2 = 0 THEN 'INTERACTION_MISSING' ELSE 'BROWSER_ORACLE_ERROR' END WHEN conf >= 0.05 THEN 'CONTEXT_CLASSIFICATION_ERROR' ELSE 'UNSUPPORTED_FLOW' END WHEN NOT gold AND pred = 'vulnerable' THEN 'CONTEXT_CLASSIFICATION_ERROR' ELSE 'OTHER' END AS failure, lang, count(*) AS n FROM p GROUP BY ALL""")
 def miss_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, p = F.col("gold"), F.col("pred")
-    missed = F.when(F.col("source").startswith("src1") & F.col("toxic"), "IDENTITY_ERROR").when(p == "abstain", F.when(F.col("lang") == "en", "GENERATION_ERROR").otherwise("UNSUPPORTED")).when(F.col("conf") >= 0.1, "INTERACTION_MISSING").otherwise("CONTEXT_ERROR")
-    failure = F.when(g & (p != "vulnerable"), missed).when(~g & (p == "vulnerable"), "CONTEXT_ERROR").otherwise("OTHER")
+    unseen = F.when(F.col("lang") == "en", "PROBE_GENERATION_ERROR").otherwise("UNSUPPORTED_FLOW")
+    unexecuted = F.when(F.col("n_chars") % 2 == 0, "INTERACTION_MISSING").otherwise("BROWSER_ORACLE_ERROR")
+    missed = F.when(F.col("source").startswith("src1") & F.col("toxic"), "SANITIZER_IDENTITY_ERROR").when(p == "abstain", unseen).when(F.col("conf") >= 0.1, unexecuted)
+    missed = missed.when(F.col("conf") >= 0.05, "CONTEXT_CLASSIFICATION_ERROR").otherwise("UNSUPPORTED_FLOW")
+    failure = F.when(g & (p != "vulnerable"), missed).when(~g & (p == "vulnerable"), "CONTEXT_CLASSIFICATION_ERROR").otherwise("OTHER")
     return predicted(spark, sf_dir).groupBy(failure.alias("failure"), "lang").agg(F.count("*").alias("n"))
 
 
@@ -181,13 +184,13 @@ def paired_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {P}, d AS (SELECT ((pred = 'vulnerable') = gold)::INT - ((n_chars >= 1500) = gold)::INT AS d FROM p), o AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS pos FROM d), n AS (SELECT count(*) AS n FROM d),
-r AS (SELECT rep, ('0x' || substr(sha256('7:' || rep || ':' || i), 1, 15))::BIGINT % n AS pos FROM n, range(200) a(rep), LATERAL (SELECT unnest(range(n)) AS i) b),
+r AS (SELECT rep, ('0x' || substr(sha256('7:' || rep || ':' || i), 1, 15))::BIGINT % n AS pos FROM n, range(5000) a(rep), LATERAL (SELECT unnest(range(n)) AS i) b),
 s AS (SELECT rep, avg(d) AS mean FROM r JOIN o USING (pos) GROUP BY rep)
 SELECT round((SELECT avg(d) FROM d), 6) AS delta, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM s""")
 def paired_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     right = lambda test: (test == F.col("gold")).cast("int")
     own = predicted(spark, sf_dir).select((right(F.col("pred") == "vulnerable") - right(F.col("n_chars") >= 1500)).alias("d"))
-    return rounded(m.bootstrap(own, "d", "d", reps=200, seed=7))
+    return rounded(m.bootstrap(own, "d", "d", reps=5000, seed=7))
 
 
 GRID = [(t / 10, g / 10) for t in range(2, 9) for g in (0, 1, 2)]
@@ -211,9 +214,11 @@ def threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {P}, s AS (SELECT lang AS split, avg((pred = 'vulnerable' AND gold OR pred = 'safe' AND NOT gold)::INT) AS ca, avg(((n_chars >= 1500) = gold)::INT) AS ba,
-  count(*) FILTER (pred = 'vulnerable' AND NOT gold) / nullif(count(*) FILTER (NOT gold), 0) AS cf, count(*) FILTER (n_chars >= 1500 AND NOT gold) / nullif(count(*) FILTER (NOT gold), 0) AS bf, avg((pred = 'abstain')::INT) AS ab FROM p GROUP BY lang),
-k AS (SELECT 'dev_no_regression' AS criterion, ca >= ba - 1e-9 AS pass FROM s WHERE split = 'en' UNION ALL SELECT 'generalization', ca >= ba - 0.05 FROM s WHERE split = 'de' UNION ALL
- SELECT 'false_positive', bool_and(cf <= bf + 1e-9) FROM s WHERE split IN ('en', 'fr') UNION ALL SELECT 'adversarial', ca >= ba - 1e-9 FROM s WHERE split = 'fr' UNION ALL SELECT 'abstention', ab <= 0.25 FROM s WHERE split = 'en')
+  count(*) FILTER (pred = 'vulnerable' AND NOT gold) / nullif(count(*) FILTER (NOT gold), 0) AS cf, count(*) FILTER (n_chars >= 1500 AND NOT gold) / nullif(count(*) FILTER (NOT gold), 0) AS bf, avg((pred = 'abstain')::INT) AS ab,
+  coalesce(avg((pred = 'safe')::INT) FILTER (gold), 1) AS cl, coalesce(avg((n_chars < 1500)::INT) FILTER (gold), 1) AS bl FROM p GROUP BY lang),
+k AS (SELECT 'dev_no_regression' AS criterion, ca >= ba - 1e-9 AS pass FROM s WHERE split = 'en' UNION ALL SELECT 'generalization', ca >= ba - 0.02 FROM s WHERE split = 'de' UNION ALL
+ SELECT 'false_positive', bool_and(cf <= bf + 1e-9) FROM s WHERE split IN ('en', 'fr') UNION ALL SELECT 'adversarial', ca >= ba - 1e-9 FROM s WHERE split = 'fr' UNION ALL SELECT 'abstention', ab <= 0.25 FROM s WHERE split = 'en' UNION ALL
+ SELECT 'nearmiss_leakage', cl <= 0.3 AND cl <= bl + 1e-9 FROM s WHERE split = 'es')
 SELECT CASE WHEN bool_and(pass) THEN 'PROMOTE' ELSE 'REJECT' END AS decision, coalesce(string_agg(criterion, ',' ORDER BY criterion) FILTER (NOT pass), '') AS failed FROM k""")
 def promotion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, p, base = F.col("gold"), F.col("pred"), F.col("n_chars") >= 1500
@@ -221,11 +226,13 @@ def promotion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = predicted(spark, sf_dir).groupBy("lang").agg(
         mean((p == "vulnerable") & g | (p == "safe") & ~g).alias("ca"), mean(base == g).alias("ba"), m.ratio(F.count_if((p == "vulnerable") & ~g), F.count_if(~g)).alias("cf"),
         m.ratio(F.count_if(base & ~g), F.count_if(~g)).alias("bf"), mean(p == "abstain").alias("ab"),
+        F.coalesce(F.avg(F.when(g, (p == "safe").cast("int"))), F.lit(1.0)).alias("cl"), F.coalesce(F.avg(F.when(g, (~base).cast("int"))), F.lit(1.0)).alias("bl"),
     )
     at = lambda lang, test: F.bool_and(F.when(F.col("lang").isin(lang), test))
     checks = {
-        "dev_no_regression": at(["en"], F.col("ca") >= F.col("ba") - 1e-9), "generalization": at(["de"], F.col("ca") >= F.col("ba") - 0.05),
+        "dev_no_regression": at(["en"], F.col("ca") >= F.col("ba") - 1e-9), "generalization": at(["de"], F.col("ca") >= F.col("ba") - 0.02),
         "false_positive": at(["en", "fr"], F.col("cf") <= F.col("bf") + 1e-9), "adversarial": at(["fr"], F.col("ca") >= F.col("ba") - 1e-9), "abstention": at(["en"], F.col("ab") <= 0.25),
+        "nearmiss_leakage": at(["es"], (F.col("cl") <= 0.3) & (F.col("cl") <= F.col("bl") + 1e-9)),
     }
     row = per.agg(*[c.alias(k) for k, c in checks.items()])
     failed = F.array_sort(F.array_compact(F.array(*[F.when(~F.col(k), F.lit(k)) for k in checks])))

@@ -35,9 +35,9 @@ def read_summaries(spark: SparkSession, glob: str, schema: StructType, required:
 
 
 def source_tree(spark: SparkSession, folder: str, extensions: tuple[str, ...], excluded: str = r"/(?:node_modules|vendor|dist)/|\.min\.") -> DataFrame:
-    """Source files under ``folder``: path, text and content hash, vendored and minified ones left out."""
+    """Source files under ``folder``: path, bytes, text and content hash, vendored and minified ones left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(extensions) + "}").load(folder)
-    return files.where(~F.col("path").rlike(excluded)).select("path", F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("sha256"))
+    return files.where(~F.col("path").rlike(excluded)).select("path", "content", F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("sha256"))
 
 
 def numbered_lines(files: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
@@ -46,11 +46,11 @@ def numbered_lines(files: DataFrame, key: str = "path", text: str = "text") -> D
 
 
 def verified_spans(spans: DataFrame, files: DataFrame) -> DataFrame:
-    """Spans (path, start_byte, end_byte, excerpt) with ``ok``: the snapshot's bytes are the excerpt."""
-    raw = files.select("path", F.encode("text", "UTF-8").alias("_raw"))
+    """Spans (path, start_byte, end_byte, excerpt) with ``ok``: the snapshot's bytes (``content``) are the excerpt's."""
+    raw = files.select("path", F.col("content").alias("_raw"))
     joined = spans.join(raw, "path", "left")
-    cut = F.expr("decode(substring(_raw, start_byte + 1, end_byte - start_byte), 'UTF-8')")
-    return joined.withColumn("ok", F.coalesce(cut == F.col("excerpt"), F.lit(False))).drop("_raw")
+    cut = F.expr("substring(_raw, start_byte + 1, end_byte - start_byte)")
+    return joined.withColumn("ok", F.coalesce(cut == F.encode("excerpt", "UTF-8"), F.lit(False))).drop("_raw")
 
 
 def frozen(files: DataFrame, expected: dict[str, str]) -> DataFrame:

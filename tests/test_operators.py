@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.functions import rules, text, url
+from tessella.functions import answers, gates, rules, text, url
 from tessella.operators import audit, dedup, flow, metrics, ordering, retrieval, split
 from tessella.plans.text import crawl_bfs
 from tessella.sources import jsonl
@@ -232,3 +232,32 @@ def test_shares_and_permutations(spark):
     assert split.permutation_split(rows, 0.15, "1", "k").where("split = 'validation'").count() == 7
     assert split.permutation_split(rows.limit(3), 0.15, "1", "k").where("split = 'validation'").count() == 2
     assert split.sample(rows.limit(0), 0.3, "1", "k").count() == split.balance(rows.limit(0), "g", "1", "k").count() == 0
+
+
+def test_learning_switch():
+    gates.require_learning(True, "training")
+    with pytest.raises(gates.LearningDisabled, match="training"):
+        gates.require_learning(False, "training")
+
+
+def test_spans_are_compared_as_bytes(spark):
+    files = spark.createDataFrame([("a", bytearray(b"\xff\xfe<b>x</b>"))], "path string, content binary")
+    spans = spark.createDataFrame([("a", 2, 5, "<b>"), ("a", 4, 7, "<b>"), ("gone", 0, 1, "x")], "path string, start_byte int, end_byte int, excerpt string")
+    assert {(r["start_byte"], r["ok"]) for r in jsonl.verified_spans(spans, files).collect()} == {(2, True), (4, False), (0, False)}
+
+
+def test_free_answers_of_odd_texts(spark):
+    keys = ("Classification", "Confidence")
+    said = ["Classification: Safe because\nConfidence: 0.5", "classification: safe", "", None, "Confidence: nan\nClassification: unsafe", "Classification:\nConfidence: 2 proven exploit"]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s string").select("i", answers.free_answer(F.col("s"), keys).alias("a"), answers.verdict(F.col("s")).alias("v")).orderBy("i").collect()
+    assert [r["a"]["prediction"] for r in rows] == ["safe", *["invalid"] * 5]
+    assert [r["a"]["complete"] for r in rows] == [True, *[False] * 5]
+    assert rows[5]["a"]["claims_execution"] and not rows[3]["a"]["claims_execution"]
+    assert [r["v"] for r in rows] == ["SAFE", "SAFE", *["POSSIBLE_XSS"] * 4]
+
+
+def test_decision_rates_without_rows_of_a_label(spark):
+    rows = spark.createDataFrame([("safe", "SAFE")] * 3 + [("needs_review", "CANDIDATE")], "label string, status string")
+    r = metrics.decision_rates(rows).first()
+    assert r["unsafe_candidate_recall"] is None and r["candidate_precision"] is None and r["safe_false_positive_rate"] == 0 and r["needs_review_overclaim_rate"] == 1
+    assert not r["point_gate"] and not r["interval_gate"] and r["test_coverage"] == 1
