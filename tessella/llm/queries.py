@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontamination, langid, line_dedup, packing, pii, simhash, token_files, topk, toxicity, url_filter
+from tessella.llm import decontamination, fill_middle, langid, line_dedup, packing, pii, simhash, token_files, topk, toxicity, url_filter
 from tessella.llm.common import held_out, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+@query(fill_middle.ORACLE)
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    cuts = [F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars")]
+    restored = fill_middle.restored(F.col("form"), F.col("output"))
+    return made.select("row.doc_id", "n", "form", *cuts, sha(F.col("output")).alias("output_sha256"), sha(restored).alias("restored_sha256"))
