@@ -9,7 +9,7 @@ gives the offset, so both cuts of a text cost two searches and no list of all it
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -169,10 +169,10 @@ def transform(text: bytes, digest: str, unit: str = "char", plain_percent: int =
     return n, "spm" if spm else "psm", one, two - one, a, b - a, b"".join([*parts, MIDDLE.encode(), middle])
 
 
-def _rewritten(unit: str, text: str, plain_percent: int, spm_percent: int, names: list[str]):
+def _rewritten(unit: str, plain_percent: int, spm_percent: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("row").field(text).cast(pa.binary()).to_pylist()  # bytes: nothing is decoded
+            texts = b.column("_text").cast(pa.binary()).to_pylist()  # bytes: nothing is decoded
             made = [transform(t or b"", d, unit, plain_percent, spm_percent) for t, d in zip(texts, b.column("_digest").to_pylist(), strict=True)]
             n, forms, *cuts, output = zip(*made, strict=True) if made else [()] * 7
             longs = [pa.array(x, pa.int64()) for x in cuts]
@@ -181,8 +181,8 @@ def _rewritten(unit: str, text: str, plain_percent: int, spm_percent: int, names
     return run
 
 
-def fill_in_middle(docs: DataFrame, unit: str = "char", seed: int = 1, plain_percent: int = 10, spm_percent: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (row, n, form, prefix_units, middle_units, prefix_bytes, middle_bytes, output): every row as it came, its string ``text`` rewritten.
+def fill_in_middle(docs: DataFrame, unit: str = "char", seed: int = 1, plain_percent: int = 10, spm_percent: int = 20, keep: Sequence[str] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (row, n, form, prefix_units, middle_units, prefix_bytes, middle_bytes, output): each row's columns ``keep`` (all, if None) as they came, its ``text`` rewritten.
 
     The choices of a row follow from the SHA-256 of ``seed``, a colon and its id, so a task that
     runs again gives the same rows, and repeated rows change alike. A null id counts as no digits, a
@@ -195,12 +195,12 @@ def fill_in_middle(docs: DataFrame, unit: str = "char", seed: int = 1, plain_per
     if not (0 <= plain_percent <= 100 and 0 <= spm_percent <= 100):
         raise ValueError("percentages lie between 0 and 100")
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))).cast("binary"), 256)
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), digest.alias("_digest"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]).alias("row"), F.col(f"`{text}`").cast("string").alias("_text"), digest.alias("_digest"))
     schema = T.StructType([own.schema["row"], T.StructField("n", T.LongType()), T.StructField("form", T.StringType())])
     for name in ("prefix_units", "middle_units", "prefix_bytes", "middle_bytes"):
         schema = schema.add(name, T.LongType())
     schema = schema.add("output", T.StringType())
-    return own.mapInArrow(_rewritten(unit, text, plain_percent, spm_percent, schema.names), schema)
+    return own.mapInArrow(_rewritten(unit, plain_percent, spm_percent, schema.names), schema)
 
 
 def restored(form: Column, output: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontamination, fill_middle, langid, line_dedup, packing, pii, simhash, token_files, topk, toxicity, url_filter
+from tessella.llm import decontamination, fill_middle, langid, line_dedup, packing, pii, secret_scan, simhash, token_files, topk, toxicity, url_filter
 from tessella.llm.common import held_out, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,9 +107,24 @@ def op10_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def ranks() -> tuple[str, str]:
+    """A public vocabulary of ranks and the pattern that goes with it, read where the driver runs."""
+    import public_tokenizers
+
+    return tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query()
+def op11_token_efficiency_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(load(spark, sf_dir, "documents"), *ranks(), keep=["doc_id"])
+    counts = [F.size(F.filter("spans", secret_scan.of_kind(k))).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS]
+    base = secret_scan.written(F.filter("spans", lambda s: s["kind"] != "random"))
+    return found.select("row.doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans"))
+
+
 @query(fill_middle.ORACLE)
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = fill_middle.fill_in_middle(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    made = fill_middle.fill_in_middle(load(spark, sf_dir, "documents"), keep=["doc_id"])
     sha = lambda c: F.sha2(c.cast("binary"), 256)
     cuts = [F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars")]
     restored = fill_middle.restored(F.col("form"), F.col("output"))
