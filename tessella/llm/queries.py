@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontamination, fill_middle, langid, line_dedup, packing, pii, secret_scan, simhash, token_files, topk, toxicity, url_filter
+from tessella.llm import decontamination, fill_middle, langid, line_dedup, packing, pii, prefix_trie, secret_scan, simhash, token_files, topk, toxicity, url_filter
 from tessella.llm.common import held_out, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cuts = [F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars")]
     restored = fill_middle.restored(F.col("form"), F.col("output"))
     return made.select("row.doc_id", "n", "form", *cuts, sha(F.col("output")).alias("output_sha256"), sha(restored).alias("restored_sha256"))
+
+
+@query(prefix_trie.ORACLE)
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    head = F.crc32(conv.cast("string").cast("binary")) % 6
+    return prefix_trie.conversation_trie(load(spark, sf_dir, "conversations"), base=conv - conv % 100, head=head)
