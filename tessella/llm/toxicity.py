@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 #: Most labelled documents of either class that the model is fitted on; each is read whole.
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 1500, 3000
-#: A text of the sample is a copy if earlier ones hold this share of its shingles of so many words.
+#: Texts of the sample are copies, and stay in one half of it, if earlier ones hold this share of a text's shingles of so many words.
 COPY_SHARE, COPY_WORDS = 0.5, 5
 #: Words of a window.
 WINDOW_WORDS = 8
@@ -130,27 +130,52 @@ def _told(text: str, telling: set[str]) -> bytes:
     return f" {' '.join(found)} ".encode("utf-8", "replace") if found else b""
 
 
-def _without_copies(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
-    """The rows whose texts are no copies, exact or near, of earlier ones; a text with both labels goes.
+def _copy_groups(texts: list[str]) -> list[int]:
+    """A group for each text: one that holds half of its shingles with earlier texts is in a group with all that share them.
 
-    Copies in both halves of the sample would pass for what tells, and for what is calibrated.
-    Of a text's shingles those with a hash divisible by 4 are compared, or all of few.
+    Of a text's shingles those with a hash divisible by 4 are compared, or all of few. Texts of one header may
+    fall into one group: groups only deal the sample into halves and drop nothing.
     """
-    labels: dict[str, set[int]] = {}
-    for text, label in rows:
-        labels.setdefault(text, set()).add(label)
-    seen: set[int] = set()
-    kept = []
-    for text, (label, *more) in labels.items():
-        if more:
-            continue
+    root = list(range(len(texts)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    holder: dict[int, int] = {}
+    for i, text in enumerate(texts):
         words = text.lower().split()
-        own = {crc32(" ".join(words[i : i + COPY_WORDS]).encode("utf-8", "replace")) for i in range(max(1, len(words) - COPY_WORDS + 1))}
+        own = {crc32(" ".join(words[k : k + COPY_WORDS]).encode("utf-8", "replace")) for k in range(max(1, len(words) - COPY_WORDS + 1))}
         own = {h for h in own if h % 4 == 0} if len(own) >= 64 else own
-        if len(own & seen) < COPY_SHARE * len(own):
-            kept.append((text, label))
-            seen |= own
-    return kept
+        met = Counter(top(holder[h]) for h in own if h in holder)
+        if sum(met.values()) >= COPY_SHARE * len(own) > 0:
+            for other in met:
+                root[top(other)] = i
+        for h in own:
+            holder.setdefault(h, i)
+    return [top(i) for i in range(len(texts))]
+
+
+def _halves(rows: list[tuple[str, int]]) -> list[list[tuple[str, int]]]:
+    """The rows in two halves, copies on one side, for what one half's dictionaries have seen of the other would pass for what tells.
+
+    Groups go, the largest first, to the half with fewer rows of their labels. Where a half would lack a label, as when
+    all texts share one header, rows are dealt one by one.
+    """
+    groups: dict[int, list[tuple[str, int]]] = {}
+    for row, group in zip(rows, _copy_groups([t for t, _ in rows]), strict=True):
+        groups.setdefault(group, []).append(row)
+    halves, counts = ([], []), [Counter(), Counter()]
+    for group in sorted(groups.values(), key=len, reverse=True):
+        own = Counter(y for _, y in group)
+        to = min((0, 1), key=lambda k: sum(counts[k][y] * n for y, n in own.items()))
+        halves[to].extend(group)
+        counts[to] += own
+    if all(set(c) == {0, 1} for c in counts):
+        return list(halves)
+    by_label = [[r for r in rows if r[1] == k] for k in (0, 1)]
+    return [by_label[0][k::2] + by_label[1][k::2] for k in (0, 1)]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 50) -> np.ndarray:
@@ -176,13 +201,12 @@ def _dictionaries(rows: list[tuple[str, int]]) -> ToxicityModel:
 def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
     """``rows``: (text, label) of the bounded sample.
 
-    Each half's features, from the other half's dictionaries, calibrate the thresholds; the
-    dictionaries kept come from all rows. Without both labels in either half the score is the
-    share of label 1.
+    Rows alike in text and label count once, all others count, copies or not. Each half's features,
+    from the other half's dictionaries, calibrate the thresholds; the dictionaries kept come from all
+    rows. Without both labels in either half the score is the share of label 1.
     """
-    rows = _without_copies(rows)
-    by_label = [[r for r in rows if r[1] == k] for k in (0, 1)]
-    halves = [by_label[0][k::2] + by_label[1][k::2] for k in (0, 1)]
+    rows = list(dict.fromkeys(rows))
+    halves = _halves(rows)
     if any({y for _, y in half} != {0, 1} for half in halves):
         share = (sum(y for _, y in rows) + 0.5) / (len(rows) + 1)
         return ToxicityModel(b"", b"", [float(np.log(share / (1 - share)))] + [0.0] * (len(SAVED) + 1))
@@ -235,6 +259,9 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """``docs`` without the rows whose ``text`` scores ``THRESHOLD`` or more; null and empty texts score alike."""
+    """``docs`` without the rows whose ``text`` scores ``THRESHOLD`` or more; null and empty texts score alike.
+
+    Rows that repeat stay or go together, and columns of any name stay as they are, ``score`` and ``row`` included.
+    """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
     return score(rows, model, keep=("row",)).where(F.col("score") < THRESHOLD).select("row.*")

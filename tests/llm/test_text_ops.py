@@ -130,17 +130,29 @@ def test_toxicity_scores_follow_the_dictionaries(spark):
         assert got[i] == pytest.approx(brute(t or ""))
 
 
-def test_toxicity_sample_drops_copies_but_not_shared_headers():
+def test_toxicity_copies_stay_on_one_side_and_shared_headers_do_not_tie():
     rows = labelled(80, 6)
     header = "this site and all that it holds is offered as it is to all of you"
     texts = [(f"{header} {t}", y) for _, t, y in rows]
-    assert len(toxicity._without_copies(texts)) == len(texts)
     near = [(t + " more", y) for t, y in texts]
-    assert toxicity._without_copies(texts + near + texts) == toxicity._without_copies(texts)
-    assert toxicity._without_copies([("a b", 0), ("a b", 1), ("c", 1)]) == [("c", 1)]
+    halves = toxicity._halves(texts + near)
+    assert sorted(halves[0] + halves[1]) == sorted(texts + near)
+    sides = {t: k for k, half in enumerate(halves) for t, _ in half}
+    assert all(sides[t] == sides[t + " more"] for t, _ in texts)
+    assert all(abs(sum(y == k for _, y in halves[0]) - sum(y == k for _, y in halves[1])) <= 4 for k in (0, 1))
     model = toxicity.fit(texts)
     pack = model.compressors()
     assert len({round(float(model.score(model.features(t, pack))), 6) for t, _ in texts}) > 2
+    assert toxicity.fit([]).weights[0] == 0.0
+
+
+def test_drop_toxic_keeps_clashing_names_and_repeats(spark):
+    model = toxicity.fit([(t, y) for _, t, y in labelled(200, 3)])
+    rows = [("x", "1", "a quiet text"), ("x", "1", "a quiet text"), (None, "2", None), ("y", "3", "")]
+    docs = spark.createDataFrame(rows, "row string, score string, text string")
+    got = toxicity.drop_toxic(docs, model)
+    assert got.columns == docs.columns and got.exceptAll(docs).count() == 0
+    assert got.where("row = 'x'").count() in (0, 2)
 
 
 def test_toxicity_in_spark(spark):
