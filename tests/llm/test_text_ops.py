@@ -253,7 +253,7 @@ def test_wand_finds_all_above_the_threshold():
     from collections import Counter
 
     df = Counter(t for _, x in its for t in set(decontamination.terms_of(x)))
-    index = decontamination.ItemIndex(its, len(its), df, sum(len(decontamination.terms_of(x)) for _, x in its) / len(its))
+    index = decontamination.ItemIndex(its, len(its), df, sum(len(decontamination.terms_of(x)) for _, x in its) / len(its), max(len(decontamination.terms_of(x)) for _, x in its))
     for least in (0.2, 0.55):
         for _ in range(200):
             base = decontamination.terms_of(rng.choice(its)[1]) if rng.random() < 0.5 else []
@@ -285,6 +285,24 @@ def test_decontamination(spark, monkeypatch):
     assert decontamination.drop_contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_items_of_very_different_lengths_in_any_number_of_indexes(spark, monkeypatch):
+    rng, words, its = items(3)
+    long = " ".join(rng.choices(words, k=900)) + ". The last one ends it all here."
+    its = [*its, (500, long), (501, "A short one? Of five terms only."), (502, "e\u0301t\u0301 a\u0301 marks. Are no terms.")]
+    between = lambda: " ".join(rng.choices(words, k=rng.randrange(300, 700)))
+    docs = [(i, f"{between()} {x} {between()}", "x", "y", 1) for i, x in its] + [(900, its[0][1], "x", "y", 1)] * 3 + [(901, f"{between()} {long} {between()} " * 12, "x", "y", 1)]
+    df = spark.createDataFrame(docs, SCHEMA).withColumnRenamed("hash", "hits").withColumnRenamed("row", "item_id")
+    bench = spark.createDataFrame(its, "item_id long, text string")
+    found = {}
+    for most in (20_000, 7):
+        monkeypatch.setattr(decontamination, "SHARD_ITEMS", most)
+        found[most] = sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in decontamination.contaminated(df, bench).collect())
+        kept = decontamination.drop_contaminated(df, bench)
+        assert kept.columns == df.columns and kept.count() == 0
+    assert found[7] == found[20_000] and sum(r[0] == 900 for r in found[7]) == 3
+    assert {(i, i) for i, _ in its} | {(901, 500)} <= {r[:2] for r in found[7]}
+
+
 def test_top_k_equals_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(4)
     vectors = [(i, rng.integers(-3, 3, 8).astype(float).tolist() if i % 3 else [0.5] * 8) for i in range(260)]
@@ -349,9 +367,7 @@ def brute_rank(edges, seeds, steps=200):
     return total
 
 
-def test_propagation_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "STEPS", 60)
-    monkeypatch.setattr(url_filter, "TOLERANCE", 1e-7)
+def test_propagation_equals_brute_force(spark):
     rng = random.Random(2)
     edges = list({(a, b): (f"h{a}", f"h{b}", rng.randrange(1, 5)) for a in range(12) for b in rng.sample(range(12), 2) if a != b}.values())
     seeds = [("h0", 1.0, 0.0), ("h5", 0.0, 1.0), ("h6", 0.25, 0.5)]
@@ -363,6 +379,59 @@ def test_propagation_equals_brute_force(spark, monkeypatch):
         assert got[h] == pytest.approx((trust.get(h, 0), distrust.get(h, 0)), abs=1e-3)
 
 
+def test_weight_that_fans_out_and_in_again_arrives(spark):
+    n = 20_000
+    edges = spark.range(n).select(F.lit("seed").alias("src"), F.concat(F.lit("h"), "id").alias("dst"), F.lit(1).alias("pages"))
+    edges = edges.union(spark.range(n).select(F.concat(F.lit("h"), "id"), F.lit("hub"), F.lit(1)))
+    got = url_filter.propagate(edges, spark.createDataFrame([("seed", 1.0, 0.0)], "host string, trusted double, blocked double"))
+    ranks = {r["host"]: r["trust"] for r in got.where("host in ('hub', 'seed', 'h7')").collect()}
+    assert ranks["hub"] == pytest.approx(0.85**2, abs=1e-3) and ranks["h7"] == pytest.approx(0.85 / n) and ranks["seed"] == 1
+    assert got.count() == n + 2
+
+
+def brute_judge(pages, rules):
+    """The whole judgement with dictionaries; absolute links by a plain scan of quoted hrefs."""
+
+    def parts(url):
+        if url is None or "://" not in url:
+            return "", ""
+        rest = url.split("://", 1)[1]
+        host = re.split("[/?#]", rest, maxsplit=1)[0]
+        return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+
+    ruled, edges, hosts = [], {}, {}
+    for key, url, html in pages:
+        host, path = parts(url)
+        fits = [r for r in rules if (host == r[0].split("/", 1)[0] or host.endswith("." + r[0].split("/", 1)[0])) and path.startswith("/" + r[0].split("/", 1)[1])]
+        rule, verdict = max(fits, key=lambda r: len(r[0])) if fits else (None, None)
+        ruled.append((key, host, path, rule, verdict))
+        if host:
+            hosts.setdefault(host, []).append(verdict)
+        for to in set(re.findall(' href="(http://[^"]+)"', html or "")):
+            dst = parts(to)[0]
+            if host and dst != host:
+                edges[host, dst] = edges.get((host, dst), 0) + 1
+    trust = brute_rank([(a, b, n) for (a, b), n in edges.items()], {h: v.count("allow") / len(v) for h, v in hosts.items() if "allow" in v})
+    distrust = brute_rank([(b, a, n) for (a, b), n in edges.items()], {h: v.count("block") / len(v) for h, v in hosts.items() if "block" in v})
+    bad = lambda h: distrust.get(h, 0) >= 0.5 and distrust.get(h, 0) > trust.get(h, 0)
+    return sorted((k, h, p, r, v or ("block" if bad(h) else "allow")) for k, h, p, r, v in ruled)
+
+
+def test_judgement_equals_brute_force_on_linked_pages(spark):
+    rng, rules = random.Random(8), (("bad.net/", "block"), ("good.org/", "allow"), ("bad.net/fine/", "allow"), ("mixed.io/x", "block"))
+    hosts = ["bad.net", "Sub.Bad.net", "good.org", "mixed.io", *(f"h{i}.com" for i in range(14))]
+    pages = []
+    for i in range(160):
+        host = hosts[i % len(hosts)]
+        links = "".join(f'<a href="http://{rng.choice(hosts if host[0] in "hm" else hosts[4:])}/p{rng.randrange(9)}?q=1">x</a>' for _ in range(rng.randrange(4)))
+        pages.append((i, f"http://{host}/{rng.choice(['', 'fine/', 'x', 'y?z', 'fine/a#b'])}", links + '<a data-href="http://bad.net/">no link</a>' + "<p>long</p>" * (40_000 if i == 9 else 1)))
+    pages += [(900, None, None), (901, "", ""), (902, "no scheme", "<a>"), (903, "http://h1.com/", None), pages[5], pages[5]]
+    df = spark.createDataFrame([(*p, "h", 1.0) for p in pages], "page_id long, url string, html string, host string, trust double")
+    got = sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(df, rules).collect())
+    assert str(got) == str([(k, h, p, r, v) for k, h, p, r, v in brute_judge(pages, rules)])
+    assert {r[4] for r in got if r[3] is None} == {"allow", "block"}
+
+
 def test_links_to_blocked_hosts_block(spark):
     pages = [(1, "http://bad.net/", ""), (2, "http://feeder.io/", '<a href="http://bad.net/x">a</a> <a href="/own">b</a>'), (3, "http://fine.io/", "<a HREF='//other.io/z'>a</a>"), (4, "http://other.io/", None)]
     got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
