@@ -16,17 +16,20 @@ dealt over salted parts, and what is replicated there goes to each part.
 
 Three bits of 64 are far less than what texts of a similarity of 0.8 differ in, about ten. ``drop_near_duplicates``
 serves a bound on the Jaccard similarity of shingles: fingerprints of 256 bits, and many
-blocks, each of ``GOLAY`` + ``EXACT`` bits sampled from them. A block's anchors are the words of the
+blocks, each of ``GOLAY`` and some exact bits sampled from them. A block's anchors are the words of the
 perfect Golay code (covering radius 3) with the further bits as they are; its threshold is zero, so that every
-fingerprint has one anchor in it. The pairs that meet at an anchor and are near in all 256 bits give a minimum spanning
-forest, and its edges are verified: only texts whose shingles are as similar as asked for link.
+fingerprint has one anchor in it. How many bits stand as they are follows from the count of distinct fingerprints, how many
+blocks from the share of pairs that may be missed. The pairs that meet at an anchor and are near in all 256 bits give a minimum spanning
+forest, and its edges are verified: only texts whose shingles are as similar as asked for link. Where a
+check fails, other pairs of the same anchors may be the links that hold: what the verified links leave
+apart there is paired and verified again, until no pair is left.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations, repeat
-from math import acos, ceil, pi, sqrt
+from math import acos, ceil, comb, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +44,11 @@ PART_HOMES = 1024
 #: Hot anchors up to this count are broadcast; beyond it the join shuffles.
 BROADCAST_ANCHORS = 20_000
 
-#: 64-bit words of a wide fingerprint; bits of a block in the Golay code and as they are; blocks.
-#: Beyond some 10^8 documents each doubling wants one exact bit more, and a sixth more blocks for the same recall.
-WIDE, GOLAY, EXACT, BLOCKS = 4, 23, 6, 50
+#: 64-bit words of a wide fingerprint; bits of a block in the Golay code; fingerprints that share an anchor
+#: by chance, on average, and exact bits at least; share of the pairs at the bound that never meet.
+WIDE, GOLAY, BY_CHANCE, LEAST_EXACT, LOSS = 4, 23, 256, 4, 0.02
+#: Nearest partners of a fingerprint at an anchor that are verified at once after a failed check; eight times as many in each further round.
+FAN = 32
 #: A near-duplicate of the pipeline: so many words a shingle, and so much of the shingles of both in common.
 SHINGLE, SIMILARITY = 5, 0.8
 
@@ -251,11 +256,44 @@ def _golay() -> tuple[np.ndarray, np.ndarray]:
     return np.array(columns, dtype=np.int64), leaders
 
 
-def _anchors(blocks: int):
+def exact_bits(n: int) -> int:
+    """A block's exact bits for ``n`` fingerprints: its 2^12 code words hold ``BY_CHANCE`` on average."""
+    return max(LEAST_EXACT, ceil(log2(max(n, 1) / BY_CHANCE)) - 12)
+
+
+def differing(similarity: float) -> float:
+    """The share of bits that two texts of this Jaccard similarity differ in, on average."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def blocks_for(exact: int, similarity: float = SIMILARITY, loss: float = LOSS) -> int:
+    """Blocks such that pairs at the bound meet in one, but for ``loss`` of them.
+
+    A pair whose bits differ with chance p shares a code word if the word's offset (uniform over
+    those of up to three bits) still has at most three bits with the differences. Pairs at one
+    similarity differ in more or fewer of their bits, so p itself is spread as the binomial of all bits is.
+    """
+
+    def meets(p: float) -> float:
+        binomial = lambda n, k: comb(n, k) * p**k * (1 - p) ** (n - k)
+        words = 0.0
+        for w in range(4):
+            words += comb(GOLAY, w) * sum(binomial(w, lost) * binomial(GOLAY - w, won) for lost in range(w + 1) for won in range(GOLAY - w + 1) if w - lost + won <= 3)
+        return words / 2**11 * (1 - p) ** exact
+
+    bits, share = WIDE * 64, differing(similarity)
+    spread = [(comb(bits, k) * share**k * (1 - share) ** (bits - k), meets(k / bits)) for k in range(bits // 2)]
+    blocks = 1
+    while sum(weight * (1 - q) ** blocks for weight, q in spread) > loss:
+        blocks += max(1, blocks // 50)
+    return blocks
+
+
+def _anchors(blocks: int, exact: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (anchor, fp): a wide fingerprint's anchor in each block, the block's number above its bits."""
         columns, leaders = _golay()
-        size, rng = GOLAY + EXACT, np.random.default_rng(SEED)
+        size, rng = GOLAY + exact, np.random.default_rng(SEED)
         per = WIDE * 64 // size
         chosen = [x for _ in range(-(-blocks // per)) for x in rng.permutation(WIDE * 64)[: per * size].reshape(per, size)][:blocks]
         for b in batches:
@@ -272,51 +310,73 @@ def _anchors(blocks: int):
     return run
 
 
-def _nearest(most: int):
+def _forest_of(bits: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The places of the pairs that make a minimum spanning forest."""
+    root: dict[int, int] = {}
+    kept = []
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    for k in np.argsort(bits, kind="stable").tolist():
+        a, c = find(int(u[k])), find(int(v[k]))
+        if a != c:
+            root[a] = c
+            kept.append(k)
+    return np.array(kept, dtype=np.int64)
+
+
+def _fan_of(bits: np.ndarray, u: np.ndarray, v: np.ndarray, fan: int) -> tuple[np.ndarray, bool]:
+    """The places of the pairs that are among the ``fan`` nearest of either end, and whether that leaves any out."""
+    near = np.zeros(len(bits), dtype=bool)
+    for end in (u, v):
+        order = np.lexsort((bits, end))
+        first = np.r_[0, np.flatnonzero(end[order][1:] != end[order][:-1]) + 1]
+        sizes = np.diff(np.r_[first, len(order)])
+        near[order[np.arange(len(order)) - np.repeat(first, sizes) < fan]] = True
+    return np.flatnonzero(near), not near.all()
+
+
+def _nearest(most: int, fan: int | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Edges (u, v): a minimum spanning forest of the pairs of a part that differ in at most ``most`` bits.
+        """Pairs (u, v, more) of a part that differ in at most ``most`` bits: a minimum spanning forest of them.
 
-        Rows come by (anchor, part), homes first; pairs have a home in them. Of a part that goes on in
+        With ``fan``, each one's nearest partners of another ``root`` instead, and whether there are more. Rows
+        come by (anchor, part), homes first; pairs have a home in them. Of a part that goes on in
         the next batch only the homes are held.
         """
         held = None
         for b in (b for b in batches if b.num_rows):
             anchor, part, visits = (b.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "part", "visits"))
             fp = np.frombuffer(b"".join(b.column("fp").to_pylist()), dtype=np.uint64).reshape(-1, WIDE)
+            root = b.column("root").to_numpy(zero_copy_only=False) if fan else np.zeros(len(fp), dtype=np.int64)
             known = 0
             if held is not None and (held[0][-1], held[1][-1]) == (anchor[0], part[0]):
                 known = len(held[0])
-                anchor, part, visits, fp = (np.concatenate(x) for x in zip(held, (anchor, part, visits, fp), strict=True))
+                anchor, part, visits, fp, root = (np.concatenate(x) for x in zip(held, (anchor, part, visits, fp, root), strict=True))
             group = np.r_[0, np.cumsum((anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1]))]
             last = np.flatnonzero((group == group[-1]) & ~visits)
-            held = (anchor[last], part[last], visits[last], fp[last]) if len(last) else None
+            held = (anchor[last], part[last], visits[last], fp[last], root[last]) if len(last) else None
             i, found = np.flatnonzero(~visits), []
             for k in range(1, len(group)):
                 i = i[i + k < len(group)]
                 i = i[group[i] == group[i + k]]
                 if not len(i):
                     break
-                bits = np.bitwise_count(fp[i] ^ fp[i + k]).sum(axis=1, dtype=np.int64)
-                near = np.flatnonzero((bits <= most) & (i + k >= known))
-                found.append((bits[near], i[near], i[near] + k))
+                own = i[root[i] != root[i + k]] if fan else i
+                bits = np.bitwise_count(fp[own] ^ fp[own + k]).sum(axis=1, dtype=np.int64)
+                near = np.flatnonzero((bits <= most) & (own + k >= known))
+                found.append((bits[near], own[near], own[near] + k))
             if not found:
                 continue
             bits, u, v = (np.concatenate(x) for x in zip(*found, strict=True))
-            order, root, kept = np.argsort(bits, kind="stable"), {}, []
-
-            def find(x: int, root: dict[int, int] = root) -> int:
-                while (up := root.get(x, x)) != x:
-                    root[x] = root.get(up, up)
-                    x = up
-                return x
-
-            for x, y in zip(u[order].tolist(), v[order].tolist(), strict=True):
-                a, c = find(x), find(y)
-                if a != c:
-                    root[a] = c
-                    kept.append((x, y))
-            if kept:
-                yield pa.RecordBatch.from_arrays([pa.array([fp[r[side]].tobytes() for r in kept], pa.binary()) for side in (0, 1)], names=["u", "v"])
+            kept, more = _fan_of(bits, u, v, fan) if fan else (_forest_of(bits, u, v), False)
+            if len(kept):
+                ends = [pa.array([x.tobytes() for x in fp[side[kept]]], pa.binary()) for side in (u, v)]
+                yield pa.RecordBatch.from_arrays([*ends, pa.array([more] * len(kept))], names=["u", "v", "more"])
 
     return run
 
@@ -328,32 +388,64 @@ def _verified(shingle: int, similarity: float):
             for s, t in zip(b.column("s"), b.column("t"), strict=True):
                 one, other = set(shingles(s.as_py(), shingle)), set(shingles(t.as_py(), shingle))
                 keep.append(len(one & other) >= similarity * len(one | other))
-            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(keep, pa.bool_())], names=["u", "v", "similar"])
 
     return run
 
 
-def met_pairs(fps: DataFrame, similarity: float = SIMILARITY, blocks: int = BLOCKS, part_homes: int | None = None) -> DataFrame:
-    """Pairs (u, v) of distinct wide ``fp`` that meet at an anchor and may be as similar as asked for.
+def met_pairs(fps: DataFrame, n: int, similarity: float = SIMILARITY, part_homes: int | None = None, fan: int | None = None) -> DataFrame:
+    """Pairs (u, v, more) of distinct wide ``fp`` that meet at an anchor and may be as similar as asked for.
 
-    At 0.8, 50 blocks bring about nine in ten of the pairs that similar together, at 0.9 nearly all. Of an
-    anchor's pairs those of a minimum spanning forest are returned.
+    ``n`` is the count of all fingerprints, which decides the blocks. Of an anchor's pairs those of a
+    minimum spanning forest are returned; with ``fan``, of ``fps`` with a ``root``, each one's so many nearest of another
+    root, and whether an anchor has more.
     """
-    share = acos(2 * similarity / (1 + similarity)) / pi  # the bits that two such texts differ in, on average
+    share, exact = differing(similarity), exact_bits(n)
     most = ceil(WIDE * 64 * share + 3.2 * sqrt(WIDE * 64 * share * (1 - share)))
-    own = fps.select("fp").mapInArrow(_anchors(blocks), "anchor long, fp binary")
+    own = fps.select("fp").mapInArrow(_anchors(blocks_for(exact, similarity), exact), "anchor long, fp binary")
     own = _parted(own, own, part_homes or PART_HOMES)
     every, mine = F.sequence(F.lit(0), F.col("parts") - 1), F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     own = own.select("anchor", "fp", F.explode(every).alias("part"), mine.alias("mine")).withColumn("visits", F.col("part") != F.col("mine"))
+    own = own.join(fps.select("fp", F.xxhash64("root").alias("root")), "fp") if fan else own.withColumn("root", F.lit(0).cast("long"))
     dealt = own.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "visits")
-    met = dealt.select("anchor", "part", "visits", "fp").mapInArrow(_nearest(most), "u binary, v binary")
-    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    columns = ["anchor", "part", "visits", "fp", *(["root"] if fan else [])]
+    met = dealt.select(columns).mapInArrow(_nearest(most, fan), "u binary, v binary, more boolean")
+    return met.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("more").alias("more"))
 
 
-def similar_links(met: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs of ``met`` whose texts' shingles have a Jaccard similarity of ``similarity`` or more; ``texts`` has fp and text."""
+def checked_links(met: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs of ``met`` and ``similar``: whether their texts' shingles have that Jaccard similarity; ``texts`` has fp and text."""
     pairs = met.join(texts.select(F.col("fp").alias("u"), F.col("text").alias("s")), "u").join(texts.select(F.col("fp").alias("v"), F.col("text").alias("t")), "v")
-    return pairs.select("u", "v", "s", "t").mapInArrow(_verified(shingle, similarity), "u binary, v binary")
+    return pairs.select("u", "v", "s", "t").mapInArrow(_verified(shingle, similarity), "u binary, v binary, similar boolean")
+
+
+def similar_roots(each: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Rows (node, root): components of the distinct fingerprints ``each`` by verified links.
+
+    ``texts_of`` gives the texts (fp, text) of some fingerprints. A near pair that the forests leave out lies in
+    components that a failed check touches, for else their verified edges connect it. So only the fingerprints of such
+    components are dealt to anchors again, and only pairs of different components are verified there, until no anchor has more.
+    """
+    n, fan = each.count(), FAN
+
+    def verified(met: DataFrame) -> DataFrame:
+        ends = met.select(F.col("u").alias("fp")).unionByName(met.select(F.col("v").alias("fp"))).distinct()
+        return stored(checked_links(met, texts_of(ends), shingle, similarity), "checked-links")
+
+    checked = verified(stored(met_pairs(each, n, similarity), "met-fingerprints"))
+    failed, roots = checked.where("not similar"), components(checked.where("similar"))
+    while not failed.isEmpty():
+        rooted = stored(each.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "rooted")
+        ends = failed.select(F.col("u").alias("fp")).unionByName(failed.select(F.col("v").alias("fp"))).distinct()
+        again = rooted.join(rooted.join(ends, "fp").select("root").distinct(), "root", "left_semi")
+        met = stored(met_pairs(again, n, similarity, fan=fan), "met-again")
+        new = verified(met.join(checked, ["u", "v"], "left_anti"))
+        checked = checked.unionByName(new)
+        roots = components(checked.where("similar"))
+        if met.where("more").isEmpty():
+            break
+        failed, fan = checked.where("not similar"), fan * 8
+    return roots
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
@@ -374,10 +466,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, blocks: int = BLOCKS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one with the smallest id.
 
-    Texts link as ``similar_links`` says, or if they share a wide fingerprint; null texts and those without words are one
+    Texts link as ``checked_links`` says, or if they share a wide fingerprint; null texts and those without words are one
     group. Of rows that share the smallest id one stays, the first by its text's hash. Rows with a null id are
     told apart by their text and stay only if no row of their group has an id.
     """
@@ -387,11 +479,12 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
     each = stored(fps.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
     same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("hash") == F.col("k_hash"))
-    met = stored(met_pairs(each, similarity, blocks), "met-fingerprints")
-    ends = met.select(F.col("u").alias("fp")).unionByName(met.select(F.col("v").alias("fp"))).distinct()
-    first = each.join(ends, "fp").select("fp", F.col("least.doc_id").alias("k_id"), F.col("least.hash").alias("k_hash"))
-    texts = stored(own.select("doc_id", "hash", "text").join(first, same).select("fp", "text").dropDuplicates(["fp"]), "met-texts")
-    roots = components(similar_links(met, texts, shingle, similarity))
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        first = each.join(some, "fp").select("fp", F.col("least.doc_id").alias("k_id"), F.col("least.hash").alias("k_hash"))
+        return stored(own.select("doc_id", "hash", "text").join(first, same).select("fp", "text").dropDuplicates(["fp"]), "met-texts")
+
+    roots = similar_roots(each.select("fp"), texts_of, shingle, similarity)
     rooted = each.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("k_id"), F.col("least.hash").alias("k_hash"))
     left = own.join(kept, same, "left_semi")

@@ -2,6 +2,7 @@ import random
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from tessella.llm.common import WordIds, byte_pieces, components, word_pieces
 from tessella.llm.queries import tokenizer
 
 SCHEMA = "doc_id long, text string, fp string, component_id int"
+SCHEMA_ROWS = "doc_id long, text string, u string, root string, n int"
 TEXTS = ["", None, "one", "a b", "a b c d e f g h i j", "A B c d e f g h i j", "tab\tand\nline  double", "x" * 5000, "é ñ ü ß É", "a b c d e f g h i k"]
 
 
@@ -124,13 +126,75 @@ def test_similar_documents_against_brute_force_jaccard(spark, monkeypatch):
         assert len(kept - want) <= 0.1 * (len(texts) - len(want))
 
 
+def bound_pairs(n, seed, confounders=0):
+    """Texts of 200 words: ``n`` pairs of a similarity from 0.80 to 0.83, each with so many others of 0.70 to 0.80 to both."""
+    rng, texts, pairs = random.Random(seed), {}, []
+    words = ["".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(20_000)]
+    own = lambda t: set(simhash.shingles(" ".join(t), 5))
+    alike = lambda a, b: len(a & b) / len(a | b)
+
+    def changed(base, lo, hi, of):
+        while True:
+            made = list(base)
+            for _ in range(rng.randrange(2, 9)):
+                made[rng.randrange(200)] = rng.choice(words)
+            if all(lo <= alike(own(made), x) < hi for x in of):
+                return made
+
+    for _ in range(n):
+        a = rng.choices(words, k=200)
+        b = changed(a, 0.80, 0.83, [own(a)])
+        pairs.append((len(texts), len(texts) + 1))
+        for t in (a, b, *(changed(a, 0.70, 0.80, [own(a), own(b)]) for _ in range(confounders))):
+            texts[len(texts)] = " ".join(t)
+    return texts, pairs
+
+
+@pytest.mark.parametrize("n, seed, confounders", [(400, 1, 0), (40, 2, 6)])
+def test_recall_at_the_bound(spark, n, seed, confounders):
+    texts, pairs = bound_pairs(n, seed, confounders)
+    df = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in texts.items()], SCHEMA_ROWS).repartition(8)
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()}
+    missed = sum(a in kept and b in kept for a, b in pairs)
+    print("recall", 1 - missed / n)
+    assert missed <= 0.05 * n
+    assert len(texts) - len(kept) >= 0.95 * n
+    if not confounders:
+        assert all(a in kept or b in kept for a, b in pairs)
+
+
+def test_blocks_follow_the_count():
+    assert [simhash.exact_bits(n) for n in (0, 1000, 256 << 12, 256 << 20)] == [4, 4, 4, 8]
+    assert simhash.blocks_for(8) > simhash.blocks_for(4) > simhash.blocks_for(4, 0.9)
+
+
+def test_all_pairs_of_an_anchor_are_verified_in_the_end(spark, monkeypatch):
+    """One anchor for all: the forest by bits is refuted, and what it left out is found, whatever the fan."""
+    rng = random.Random(9)
+    texts, _ = bound_pairs(4, 5, 6)
+    order = list(texts.items())
+    rng.shuffle(order)
+    df = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in order], SCHEMA_ROWS)
+
+    def one_anchor(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"anchor": pa.array([7] * b.num_rows, pa.int64()), "fp": b.column("fp")})
+
+    monkeypatch.setattr(simhash, "blocks_for", lambda *a, **k: 1)
+    monkeypatch.setattr(simhash, "_anchors", lambda blocks, exact: one_anchor)
+    want = {i for i, r in jaccard_components(texts, 0.8).items() if i == r}
+    for fan in (1, 32):
+        monkeypatch.setattr(simhash, "FAN", fan)
+        assert {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()} == want
+
+
 def test_hot_anchors_give_the_same_links(spark):
     texts = similar_texts(3, seed=7)
     rows = [(bytearray(simhash.wide_fingerprint(t, 5).tobytes()),) for t in dict.fromkeys(texts)]
     fps = spark.createDataFrame(rows, "fp binary").distinct()
     groups = []
     for homes in (1024, 2):
-        roots = components(simhash.met_pairs(fps, part_homes=homes)).collect()
+        roots = components(simhash.met_pairs(fps, len(rows), part_homes=homes)).collect()
         by = {}
         for r in roots:
             by.setdefault(bytes(r["root"]), set()).add(bytes(r["node"]))
