@@ -65,25 +65,50 @@ def greedy_two_keys(df: DataFrame, first: str, second: str, order: str) -> DataF
             return kept
 
 
-def containing(docs: DataFrame, passages: DataFrame, text: str = "text", passage: str = "text", keys: tuple[str, str] = ("doc_id", "item_id"), gram: int = 4) -> DataFrame:
+#: Passages whose anchors are broadcast, and the bytes of their texts at most; beyond, the anchors' join shuffles.
+BROADCAST_PASSAGES, BROADCAST_BYTES = 50_000, 32 << 20
+#: Words of an anchor at most, and characters of one where a passage has no whole word inside.
+GRAM, CHARS = 4, (8, 4, 2, 1)
+
+
+def _units(text: Column, by_words: bool) -> Column:
+    return F.split(F.btrim(F.regexp_replace(text, r"\s+", " ")), " ") if by_words else F.split(text, "")
+
+
+def _gram(units: Column, at: Column, size: int) -> Column:
+    return F.xxhash64(*[F.get(units, at + i) for i in range(size)])
+
+
+def containing(docs: DataFrame, passages: DataFrame, text: str = "text", passage: str = "text", keys: tuple[str, str] = ("doc_id", "item_id")) -> DataFrame:
     """Pairs of ``keys``: documents whose text contains a passage as a substring.
 
-    Words inside a passage are whole words of any text that contains it, so the words after a
-    passage's first are joined by hash with the texts' word runs, and only pairs that meet there
-    are compared. Passages too short for that are compared with all texts; they are counted
-    first, and more than a thousand are refused.
+    Words inside a passage are whole words of any text that contains it, so up to ``GRAM`` words after a
+    passage's first are its anchor, and a text is compared with the passages whose anchor one of its word
+    runs equals. Passages of one or two words are anchored by their first characters in the same way. A text's runs are
+    hashed and looked up where it is read: with anchors few enough to broadcast nothing of the texts is shuffled.
+    Null texts contain nothing; null and empty passages are in no text.
     """
     d, p = keys
-    words = lambda c: F.split(F.btrim(F.regexp_replace(c, r"\s+", " ")), " ")
-    items = passages.select(F.col(p), F.col(passage).alias("_passage"), words(F.col(passage)).alias("_w"))
-    long, short = items.where(F.size("_w") >= gram + 2), items.where(F.size("_w") < gram + 2)
-    if short.limit(1001).count() > 1000:
-        raise ValueError("too many passages of a few words")
-    anchors = long.select(p, "_passage", F.xxhash64(F.array_join(F.slice("_w", 2, gram), " ")).alias("_gram"))
-    texts = docs.select(d, F.col(text).alias("_text"), words(F.col(text)).alias("_w"))
-    runs = F.transform(F.sequence(F.lit(1), F.size("_w") - gram + 1), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, gram), " ")))
-    starts = texts.where(F.size("_w") >= gram).select(d, F.explode(F.array_distinct(runs)).alias("_gram"))
-    met = starts.join(anchors.select(p, "_gram"), "_gram").select(d, p).distinct()
-    pairs = met.join(docs.select(d, F.col(text).alias("_text")), d).join(long.select(p, "_passage"), p).where("contains(_text, _passage)").select(d, p)
-    few = docs.select(d, F.col(text).alias("_text")).join(F.broadcast(short), F.expr("contains(_text, _passage)")).select(d, p)
-    return pairs.unionByName(few)
+    items = passages.select(F.col(p), F.col(passage).alias("_passage")).where("_passage <> ''")
+    n_words, n_chars = F.size(_units(F.col("_passage"), True)), F.size(_units(F.col("_passage"), False))
+    size = F.when(n_words >= 3, F.least(n_words - 2, F.lit(GRAM)))
+    for chars in CHARS:
+        size = size.when(n_chars >= chars, F.lit(-chars))  # negative: by characters
+    items = items.withColumn("_size", size)
+    classes = items.groupBy("_size").agg(F.count("*").alias("n"), F.sum(F.octet_length("_passage")).alias("bytes")).collect()  # a row per size
+    few = sum(c["n"] for c in classes) <= BROADCAST_PASSAGES and sum(c["bytes"] for c in classes) <= BROADCAST_BYTES
+    found = docs.select(d).join(items.select(p), F.lit(False)).limit(0)
+    for c in classes:
+        by_words, size = c["_size"] > 0, abs(c["_size"])
+        own = items.where(F.col("_size") == c["_size"]).withColumn("_units", _units(F.col("_passage"), by_words))
+        anchors = own.select(p, "_passage", _gram(F.col("_units"), F.lit(1 if by_words else 0), size).alias("_gram"))
+        texts = docs.select(d, F.col(text).alias("_text"), _units(F.col(text), by_words).alias("_units"))
+        starts = F.when(F.size("_units") >= size, F.sequence(F.lit(0), F.size("_units") - size))
+        runs = texts.select(d, "_text", "_units", F.explode(starts).alias("_at")).select(d, "_text", _gram(F.col("_units"), F.col("_at"), size).alias("_gram"))
+        if few:
+            pairs = runs.join(F.broadcast(anchors), "_gram").where("contains(_text, _passage)").select(d, p)
+        else:
+            met = runs.select(d, "_gram").distinct().join(anchors.select(p, "_gram"), "_gram").select(d, p).distinct()
+            pairs = met.join(docs.select(d, F.col(text).alias("_text")), d).join(own.select(p, "_passage"), p).where("contains(_text, _passage)").select(d, p)
+        found = found.unionByName(pairs)
+    return found.distinct()

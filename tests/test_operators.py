@@ -42,6 +42,22 @@ def test_greedy_two_keys(spark):
     assert sorted(r["i"] for r in got.collect()) == want
 
 
+def test_containing_short_passages_of_any_number(spark, monkeypatch):
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abé𝄞", k=rng.randrange(1, 9))) for _ in range(400)]
+    docs = [(i, rng.choice(["", " ", "\n\t"]).join([" ".join(rng.choices(words, k=rng.randrange(0, 60))), rng.choice(words)])) for i in range(60)] + [(90, None), (91, ""), (None, "a b é")]
+    cut = lambda t: (lambda a: t[a : a + rng.randrange(1, 40)])(rng.randrange(len(t)))
+    items = [(i, cut(docs[i % 60][1]) if i % 3 else " ".join(rng.choices(words, k=1 + i % 5))) for i in range(5000)] + [(6000, ""), (6001, None), (6002, " "), (6003, "\n")]
+    want = sorted({(str(d), str(i)) for d, t in docs if t is not None for i, x in items if x and x in t})
+    d, p = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for most in (10, 50_000):
+        monkeypatch.setattr(dedup, "BROADCAST_PASSAGES", most)
+        got = dedup.containing(d, p)
+        assert ("BroadcastHashJoin" in got._jdf.queryExecution().toString()) or most == 10
+        assert sorted((str(r[0]), str(r[1])) for r in got.where("doc_id is not null").collect()) == [w for w in want if w[0] != "None"]
+    assert dedup.containing(d.limit(0), p).count() == dedup.containing(d, p.limit(0)).count() == 0
+
+
 def test_containing_equals_substring_search(spark):
     rng = random.Random(2)
     say = lambda n: " ".join(rng.choices("ab cd ef gh".split(), k=n))
