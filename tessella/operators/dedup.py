@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.tables import stored
+
 
 def keep_first(df: DataFrame, key: Column | str, *order: str) -> DataFrame:
     """The first row of every key in the order given; of rows alike in the order any.
@@ -58,9 +60,9 @@ def greedy_two_keys(df: DataFrame, first: str, second: str, order: str) -> DataF
         for k, key in enumerate((first, second)):
             least = both.groupBy(key).agg(F.min(order).alias(f"_least{k}"))
             both = both.join(least, key)
-        now = both.where(f"{order} = _least0 and {order} = _least1").select(*df.columns).checkpoint()
+        now = stored(both.where(f"{order} = _least0 and {order} = _least1").select(*df.columns), "kept")
         kept = now if kept is None else kept.unionByName(now)
-        open_rows = open_rows.join(now.select(first), first, "left_anti").join(now.select(second), second, "left_anti").checkpoint()
+        open_rows = stored(open_rows.join(now.select(first), first, "left_anti").join(now.select(second), second, "left_anti"), "open-rows")
         if open_rows.isEmpty():
             return kept
 

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.tables import stored
+
 
 def bfs(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """Rows (node, depth): nodes within ``depth`` steps of ``seeds`` (node), by least depth.
 
     Each step joins the newest nodes with the edges and leaves out what was seen.
     """
-    seen = front = seeds.select("node").distinct().withColumn("depth", F.lit(0)).checkpoint()
+    seen = front = stored(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "front")
     for step in range(1, depth + 1):
         nxt = edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        front = nxt.join(seen, "node", "left_anti").withColumn("depth", F.lit(step)).checkpoint()
+        front = stored(nxt.join(seen, "node", "left_anti").withColumn("depth", F.lit(step)), "front")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -27,13 +29,13 @@ def bfs_shared(links: DataFrame, seeds: DataFrame, depth: int, node: str, via: s
     ``links`` has columns ``node`` and ``via``. The search goes from the newest nodes to values of ``via`` not yet
     seen and from these to nodes, so that a value costs one row for each of its nodes and no pairs arise.
     """
-    links = links.select(F.col(node).alias("node"), F.col(via).alias("via")).distinct().checkpoint()
-    seen = front = seeds.select("node").distinct().withColumn("depth", F.lit(0)).checkpoint()
+    links = stored(links.select(F.col(node).alias("node"), F.col(via).alias("via")).distinct(), "links")
+    seen = front = stored(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "front")
     passed = None
     for step in range(1, depth + 1):
         new = links.join(front.select("node"), "node").select("via").distinct()
-        new = (new.join(passed, "via", "left_anti") if passed is not None else new).checkpoint()
-        front = links.join(new, "via").select("node").distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(step)).checkpoint()
+        new = stored(new.join(passed, "via", "left_anti") if passed is not None else new, "passed")
+        front = stored(links.join(new, "via").select("node").distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(step)), "front")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import rules, url
 from tessella.operators import flow, retrieval
 from tessella.registry import query
-from tessella.tables import load, with_checkpoints
+from tessella.tables import load, stored
 
 
 def sql_any(column: str, patterns) -> str:
@@ -189,7 +189,6 @@ WITH RECURSIVE l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<
 w(node, depth) AS (SELECT min(page_id), 0 FROM pages UNION SELECT b.page_id, depth + 1 FROM w JOIN l a ON node = a.page_id JOIN l b USING (href) WHERE depth < 4)
 SELECT node, min(depth) AS depth FROM w GROUP BY node""")
 def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    with_checkpoints(spark)
     pages = load(spark, sf_dir, "pages")
     links = pages.select("page_id", F.explode(F.array_distinct(url.hrefs(F.col("html")))).alias("href"))
     return flow.bfs_shared(links, pages.agg(F.min("page_id").alias("node")), 4, "page_id", "href")
@@ -235,9 +234,8 @@ def retrieval_ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item ask for it: how well TF-IDF finds it."""
     from tessella.plans.curation import hits
 
-    with_checkpoints(spark)
-    gold = hits(spark, sf_dir).checkpoint()
-    asked = load(spark, sf_dir, "documents").join(gold.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text").checkpoint()
+    gold = stored(hits(spark, sf_dir), "gold")
+    asked = stored(load(spark, sf_dir, "documents").join(gold.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text"), "asked")
     ranked = retrieval.blended(asked, load(spark, sf_dir, "benchmark"), "doc_id", "item_id", k=3)
     return retrieval.ranking_measures(ranked, gold, "doc_id", "item_id", 3)
 
