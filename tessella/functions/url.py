@@ -101,3 +101,54 @@ def in_scope(url: Column, hosts: tuple[str, ...], domains: tuple[str, ...], excl
     if not external:
         found = found.when(~is_loopback(h), of(False, "external host"))
     return found.when(bad, of(False, "excluded path")).when(~inside, of(False, "outside allowed prefixes")).otherwise(of(True, "in_scope"))
+
+
+# fixed values: a reference's scheme, authority, path, query and fragment, and what an anchor's and a base's address look like
+REFERENCE = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
+ANCHOR = r"""(?is)<a(?:\s[^>]*?)?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+BASE = r"""(?is)<base(?:\s[^>]*?)?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+def without_dots(path: Column) -> Column:
+    """A path without its dot segments; empty segments stay, and a dot segment at the end leaves a slash."""
+    parts = F.split(path, "/")
+    last = F.size(parts) - 1
+    steps = F.transform(parts, lambda x, i: F.struct(x.alias("x"), (i == last).alias("last")))
+
+    def step(seen: Column, s: Column) -> Column:
+        # the first segment, empty for a path from the root, is never taken away
+        fewer = F.when((s["x"] == "..") & (F.size(seen) > 1), F.slice(seen, F.lit(1), F.size(seen) - 1)).otherwise(seen)
+        ended = F.when(s["last"], F.array_append(fewer, F.lit(""))).otherwise(fewer)
+        return F.when(s["x"].isin(".", ".."), ended).otherwise(F.array_append(seen, s["x"]))
+
+    return F.array_join(F.aggregate(steps, F.array().cast("array<string>"), step), "/")
+
+
+def joined(base: Column, reference: Column) -> Column:
+    """A reference resolved against an absolute base URL with a host; null if either is null."""
+    b, r = ([F.regexp_extract(u, REFERENCE, k) for k in range(1, 6)] for u in (base, reference))
+    folder = F.when((b[1] != "") & (b[2] == ""), F.lit("/")).otherwise(F.regexp_extract(b[2], r"(?s)^(.*/)?", 0))
+    with_host = F.concat(b[0], F.lit(":"), b[1])
+    tail = F.concat(r[3], r[4])
+    return (
+        F.when(r[0] != "", F.concat(r[0], F.lit(":"), r[1], without_dots(r[2]), tail))
+        .when(r[1] != "", F.concat(b[0], F.lit(":"), r[1], without_dots(r[2]), tail))
+        .when(r[2] == "", F.concat(with_host, b[2], F.when(r[3] != "", r[3]).otherwise(b[3]), r[4]))
+        .when(r[2].startswith("/"), F.concat(with_host, without_dots(r[2]), tail))
+        .otherwise(F.concat(with_host, without_dots(F.concat(folder, r[2])), tail))
+    )
+
+
+def unquoted(value: Column) -> Column:
+    return F.regexp_replace(value, "^[\"']|[\"']$", "")
+
+
+def anchors(html: Column) -> Column:
+    """The addresses of all anchors, quoted in either way or not at all, whatever other attributes they have."""
+    return F.transform(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1)), lambda x: F.btrim(unquoted(x)))
+
+
+def base_of(url: Column, html: Column) -> Column:
+    """What a page's references are resolved against: its first base element, itself resolved, or else its URL."""
+    own = F.btrim(unquoted(F.regexp_extract(html, BASE, 1)))
+    return F.when(own != "", joined(url, own)).otherwise(url)
