@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.tables import stored
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """Rows (node, depth): nodes within ``depth`` steps of ``seeds`` (node), by least depth.
+def bfs(edges: DataFrame, seeds: DataFrame, depth: int | None) -> DataFrame:
+    """Rows (node, depth): nodes within ``depth`` steps of ``seeds`` (node), by least depth; None goes on to the end.
 
     Each step joins the newest nodes with the edges and leaves out what was seen.
     """
     seen = front = stored(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "front")
-    for step in range(1, depth + 1):
+    for step in count(1) if depth is None else range(1, depth + 1):
         nxt = edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
         front = stored(nxt.join(seen, "node", "left_anti").withColumn("depth", F.lit(step)), "front")
         if front.isEmpty():
@@ -74,3 +76,27 @@ def relation(source: Column, sink: Column, excerpt: Column) -> Column:
     literal = found("(?i)", out, r"""\s*=\s*(?:['"][^'"]*['"]|\d+(?:\.\d+)?|true|false|null|undefined)""", end)
     missing = (bare(source) == "") | (bare(sink) == "") | (text == "") | excerpt.isNull()
     return F.when(missing | opaque, "UNKNOWN").when(direct, "CONNECTED").when(literal, "DISCONNECTED").otherwise("UNKNOWN")
+
+
+# fixed value: an assignment to a name
+ASSIGNMENT = r"([A-Za-z_$][\w$]*)\s*=\s*([^;=\n][^;\n]*)"
+NAME = r"[A-Za-z_$][\w$]*"
+
+
+def assignments(scripts: DataFrame, key: str, code: str) -> DataFrame:
+    """Rows (key, dst, src): the names that each assigned value reads, over every statement of every script; strings are no names."""
+    bare = F.regexp_replace(F.col(code), r"'[^'\n]*'|\"[^\"\n]*\"", "0")
+    said = scripts.select(key, F.explode(F.regexp_extract_all(bare, F.lit(ASSIGNMENT), F.lit(0))).alias("_said"))
+    read = F.array_distinct(F.regexp_extract_all(F.regexp_extract("_said", ASSIGNMENT, 2), F.lit(NAME), F.lit(0)))
+    return said.select(key, F.regexp_extract("_said", ASSIGNMENT, 1).alias("dst"), F.explode(read).alias("src")).distinct()
+
+
+def reached(edges: DataFrame, key: str, sources: DataFrame, sinks: DataFrame) -> DataFrame:
+    """Rows (key, sink, depth): sinks of each script that a value of one of its sources reaches, by the fewest assignments.
+
+    ``sources`` and ``sinks`` have key and name. Every step joins the names reached last with the edges of their scripts and
+    leaves out what was reached before, so cycles end; steps go on until a step reaches nothing new.
+    """
+    pair = lambda name: F.struct(F.col(key).alias("k"), F.col(name).alias("name"))
+    found = bfs(edges.select(pair("src").alias("src"), pair("dst").alias("dst")), sources.select(pair("name").alias("node")), None)
+    return found.join(sinks.select(pair("name").alias("node")).distinct(), "node").select(F.col("node.k").alias(key), F.col("node.name").alias("sink"), "depth")
