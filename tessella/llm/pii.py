@@ -37,6 +37,10 @@ NAMES = {
     ("cyrillic", "m"): "Андрей Борис Виктор Георгий Дмитрий Иван Кирилл Максим Николай Олег",
     ("cyrillic", "f"): "Анна Вера Галина Дарья Елена Ирина Мария Нина Ольга Татьяна",
     ("cyrillic", "n"): "Саша Женя Валя Слава",
+    ("greek", "m"): "Αλέξης Βασίλης Γιάννης Δημήτρης Κώστας Μιχάλης Νίκος Πέτρος Σπύρος Στέλιος",
+    ("greek", "f"): "Άννα Βάσω Ελένη Ζωή Ιωάννα Κατερίνα Μαρία Νίκη Σοφία Χρύσα",
+    ("greek", "n"): "Αλεξ Ντόρα Κρις Φωφώ",
+    ("greek", "family"): "Αντωνίου Βλάχος Γεωργίου Ιωάννου Κωνσταντίνου Μακρής Νικολάου Οικονόμου Πέτρου Σταύρου",
     ("cyrillic", "family"): "Белов Волков Громов Жуков Зорин Котов Лебедев Морозов Орлов Соколов",
 }
 NAMES = {k: v.split() for k, v in NAMES.items()}
@@ -45,6 +49,18 @@ _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 _GIVEN = {n: g for (_, g), ns in NAMES.items() if g in "mf" for n in ns}
 _CAP = r"[^\W\d_a-zß-öø-ÿа-я][^\W\d_]+"
 
+#: The calling codes of one and two digits (all others have three), and the letters of scripts without cases by their ranges.
+CALLING_CODES = set("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+LETTERS = {
+    "armenian": (0x0561, 0x0586), "hebrew": (0x05D0, 0x05EA), "arabic": (0x0621, 0x063A), "devanagari": (0x0905, 0x0939), "bengali": (0x0995, 0x09A8), "tamil": (0x0BAE, 0x0BB9), "thai": (0x0E01, 0x0E2E),
+    "georgian": (0x10D0, 0x10F0), "hiragana": (0x3042, 0x3093), "katakana": (0x30A2, 0x30F3), "han": (0x4E00, 0x9FA5), "hangul": (0xAC00, 0xD7A3),
+}
+#: Where a script's characters lie as a whole.
+SCRIPTS = {
+    "greek": (0x0370, 0x03FF), "cyrillic": (0x0400, 0x052F), "armenian": (0x0530, 0x058F), "hebrew": (0x0590, 0x05FF), "arabic": (0x0600, 0x06FF), "devanagari": (0x0900, 0x097F), "bengali": (0x0980, 0x09FF),
+    "tamil": (0x0B80, 0x0BFF), "thai": (0x0E00, 0x0E7F), "georgian": (0x10A0, 0x10FF), "hiragana": (0x3040, 0x309F), "katakana": (0x30A0, 0x30FF), "han": (0x3400, 0x9FFF), "hangul": (0xAC00, 0xD7AF),
+}
+
 #: What each type looks like, in the order of precedence.
 PATTERNS = {
     "email": r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+",
@@ -218,12 +234,35 @@ class Draw:
             return str(self.below(10))
         if not c.isalpha():
             return c
-        low = c.lower()
-        alphabet = next((a for a in (_SHAPE["cyrillic"], _SHAPE["greek"]) if low in a), _SHAPE["lower"])
+        script = script_of(c)
+        if script in LETTERS:
+            low, high = LETTERS[script]
+            return chr(low + self.below(high - low + 1))
+        alphabet = _SHAPE.get(script, _SHAPE["lower"])
         made = alphabet[self.below(len(alphabet))]
         return made.upper() if c.isupper() else made
 
 
+def script_of(text: str) -> str:
+    """The script of the first letter that is none of Latin; else latin."""
+    for c in text:
+        for name, (low, high) in SCRIPTS.items():
+            if low <= ord(c) <= high:
+                return name
+    return "latin"
+
+
+def calling_code(number: str) -> str:
+    """The sign and country code that ``number`` (digits after a plus) begins with."""
+    return next((number[: n + 1] for n in (1, 2) if number[1 : n + 1] in CALLING_CODES), number[:4])
+
+
+def iban_check(country: str, account: str) -> str:
+    """The two digits that make the whole leave one when divided by 97."""
+    rest = int("".join(str(int(c, 36)) for c in account + country + "00")) % 97
+    return f"{98 - rest:02d}"
+
+
 def _luhn(digits: str) -> int:
     return sum(sum(divmod(int(d) * 2, 10)) if i % 2 else int(d) for i, d in enumerate(reversed(digits))) % 10
 
@@ -251,19 +290,22 @@ def surrogate(key: bytes, kind: str, form: str, attempt: int = 0) -> str:
         made += [str(draw.below(256)) for _ in range(max(0, more - 28))]
         return ".".join(made)
     if kind == "phone" and form.startswith("+"):
-        return form[:2] + "".join(map(draw.char, form[2:] + "0" * more))
+        code = calling_code(form)
+        return code + "".join(map(draw.char, form[len(code) :] + "0" * more))
     if kind == "iban":
-        return form[:2] + "".join(map(draw.char, form[2:] + "0" * more))
+        account = "".join(map(draw.char, form[4:] + "0" * more))
+        return form[:2] + iban_check(form[:2], account) + account
     if kind == "secret" and set(form) <= set(_SHAPE["hex"]):
         return "".join(_SHAPE["hex"][draw.below(16)] for _ in range(len(form) + more))
     if kind.startswith("name-"):
-        script = "cyrillic" if any(c in _SHAPE["cyrillic"] for c in form) else "latin"
-        words = form.split()
+        script, words = script_of(form), form.split()
+        if script in LETTERS:
+            return " ".join("".join(map(draw.char, w)) for w in words) + "".join(draw.char(next(c for c in form if script_of(c) == script)) for _ in range(attempt))
         given, family = NAMES[script, kind[-1]], NAMES[script, "family"]
         picked = [given[draw.below(len(given))]] if len(words) > 1 else []
         picked += [family[draw.below(len(family))] for _ in words[len(picked) :]]
         # names are few, entities are not: later attempts grow a family name letter by letter
-        picked[-1] += "".join(draw.char("a" if script == "latin" else "а") for _ in range(attempt))
+        picked[-1] += "".join(draw.char({"cyrillic": "а", "greek": "α"}.get(script, "a")) for _ in range(attempt))
         return " ".join(picked).casefold()
     return "".join(map(draw.char, form + ("0" if kind in ("phone", "ssn") else "a") * more))
 
@@ -349,7 +391,9 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def replace(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """Rows (row, text, n_entities): every row as it came, its text with surrogates for entities.
 
-    A null text stays null, with no entities. Rows that repeat are rewritten each for itself.
+    A null text stays null, with no entities. Rows that repeat are rewritten each for itself; texts are searched
+    whole, however long, and columns of any name stay inside ``row``. Two passes search the texts, one for rows with entities and one for
+    those without: the second costs less than to write all texts out once.
     """
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).cast("string").alias("_text"))
     kind = f"row {own.schema['row'].dataType.simpleString()}, _text string"
