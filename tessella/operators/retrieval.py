@@ -17,8 +17,11 @@ def char_terms(text: Column, low: int = 3, high: int = 5) -> Column:
     """Character n-grams inside words that are padded by a space; a shorter word counts whole, once."""
     padded = F.transform(F.filter(F.split(F.lower(F.regexp_replace(text, r"\s+", " ")), " "), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
+    def sized(w: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(n)))
+
     def grams(w: Column) -> Column:
-        parts = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i, n=n: F.substring(w, i, F.lit(n))) for n in range(low, high + 1)]
+        parts = [sized(w, n) for n in range(low, high + 1)]
         # beyond a word's length there is the word itself, once: of several sizes only the first gives it
         kept = [parts[0]] + [F.when(F.length(w) >= n, p).otherwise(F.slice(p, 1, 0)) for n, p in zip(range(low + 1, high + 1), parts[1:], strict=True)]
         return F.concat(*kept)
@@ -72,3 +75,15 @@ def ranking_measures(ranked: DataFrame, gold: DataFrame, q: str, d: str, k: int)
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n_gold").cast("int"), F.lit(k))), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
     per = hits.groupBy(q, "n_gold").agg(F.count("rank").alias("found"), F.coalesce(1 / F.min("rank"), F.lit(0.0)).alias("rr"), gain.alias("dcg"))
     return per.select(q, (F.col("found") / F.col("n_gold")).alias("recall"), (F.col("found") / k).alias("precision"), "rr", (F.col("dcg") / ideal).alias("ndcg"))
+
+
+def split_measures(per: DataFrame, by: str) -> DataFrame:
+    """The measures of ``per`` (a row per scored query) averaged over each value of ``by``, with how many were scored."""
+    return per.groupBy(by).agg(F.count("*").alias("scored_cases"), *(F.avg(c).alias(c) for c in ("recall", "precision", "rr", "ndcg")))
+
+
+def contexts(ranked: DataFrame, corpus: DataFrame, q: str, d: str, text: str = "text") -> DataFrame:
+    """A row per query: its hits as a list of points in the order of their rank; hits without a score are left out."""
+    line = F.concat(F.lit("- ["), F.col(d).cast("string"), F.lit("] "), F.col(text))
+    own = ranked.where("score > 0").join(corpus.select(d, text), d).groupBy(q).agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("_all"))  # k rows a query
+    return own.select(q, F.array_join(F.transform("_all", lambda x: x["line"]), "\n").alias("context"))

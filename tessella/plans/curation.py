@@ -85,7 +85,12 @@ def dedup_audit_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.dedup_counters(docs, "h", "lang", "doc_id", forbidden)
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT doc_id, source || '-' || n_chars AS slot, sha256(text) AS h, row_number() OVER (ORDER BY doc_id) AS k FROM documents),
+f(k, doc_id, slot, h, keep, slots, hs) AS (SELECT k, doc_id, slot, h, true, [slot], [h] FROM e WHERE k = 1
+ UNION ALL SELECT e.k, e.doc_id, e.slot, e.h, NOT (list_contains(slots, e.slot) OR list_contains(hs, e.h)), CASE WHEN list_contains(slots, e.slot) OR list_contains(hs, e.h) THEN slots ELSE list_append(slots, e.slot) END,
+  CASE WHEN list_contains(slots, e.slot) OR list_contains(hs, e.h) THEN hs ELSE list_append(hs, e.h) END FROM f JOIN e ON e.k = f.k + 1)
+SELECT doc_id, slot, h FROM f WHERE keep""")
 def dedup_greedy_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", F.concat_ws("-", "source", "n_chars").alias("slot"), identity.exact(F.col("text")).alias("h"))
     return dedup.greedy_two_keys(docs, "slot", "h", "doc_id")

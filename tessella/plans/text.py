@@ -223,15 +223,56 @@ def input_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("param").agg(F.min_by("found", "priority").alias("found"), F.countDistinct("page_id").alias("n_pages"))
 
 
-@query()
-def retrieval_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sql_terms(words: bool) -> str:
+    """Terms of ``text``, as ``retrieval.word_terms`` and ``retrieval.char_terms`` give them."""
+    if words:
+        own = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
+        return f"list_concat({own}, list_transform(range(1, len({own})), lambda i: ({own})[i] || ' ' || ({own})[i + 1]))"
+    grams = " ".join(f"{', CASE WHEN length(p) >= ' + str(n) + ' THEN ' if n > 3 else ''}list_transform(range(1, greatest(length(p) - {n - 2}, 2)), lambda i: substr(p, i, {n})){' ELSE [] END' if n > 3 else ''}" for n in (3, 4, 5))
+    padded = r"list_transform(list_filter(string_split(lower(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> ''), lambda w: ' ' || w || ' ')"
+    return f"flatten(list_transform({padded}, lambda p: flatten([{grams}])))"
+
+
+def sql_ranked(asked: str) -> str:
+    """Common tables up to ``ranked`` (qid, item_id, score, rank) for ``asked`` (qid, text) against the benchmark."""
+    parts = [f"asked AS ({asked})"]
+    for k, words, share in ((1, True, 0.6), (2, False, 0.4)):
+        for side, key, table in (("c", "item_id", "benchmark"), ("q", "qid", "asked")):
+            parts.append(f"{side}t{k} AS (SELECT {key}, unnest({sql_terms(words)}) AS term FROM {table})")
+            parts.append(f"{side}p{k} AS (SELECT {key}, term, 1 + ln(count(*)) AS tf FROM {side}t{k} GROUP BY ALL)")
+        parts.append(f"idf{k} AS (SELECT term, ln((1.0 + (SELECT count(*) FROM benchmark)) / (1 + count(*))) + 1 AS idf FROM cp{k} GROUP BY term)")
+        for side, key in (("c", "item_id"), ("q", "qid")):
+            parts.append(f"{side}w{k} AS (SELECT {key}, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY {key})) AS w FROM {side}p{k} JOIN idf{k} USING (term))")
+        parts.append(f"s{k} AS (SELECT qid, item_id, {share} * sum(a.w * b.w) AS s FROM qw{k} a JOIN cw{k} b USING (term) GROUP BY ALL)")
+    parts.append("total AS (SELECT qid, item_id, round(sum(s), 9) AS score FROM (FROM s1 UNION ALL FROM s2) GROUP BY ALL)")
+    parts.append("ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, item_id) AS rank FROM total QUALIFY rank <= 3)")
+    return ", ".join(parts)
+
+
+ASKED = "SELECT conv_id || '-' || turn AS qid, text FROM conversations WHERE role = 'user'"
+GOLD = "gold AS (SELECT d.doc_id AS qid, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text))"
+PER_QUERY = """n AS (SELECT qid, count(*) AS n_gold FROM gold GROUP BY qid), hit AS (SELECT qid, rank FROM ranked JOIN gold USING (qid, item_id)),
+per AS (SELECT n.qid AS doc_id, count(rank) / n_gold AS recall, count(rank) / 3 AS precision, coalesce(1 / min(rank), 0) AS rr, coalesce(sum(1 / log2(rank + 1)), 0) / list_sum(list_transform(range(1, least(n_gold, 3) + 1), lambda i: 1 / log2(i + 1))) AS ndcg FROM n LEFT JOIN hit ON hit.qid = n.qid GROUP BY n.qid, n_gold)"""
+OF_HOLDERS = "SELECT doc_id AS qid, text FROM documents WHERE doc_id IN (SELECT qid FROM gold)"
+
+
+def asked_in_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = load(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), "text")
     return retrieval.blended(asked, load(spark, sf_dir, "benchmark"), "query_id", "item_id")
 
 
-@query()
-def retrieval_ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item ask for it: how well TF-IDF finds it."""
+@query(f"WITH {sql_ranked(ASKED)} SELECT qid AS query_id, item_id, score, rank FROM ranked")
+def retrieval_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asked_in_chats(spark, sf_dir)
+
+
+@query(f"WITH {sql_ranked(ASKED)} SELECT qid AS query_id, string_agg('- [' || item_id || '] ' || text, chr(10) ORDER BY rank) AS context FROM ranked JOIN benchmark USING (item_id) WHERE score > 0 GROUP BY qid")
+def retrieval_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each question of a user would be given to read."""
+    return retrieval.contexts(stored(asked_in_chats(spark, sf_dir), "ranked"), load(spark, sf_dir, "benchmark"), "query_id", "item_id")
+
+
+def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.plans.curation import hits
 
     gold = stored(hits(spark, sf_dir), "gold")
@@ -240,6 +281,23 @@ def retrieval_ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.ranking_measures(ranked, gold, "doc_id", "item_id", 3)
 
 
+def to_six(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if c in ("recall", "precision", "rr", "ndcg") else F.col(c) for c in df.columns])
+
+
+@query(f"WITH {GOLD}, {sql_ranked(OF_HOLDERS)}, {PER_QUERY} SELECT doc_id, round(recall, 6) AS recall, round(precision, 6) AS precision, round(rr, 6) AS rr, round(ndcg, 6) AS ndcg FROM per")
+def retrieval_ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item ask for it: how well TF-IDF finds it."""
+    return to_six(measured(spark, sf_dir))
+
+
+@query(f"WITH {GOLD}, {sql_ranked(OF_HOLDERS)}, {PER_QUERY} SELECT lang, count(*) AS scored_cases, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(rr), 6) AS rr, round(avg(ndcg), 6) AS ndcg FROM per JOIN documents USING (doc_id) GROUP BY lang")
+def retrieval_split_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, averaged over the documents of each language."""
+    per = measured(spark, sf_dir).join(load(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return to_six(retrieval.split_measures(per, "lang"))
+
+
 @query("""
 WITH p AS (SELECT d.doc_id, (n_chars % 10) / 10.0 AS relevant, (n_chars % 7) / 7.0 AS volatile, (n_chars % 5) / 5.0 AS needs, (n_chars % 3) / 3.0 AS reusable, coalesce(l.quality = 1, false) AS verified FROM documents d LEFT JOIN labels l USING (doc_id))
 SELECT CASE WHEN relevant < 0.5 THEN 'IGNORE' WHEN volatile >= 0.5 THEN 'RAG_ONLY' WHEN needs >= 0.5 AND NOT verified THEN 'VERIFY' WHEN reusable >= 0.5 THEN 'TRAINING_CANDIDATE' ELSE 'RAG_ONLY' END AS route, verified, count(*) AS n FROM p GROUP BY ALL""")
