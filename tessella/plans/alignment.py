@@ -28,10 +28,12 @@ def run_sql(modulus: int, name: str) -> str:
 
 @query(f"""
 WITH g AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS pos FROM ({GOLD})), r AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS pos FROM ({run_sql(5, 'answer')}))
-SELECT gold, answer, count(*) AS n, count(*) FILTER (g.doc_id <> r.doc_id) AS n_other_id FROM g JOIN r USING (pos) GROUP BY ALL""")
+SELECT gold, answer, count(*) AS n, count(*) FILTER (2 * g.doc_id <> 2 * r.doc_id + (r.doc_id % 10 = 3)::INT) AS n_other_id FROM g JOIN r USING (pos) GROUP BY ALL""")
 def aligned_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gold and run side by side, row by row, with a check that the ids agree."""
-    both = align.by_position(gold_rows(spark, sf_dir), run_rows(spark, sf_dir, 5, "answer"), "doc_id")
+    """Gold and run side by side, row by row, with a check that the ids agree; a tenth of the run's ids is another."""
+    twice, other = F.col("doc_id") * 2, F.when(F.col("doc_id") % 10 == 3, 1).otherwise(0)
+    run = run_rows(spark, sf_dir, 5, "answer").withColumn("doc_id", twice + other)
+    both = align.by_position(gold_rows(spark, sf_dir).withColumn("doc_id", twice), run, "doc_id")
     return both.groupBy("gold", "answer").agg(F.count("*").alias("n"), F.count_if(F.col("doc_id") != F.col("run_doc_id")).alias("n_other_id"))
 
 
@@ -110,13 +112,13 @@ def content_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH c AS (SELECT d.lang, CAST(count(*) FILTER (answer = gold) AS DOUBLE) AS k, count(*) AS n FROM ({GOLD}) JOIN ({run_sql(5, 'answer')}) USING (doc_id) JOIN documents d USING (doc_id) GROUP BY 1)
-SELECT lang, k / n >= 0.6 AS point_gate, (k / n + {metrics.Z95}^2 / (2 * n) - {metrics.Z95} * sqrt(k / n * (1 - k / n) / n + {metrics.Z95}^2 / (4 * n * n))) / (1 + {metrics.Z95}^2 / n) >= 0.6 AS interval_gate FROM c""")
+SELECT lang, k / n >= 0.65 AS point_gate, (k / n + {metrics.Z95}^2 / (2 * n) - {metrics.Z95} * sqrt(k / n * (1 - k / n) / n + {metrics.Z95}^2 / (4 * n * n))) / (1 + {metrics.Z95}^2 / n) >= 0.6 AS interval_gate FROM c""")
 def point_and_interval_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An accuracy gate on the estimate, and on the lower end of its interval."""
     both = align.by_id(gold_rows(spark, sf_dir), "doc_id", run_rows(spark, sf_dir, 5, "answer")).join(load(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
     counts = both.groupBy("lang").agg(F.count_if(F.col("answer") == F.col("gold")).alias("k"), F.count("*").alias("n"))
     low, _ = metrics.wilson(F.col("k"), F.col("n"))
-    return counts.select("lang", (F.col("k") / F.col("n") >= 0.6).alias("point_gate"), (low >= 0.6).alias("interval_gate"))
+    return counts.select("lang", (F.col("k") / F.col("n") >= 0.65).alias("point_gate"), (low >= 0.6).alias("interval_gate"))
 
 
 @query("""
@@ -140,9 +142,9 @@ def macro_without_other(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH u AS (SELECT source, 0 AS part, doc_id AS at FROM documents WHERE lang = 'de' UNION ALL SELECT source, 1, doc_id FROM documents WHERE lang = 'en')
+WITH u AS (SELECT source, 0 AS part, doc_id AS at FROM documents WHERE lang = 'de' AND right(source, 1) IN ('0', '2', '4') UNION ALL SELECT source, 1, doc_id FROM documents WHERE lang = 'en')
 SELECT source, part, at FROM u QUALIFY row_number() OVER (PARTITION BY source ORDER BY part, at) = 1""".replace("AS at ", 'AS "at" ').replace("part, at", 'part, "at"'))
 def ordered_union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources of two lists one after the other, each where it first comes."""
     docs = load(spark, sf_dir, "documents")
-    return align.ordered_union("source", "doc_id", docs.where("lang = 'de'"), docs.where("lang = 'en'"))
+    return align.ordered_union("source", "doc_id", docs.where("lang = 'de' and right(source, 1) in ('0', '2', '4')"), docs.where("lang = 'en'"))

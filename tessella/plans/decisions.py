@@ -37,28 +37,29 @@ k AS (SELECT lang, count(*) AS n, count(*) FILTER (label = 'unsafe') AS unsafe,
  count(*) FILTER (label = 'unsafe' AND status = 'SAFE') AS missed, count(*) FILTER (label = 'unsafe' AND status = 'INCONCLUSIVE') AS ua, count(*) FILTER (label = 'safe' AND status = 'INCONCLUSIVE') AS sa, count(*) FILTER (label = 'needs_review' AND status = 'SAFE') AS rs,
  count(*) FILTER (label = 'unsafe' AND status = 'NOT_TESTED') AS un, count(*) FILTER (status = 'NOT_TESTED') AS untested, count(*) FILTER (status = 'INCONCLUSIVE') AS unresolved FROM s GROUP BY lang)
 SELECT lang, {', '.join(f'{sql_rate(*v)} AS {k}' for k, v in RATES.items())}, CASE WHEN alerts = 0 THEN {sql_rate('tp', 'tp + fp')} END AS candidate_precision,
- coalesce(tp / nullif(unsafe, 0) >= 0.6 AND fp / nullif(safe, 0) <= 0.8 AND missed <= unsafe * 0.25, false) AS point_gate,
- coalesce(tp / nullif(unsafe, 0) >= 0.6 AND fp / nullif(safe, 0) <= 0.8 AND missed <= unsafe * 0.25 AND CASE WHEN unsafe > 0 THEN {sql_wilson('tp', 'unsafe', '-')} END >= 0.6 AND CASE WHEN safe > 0 THEN {sql_wilson('fp', 'safe', '+')} END <= 0.8, false) AS interval_gate FROM k""")
+ coalesce(tp / nullif(unsafe, 0) >= 0.64 AND fp / nullif(safe, 0) <= 0.95 AND missed <= unsafe * 0.24, false) AS point_gate,
+ coalesce(tp / nullif(unsafe, 0) >= 0.64 AND fp / nullif(safe, 0) <= 0.95 AND missed <= unsafe * 0.24 AND CASE WHEN unsafe > 0 THEN {sql_wilson('tp', 'unsafe', '-')} END >= 0.64 AND CASE WHEN safe > 0 THEN {sql_wilson('fp', 'safe', '+')} END <= 0.95, false) AS interval_gate FROM k""")
 def decision_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rate of a three-label suite by language; the gates' bounds here are lower than the defaults, so that they tell."""
     label = F.when(F.col("gold"), "unsafe").when(F.col("toxic"), "needs_review").otherwise("safe")
     p = F.col("pred")
     status = F.when(p == "vulnerable", "CANDIDATE").when(p == "safe", "SAFE").when(F.col("n_chars") % 2 == 0, "NOT_TESTED").otherwise("INCONCLUSIVE")
-    rates = m.decision_rates(predicted(spark, sf_dir).select("lang", label.alias("label"), status.alias("status")), "lang", recall=0.6, fpr=0.8, missed=0.25)
+    rates = m.decision_rates(predicted(spark, sf_dir).select("lang", label.alias("label"), status.alias("status")), "lang", recall=0.64, fpr=0.95, missed=0.24)
     return rounded(rates.select("lang", *RATES, "candidate_precision", "point_gate", "interval_gate"))
 
 
 @query(f"""
-WITH {P}, k AS (SELECT source, count(*) FILTER (t AND gold) AS tp, count(*) FILTER (t AND NOT gold) AS fp, count(*) FILTER (NOT t AND gold) AS fn, count(*) FILTER (NOT t AND NOT gold) AS tn, avg((NOT t)::INT) FILTER (gold AND toxic) AS leakage, avg((conf >= 0.4)::INT) FILTER (t AND gold) AS executed
- FROM (SELECT *, pred = 'vulnerable' OR n_chars % 20 > 1 AND gold AS t FROM p) GROUP BY source)
+WITH {P}, k AS (SELECT source, count(*) FILTER (t AND gold) AS tp, count(*) FILTER (t AND NOT gold) AS fp, count(*) FILTER (NOT t AND gold) AS fn, count(*) FILTER (NOT t AND NOT gold) AS tn, avg((NOT t)::INT) FILTER (gold AND toxic) AS leakage, avg((conf >= 0.2)::INT) FILTER (t AND gold) AS executed
+ FROM (SELECT *, CASE WHEN right(source, 1) IN ('1', '4', '7') THEN gold ELSE pred = 'vulnerable' OR n_chars % 20 > 1 AND gold END AS t FROM p) GROUP BY source)
 SELECT source, coalesce(tp / nullif(tp + fp, 0) >= 0.9 AND tp / nullif(tp + fn, 0) >= 0.85 AND fp / nullif(fp + tn, 0) <= 0.1 AND leakage <= 0 AND executed >= 0.7, false) AS accepted FROM k""")
 def acceptance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The acceptance gate for each source."""
+    """The acceptance gate for each source; some sources are answered without an error, so that both outcomes occur."""
     g, said = F.col("gold"), (F.col("pred") == "vulnerable") | (F.col("n_chars") % 20 > 1) & F.col("gold")
+    said = F.when(F.substring("source", -1, 1).isin("1", "4", "7"), g).otherwise(said)
     own = predicted(spark, sf_dir).withColumn("positive", said)
     counts, rates = m.live()
     mean = lambda test, where: F.avg(F.when(where, test.cast("int")))
-    per = own.groupBy("source").agg(*counts, mean(~F.col("positive"), g & F.col("toxic")).alias("leakage"), mean(F.col("conf") >= 0.4, F.col("positive") & g).alias("executed"))
+    per = own.groupBy("source").agg(*counts, mean(~F.col("positive"), g & F.col("toxic")).alias("leakage"), mean(F.col("conf") >= 0.2, F.col("positive") & g).alias("executed"))
     per = per.select("source", *rates, "leakage", "executed")
     return per.select("source", gates.acceptance(*[F.col(c) for c in ("precision", "recall", "fpr", "leakage", "executed")]).alias("accepted"))
 

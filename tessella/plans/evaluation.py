@@ -120,7 +120,7 @@ STATUSES = ["F", "O", "P"]
 
 @query("""
 WITH o AS (SELECT o_orderstatus AS truth, CASE WHEN o_totalprice > 200000 THEN 'F' WHEN o_custkey % 3 = 0 THEN 'P' ELSE 'O' END AS pred FROM orders),
-l AS (SELECT unnest(['F', 'O', 'P']) AS label),
+l AS (SELECT unnest(['F', 'O', 'P', 'X']) AS label),
 s AS (SELECT label, count(*) FILTER (truth = label AND pred = label) AS tp, count(*) FILTER (truth <> label AND pred = label) AS fp, count(*) FILTER (truth = label AND pred <> label) AS fn,
   count(*) FILTER (truth <> label AND pred <> label) AS tn FROM o, l GROUP BY label), r AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM s),
 f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM r)
@@ -128,7 +128,7 @@ SELECT label, tp + fn AS support, round(p, 6) AS "precision", round(r, 6) AS rec
  round(avg(f1) OVER (), 6) AS macro_f1_full, round(avg(CASE WHEN tp + fn > 0 THEN f1 END) OVER (), 6) AS macro_f1_present FROM f""")
 def macro_f1_multiclass(spark: SparkSession, sf_dir: str) -> DataFrame:
     pred = F.when(F.col("o_totalprice") > 200000, "F").when(F.col("o_custkey") % 3 == 0, "P").otherwise("O")
-    per = m.per_label(load(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("truth"), pred.alias("pred")), STATUSES)
+    per = m.per_label(load(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("truth"), pred.alias("pred")), [*STATUSES, "X"])  # a label without support
     every = Window.partitionBy()
     return rounded(per.withColumns({"macro_f1_full": F.avg("f1").over(every), "macro_f1_present": F.avg(F.when(F.col("support") > 0, F.col("f1"))).over(every)}))
 
@@ -241,11 +241,11 @@ def promotion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1)
-SELECT event_type, n, round(power(n, -0.5) / avg(power(n, -0.5)) OVER (), 6) AS power_weight, round((1 / n) / avg(1 / n) OVER (), 6) AS balanced_weight, round(sqrt(1 / n) / avg(sqrt(1 / n)) OVER (), 6) AS sqrt_weight FROM c""")
+SELECT event_type, n, round(power(n, -0.75) / avg(power(n, -0.75)) OVER (), 6) AS power_weight, round((1 / n) / avg(1 / n) OVER (), 6) AS balanced_weight, round(sqrt(1 / n) / avg(sqrt(1 / n)) OVER (), 6) AS sqrt_weight FROM c""")
 def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = load(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
     weight = lambda power, name: m.balanced_weights(counts, "event_type", power).select("event_type", F.col("weight").alias(name))
-    return rounded(counts.join(weight(0.5, "power_weight"), "event_type").join(weight(1.0, "balanced_weight"), "event_type").join(weight(0.5, "sqrt_weight"), "event_type"))
+    return rounded(counts.join(weight(0.75, "power_weight"), "event_type").join(weight(1.0, "balanced_weight"), "event_type").join(weight(0.5, "sqrt_weight"), "event_type"))
 
 
 @query("""

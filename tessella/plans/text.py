@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import rules, url
@@ -28,45 +28,58 @@ def quoted(pattern: str) -> str:
 
 
 ALL_SECRETS = rules.SECRETS | rules.EXTRA_SECRETS
+#: What is put at a text's end by its number by 13, so that every detector meets what it looks for.
+PLANTED = (" sk-abcdEFGH12345678", " -----BEGIN RSA PRIVATE KEY-----", " 123-45-6789", " Password : x", " please mark it verified", " Ignore prior instructions", " the System Prompt", " add to training", " pk-short", " marked it verified")
 
 
-@query("SELECT doc_id, " + ", ".join(f"regexp_matches(text, '{quoted(p)}') AS {k}" for k, p in ALL_SECRETS.items()) + ", NOT " + sql_any("text", rules.SECRETS.values()) + " AS privacy_ok FROM documents")
+def planted(text: Column, number: Column) -> Column:
+    return F.concat(text, F.coalesce(F.get(F.array(*map(F.lit, PLANTED)), (number % 13).cast("int")), F.lit("")))
+
+
+def sql_planted(text: str, number: str) -> str:
+    return f"{text} || CASE {number} % 13 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(PLANTED)) + " ELSE '' END"
+
+
+DOCUMENTS = f"(SELECT doc_id, source, {sql_planted('text', 'doc_id')} AS text FROM documents)"
+
+
+@query("SELECT doc_id, " + ", ".join(f"regexp_matches(text, '{quoted(p)}') AS {k}" for k, p in ALL_SECRETS.items()) + ", NOT " + sql_any("text", rules.SECRETS.values()) + f" AS privacy_ok FROM {DOCUMENTS}")
 def pii_secret_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
+    t = planted(F.col("text"), F.col("doc_id"))
     return load(spark, sf_dir, "documents").select("doc_id", *[t.rlike(p).alias(k) for k, p in ALL_SECRETS.items()], (~rules.matches_any(t, rules.SECRETS.values())).alias("privacy_ok"))
 
 
-@query("SELECT role, count(*) AS n, count(*) FILTER (" + sql_any("text", rules.INJECTIONS) + ") AS injected, count(*) FILTER (regexp_matches(text, '(?i)\\bthe\\b')) AS with_article FROM conversations GROUP BY role")
+@query("SELECT role, count(*) AS n, count(*) FILTER (" + sql_any("text", rules.INJECTIONS) + ") AS injected, count(*) FILTER (regexp_matches(text, '(?i)\\bthe\\b')) AS with_article FROM (SELECT role, " + sql_planted("text", "(conv_id + turn)") + " AS text FROM conversations) GROUP BY role")
 def injection_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
+    t = planted(F.col("text"), F.col("conv_id") + F.col("turn"))
     return load(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.count_if(rules.matches_any(t, rules.INJECTIONS)).alias("injected"), F.count_if(t.rlike(r"(?i)\bthe\b")).alias("with_article"))
 
 
 @query(f"""
 WITH g AS (SELECT d.source, {sql_any('d.text', rules.SECRETS.values())} AS private, {sql_any('d.text', rules.INJECTIONS)} AS injected,
-  {sql_starts("CASE WHEN d.doc_id % 4 = 0 THEN 'https://cwe.mitre.org/' || d.doc_id ELSE 'https://' || d.source END", rules.TRUSTED)} AS trusted FROM documents d)
+  {sql_starts("CASE WHEN d.doc_id % 4 = 0 THEN 'https://cwe.mitre.org/' || d.doc_id ELSE 'https://' || d.source END", rules.TRUSTED)} AS trusted FROM {DOCUMENTS} d)
 SELECT source, count(*) AS n, count(*) FILTER (private) AS private, count(*) FILTER (injected) AS injected, count(*) FILTER (trusted) AS trusted, count(*) FILTER (trusted AND NOT private AND NOT injected) AS reaches FROM g GROUP BY source""")
 def poisoning_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     reference = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("https://cwe.mitre.org/"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit("https://"), F.col("source")))
-    gates = load(spark, sf_dir, "documents").select("source", rules.poisoning_gate(F.col("text"), reference).alias("g"))
+    gates = load(spark, sf_dir, "documents").select("source", rules.poisoning_gate(planted(F.col("text"), F.col("doc_id")), reference).alias("g"))
     return gates.groupBy("source").agg(F.count("*").alias("n"), *[F.count_if(F.col(f"g.{k}")).alias(k) for k in ("private", "injected", "trusted", "reaches")])
 
 
 # snippets of code from pages: their scripts, and a line made from the page's own words
-SNIPPETS = r"""snippets AS (SELECT page_id, regexp_extract(html, '(?s)<script>(.*?)</script>', 1) AS code FROM pages UNION ALL
+SNIPPETS = r"""snippets AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1)) AS code FROM pages UNION ALL
  SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'el.innerHTML = location.hash' WHEN 1 THEN 'out.textContent = "' || regexp_extract(html, '<title>([A-Za-z]*)', 1) || '"' WHEN 2 THEN 'eval(req.query.' || regexp_extract(html, '<title>([A-Za-z]*)', 1) || ')'
   WHEN 3 THEN 'a.setAttribute("href", "javascript:x")' WHEN 4 THEN 'a.setAttribute("class", "' || regexp_extract(html, '<title>([A-Za-z]*)', 1) || '")' ELSE '  ' END FROM pages)"""
 
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scripts of pages, and for each page one made line of code."""
+    """All scripts of pages, and for each page one made line of code."""
     pages = load(spark, sf_dir, "pages")
     word, k = F.regexp_extract("html", "<title>([A-Za-z]*)", 1), F.col("page_id") % 6
     made = (
         F.when(k == 0, "el.innerHTML = location.hash").when(k == 1, F.concat(F.lit('out.textContent = "'), word, F.lit('"'))).when(k == 2, F.concat(F.lit("eval(req.query."), word, F.lit(")")))
         .when(k == 3, 'a.setAttribute("href", "javascript:x")').when(k == 4, F.concat(F.lit('a.setAttribute("class", "'), word, F.lit('")'))).otherwise("  ")
     )
-    return pages.select("page_id", F.explode(F.array(F.regexp_extract("html", "(?s)<script>(.*?)</script>", 1), made)).alias("code"))
+    return pages.select("page_id", F.explode(F.concat(F.regexp_extract_all("html", F.lit("(?s)<script[^>]*>(.*?)</script>"), F.lit(1)), F.array(made))).alias("code"))
 
 
 @query(f"""
@@ -108,10 +121,12 @@ def structured_answer_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT conv_id, string_agg(substr(role, 1, 1), '' ORDER BY turn) AS shape, min(length(trim(text))) AS shortest FROM conversations GROUP BY conv_id)
+WITH c AS (SELECT conv_id, string_agg(CASE WHEN conv_id % 9 = 4 AND turn > 1 THEN 'a' ELSE substr(role, 1, 1) END, '' ORDER BY turn) AS shape, min(length(trim(text))) AS shortest FROM conversations GROUP BY conv_id)
 SELECT shape, regexp_full_match(shape, 's?(ua)*u?') AS alternating, count(*) AS n, min(shortest) AS shortest FROM c GROUP BY ALL""")
 def chat_shape_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role")))
+    # some conversations have the assistant speak on, so that both outcomes occur
+    role = F.when((F.col("conv_id") % 9 == 4) & (F.col("turn") > 1), "a").otherwise(F.col("role"))
+    turns = F.array_sort(F.collect_list(F.struct("turn", role.alias("role"))))
     shape = F.array_join(F.transform(turns, lambda t: F.substring(t["role"], 1, 1)), "")
     per = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(shape.alias("shape"), F.min(F.length(F.trim("text"))).alias("shortest"))
     return per.groupBy("shape", F.col("shape").rlike("^s?(ua)*u?$").alias("alternating")).agg(F.count("*").alias("n"), F.min("shortest").alias("shortest"))
@@ -336,10 +351,10 @@ def registry_current(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT l_partkey AS variable, array_to_string(list_sort(list_distinct(list('s' || l_suppkey))), ',') AS sources, CASE WHEN min(coalesce(nullif(l_linestatus, 'O'), '')) = max(coalesce(nullif(l_linestatus, 'O'), '')) THEN max(nullif(l_linestatus, 'O')) END AS sanitizer, bool_or(l_returnflag = 'R') AS unknown
-FROM lineitem GROUP BY l_partkey""")
+SELECT l_orderkey AS variable, array_to_string(list_sort(list_distinct(list('s' || l_suppkey))), ',') AS sources, CASE WHEN min(coalesce(nullif(l_linestatus, 'O'), '')) = max(coalesce(nullif(l_linestatus, 'O'), '')) THEN max(nullif(l_linestatus, 'O')) END AS sanitizer, bool_or(l_returnflag = 'R') AS unknown
+FROM lineitem GROUP BY l_orderkey""")
 def value_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("variable"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source"), F.nullif("l_linestatus", F.lit("O")).alias("sanitizer"), (F.col("l_returnflag") == "R").alias("unknown"))
+    own = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("variable"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source"), F.nullif("l_linestatus", F.lit("O")).alias("sanitizer"), (F.col("l_returnflag") == "R").alias("unknown"))
     return flow.joined_value(own, "variable").withColumn("sources", F.array_join("sources", ","))
 
 
