@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.identity import number
@@ -49,3 +49,50 @@ def split_disjoint(df: DataFrame, split: str, *keys: str) -> DataFrame:
     """(key, value) that occur in more than one split: must be empty. One pass, no join of splits."""
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in keys])).alias("p")
     return df.select(split, pairs).groupBy("p.key", "p.value").agg(F.min(split).alias("lo"), F.max(split).alias("hi")).where("lo <> hi").drop("lo", "hi")
+
+
+# fixed values: what a relation may be, who vouches for it, and the groups that splits must not share
+RELATIONS, REVIEW, GROUPS = ("CONNECTED", "DISCONNECTED", "UNKNOWN"), ("reviewer", "rationale", "reference"), ("repository", "framework", "template", "generator")
+
+
+def relation_reasons(df: DataFrame, order: str) -> DataFrame:
+    """``df`` with ``reason``: the first rule of a relation corpus that a row breaks, ``ok`` if none.
+
+    Rows have split, id, content, label, status, native, and a column for each of ``REVIEW`` and ``GROUPS``. A row whose
+    content or id an earlier one of its split has (by ``order``) is a duplicate; ``not-applicable`` stands
+    only for a template or generator of native code.
+    """
+    blank = lambda c: F.coalesce(F.btrim(F.col(c), F.lit(" \t\r\n\f\v")) == "", F.lit(True))
+    some = lambda cs: F.exists(F.array(*[blank(c) for c in cs]), lambda x: x)
+    for key in ("content", "id"):
+        first = df.groupBy("split", key).agg(F.min(order).alias(f"_first_{key}"))
+        df = df.join(first.where(F.col(key).isNotNull()), ["split", key], "left")
+    na = lambda c: F.coalesce(F.btrim(F.col(c)) == "not-applicable", F.lit(False))
+    unfit = na("repository") | na("framework") | ((na("template") | na("generator")) & ~F.coalesce(F.col("native"), F.lit(False)))
+    reason = (
+        F.when(~F.coalesce(F.col("label").isin(*RELATIONS), F.lit(False)), "label").when(blank("id"), "id").when(~F.col("status").eqNullSafe(F.lit("REVIEWED")) | some(REVIEW), "review")
+        .when(some(GROUPS), "provenance").when(unfit, "not_applicable").when((F.col(order) != F.col("_first_content")) | (F.col(order) != F.col("_first_id")), "duplicate").otherwise("ok")
+    )
+    return df.withColumn("reason", reason).drop("_first_content", "_first_id")
+
+
+def relation_overlap(df: DataFrame) -> DataFrame:
+    """Rows (key, n): how many values of each key more than one split has; not-applicable counts as none."""
+    known = [F.when(F.btrim(F.col(g)) != "not-applicable", F.btrim(F.col(g))).alias(g) for g in GROUPS]
+    shared = split_disjoint(df.select("split", "id", "content", *known), "split", *GROUPS, "content", "id").where("value is not null")
+    return shared.groupBy("key").agg(F.count("*").alias("n"))
+
+
+# fixed values: annotations that tell of the next line
+ANNOTATION, MEANS_SAFE = r"(?:ruleid|ok)\s*:\s*([\w.-]+)", r"\bok\s*:"
+
+
+def annotated(lines: DataFrame, key: str, at: str, line: str) -> DataFrame:
+    """Rows (key, at, rule, label, target): each annotation with the next line that is not blank, and what it says of it.
+
+    An annotation that no such line follows is left out. A file's lines are looked through once, from its end.
+    """
+    w = Window.partitionBy(key).orderBy(F.desc(at)).rowsBetween(Window.unboundedPreceding, -1)
+    following = F.last(F.when(F.btrim(F.col(line), F.lit(" \t\r\n\f")) != "", F.col(at)), ignorenulls=True).over(w)
+    found = lines.withColumn("target", following).where(F.col(line).rlike(ANNOTATION) & F.col("target").isNotNull())
+    return found.select(key, at, F.lower(F.regexp_extract(line, ANNOTATION, 1)).alias("rule"), F.when(F.col(line).rlike(MEANS_SAFE), "SAFE").otherwise("UNSAFE").alias("label"), "target")

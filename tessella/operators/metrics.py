@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.ordering import with_running
+from tessella.tables import stored
+
 Z95 = 1.959963984540054
 
 
@@ -122,22 +125,40 @@ def decision_rates(df: DataFrame, *by: str, recall: float = 0.9, fpr: float = 0.
     })
 
 
+#: Distinct differences that are counted side by side; with more, draws are joined to them.
+FEW_VALUES = 64
+
+
 def bootstrap(df: DataFrame, order: str, difference: str, reps: int, seed: int) -> DataFrame:
     """Mean of a paired difference and its 95 % percentile interval from ``reps`` resamples.
 
-    Resampling draws with replacement by hash, the same in every engine. Differences take few
-    values, so a resample is drawn from their ordered counts: the work is reps x n draws, made
-    by range and aggregated at once, and no row of ``df`` is copied.
+    Resampling draws ranks with replacement by hash, the same in every engine: reps x n draws, made by range and
+    aggregated at once, and no row of ``df`` is copied. Of few distinct differences a resample is how many draws
+    fall below each one's last rank, so nothing is joined; of many each draw is joined to the one difference or two that its
+    stretch of ranks holds.
     """
     spark = df.sparkSession
-    counts = df.groupBy(difference).agg(F.count("*").alias("n"))
-    ends = counts.select(F.col(difference).alias("d"), F.sum("n").over(Window.orderBy(difference)).alias("upto"), "n")
-    n = df.count()
-    draws = spark.range(reps * n).select(F.floor(F.col("id") / n).alias("rep"), F.pmod("id", F.lit(n)).alias("i"))
+    counts = stored(df.groupBy(F.col(difference).alias("d")).agg(F.count("*").alias("n")), "differences")
+    values, n = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    draws = spark.range(reps * n).select(F.floor(F.col("id") / F.lit(n)).alias("rep"), F.pmod("id", F.lit(n)).alias("i")) if n else spark.range(0).select(F.col("id").alias("rep"), F.col("id").alias("i"))
     key = F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("i").cast("string"))
-    draws = draws.select("rep", F.pmod(F.conv(F.substring(F.sha2(key, 256), 1, 15), 16, 10).cast("long"), F.lit(n)).alias("at"))
-    drawn = draws.join(F.broadcast(ends), (F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("n")))  # a row per value
-    means = drawn.groupBy("rep").agg(F.avg("d").alias("mean"))
+    draws = draws.select("rep", F.pmod(F.conv(F.substring(F.sha2(key, 256), 1, 15), 16, 10).cast("long"), F.lit(max(n, 1))).alias("at"))
+    if values <= FEW_VALUES:
+        ends = sorted((r["d"], r["n"]) for r in counts.where("d is not null").collect())  # at most FEW_VALUES rows
+        nulls, upto, mean = n - sum(k for _, k in ends), n - sum(k for _, k in ends), F.lit(0.0)
+        below = F.count_if(F.col("at") < nulls)
+        held, last = n - nulls, below
+        for d, k in ends:
+            upto += k
+            now = F.count_if(F.col("at") < upto)
+            mean, last = mean + F.lit(float(d)) * (now - last), now
+        means = draws.groupBy("rep").agg((mean / F.nullif(F.count("*") - below, F.lit(0))).alias("mean")) if held else draws.groupBy("rep").agg(F.lit(None).cast("double").alias("mean"))
+    else:
+        ends, width = with_running(counts, F.col("n"), "d", name="upto"), max(1, n // values)
+        first = F.floor((F.col("upto") - F.col("n")) / width)
+        spread = ends.select("d", "n", "upto", F.explode(F.sequence(first, F.floor((F.col("upto") - 1) / width))).alias("stretch"))
+        met = draws.withColumn("stretch", F.floor(F.col("at") / width)).join(spread, "stretch").where((F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("n")))
+        means = met.groupBy("rep").agg(F.avg("d").alias("mean"))
     bounds = means.agg(F.expr("percentile(mean, array(0.025, 0.975))").alias("q"))
     return df.agg(F.avg(difference).alias("delta")).join(bounds, how="cross").select("delta", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))  # two single rows
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
-PLAN_MODULES: tuple[str, ...] = ("curation", "evaluation", "text", "records", "alignment", "decisions", "models", "ledger", "provenance", "context")
+PLAN_MODULES: tuple[str, ...] = ("curation", "evaluation", "text", "records", "alignment", "decisions", "models", "ledger", "provenance", "context", "evidence")
 
 
 def query(sql: str | None = None) -> Callable:
