@@ -85,8 +85,12 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
         return b" ".join(samples)[-size:]
 
 
+def _bare(word: str) -> str:
+    return word.strip(".,;:!?\"'()")
+
+
 def _words(text: str) -> list[str]:
-    return [w.strip(".,;:!?\"'()") for w in text.lower().split()]
+    return [_bare(w) for w in text.lower().split()]
 
 
 def _keys(word: str) -> list[str]:
@@ -94,20 +98,38 @@ def _keys(word: str) -> list[str]:
     return [word + " ", *(word[:k] for k in (4, 5, 6) if len(word) > k)]
 
 
-def _telling(own: list[str], other: list[str]) -> set[str]:
-    """Words and word beginnings that far more texts of ``own`` have, by the likelihood ratio.
+def _new_words(texts: list[str]) -> list[list[str]]:
+    """Each text's words that lie in no shingle of an earlier text: a copy has those that were changed, a header counts once."""
+    seen: set[int] = set()
+    found = []
+    for text in texts:
+        words = text.lower().split()
+        hashes = [crc32(" ".join(words[i : i + COPY_WORDS]).encode("utf-8", "replace")) for i in range(max(1, len(words) - COPY_WORDS + 1))] if words else []
+        old = np.zeros(len(words) + 1, dtype=np.int64)
+        for i, h in enumerate(hashes):
+            if h in seen:
+                old[i] += 1
+                old[min(i + COPY_WORDS, len(words))] -= 1
+        seen.update(hashes)
+        found.append([w for w, k in zip(words, np.cumsum(old).tolist(), strict=False) if not k])
+    return found
+
+
+def _telling(own: list[list[str]], other: list[list[str]]) -> set[str]:
+    """Words and word beginnings that far more texts of ``own`` have, by the likelihood ratio; texts as their new words.
 
     The bound rises with how many are tried, so that chance passes for about one of them.
     """
 
-    def counted(texts: list[str]) -> Counter:
+    def counted(texts: list[list[str]]) -> Counter:
         found: Counter = Counter()
         for t in texts:
-            found.update({k for w in set(_words(t)) if w for k in _keys(w)})
+            found.update({k for w in set(map(_bare, t)) if w for k in _keys(w)})
         return found
 
+    own, other = [t for t in own if t], [t for t in other if t]
     mine, others = counted(own), counted(other)
-    n, m = len(own), len(other)
+    n, m = len(own), max(len(other), 1)
 
     def ratio(key: str) -> float:
         a, b = mine[key], others[key]
@@ -192,8 +214,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 50)
 
 def _dictionaries(rows: list[tuple[str, int]]) -> ToxicityModel:
     toxic, ordinary = ([t for t, y in rows if y == k] for k in (1, 0))
-    base = _dictionary([w for t in ordinary for w in windows_of(t)], BASE_BYTES)[-BASE_BYTES:]
-    telling = _telling(toxic, ordinary)
+    base = _dictionary(list(dict.fromkeys(w for t in ordinary for w in windows_of(t))), BASE_BYTES)[-BASE_BYTES:]
+    telling = _telling(_new_words(toxic), _new_words(ordinary))
     own = _dictionary([x for t in toxic if (x := _told(t, telling))] or [b" "], OWN_BYTES)
     return ToxicityModel(base, own + base, [])
 
@@ -201,7 +223,8 @@ def _dictionaries(rows: list[tuple[str, int]]) -> ToxicityModel:
 def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
     """``rows``: (text, label) of the bounded sample.
 
-    Rows alike in text and label count once, all others count, copies or not. Each half's features,
+    Rows alike in text and label count once, all others count; what tells is sought in what is new in a near copy, so
+    that what only a document's many copies hold does not pass for it. Each half's features,
     from the other half's dictionaries, calibrate the thresholds; the dictionaries kept come from all
     rows. Without both labels in either half the score is the share of label 1.
     """
