@@ -41,7 +41,7 @@ EVENT_SINK = r"(?i)setAttribute\s*\(\s*['\"]on[a-z]+['\"]\s*,"
 URL_LITERAL = r"(?i)setAttribute\s*\(\s*['\"](?:src|href|action|data)['\"]\s*,\s*['\"]\s*(?:javascript:|data:text/html)"
 SAFE_TEXT = r"(?i)^\s*\w+\.textContent\s*=\s*[^;\n]+;?\s*$"
 SAFE_NAME = r"(?i)^\s*\w+\.setAttribute\s*\(\s*['\"](?:class|id|aria-[a-z-]+)['\"]\s*,\s*['\"][^'\"]*['\"]\s*\)\s*;?\s*$"
-SAFE_URL = r"(?i)^\s*\w+\.setAttribute\s*\(\s*['\"](?:src|href|action|data)['\"]\s*,\s*['\"][^'\"]*['\"]\s*\)\s*;?\s*$"
+SAFE_URL = r"(?i)^\s*\w+\.setAttribute\s*\(\s*['\"](?:src|href|action|data)['\"]\s*,\s*['\"](?!\s*(?:javascript:|data:text/html))[^'\"]*['\"]\s*\)\s*;?\s*$"
 
 # The taxonomy of sources, sinks and defenses, in the order tried.
 SOURCES = {
@@ -98,7 +98,7 @@ def triage(code: Column) -> Column:
     """label, rule and confidence of a snippet; a fixed order of rules, the first that fits."""
     t = code.rlike(TAINTED)
     of = lambda label, rule, conf: F.struct(F.lit(label).alias("label"), F.lit(rule).cast("string").alias("rule"), F.lit(conf).alias("confidence"))
-    safe = code.rlike(SAFE_TEXT) | code.rlike(SAFE_NAME) | code.rlike(SAFE_URL) & ~code.rlike(URL_LITERAL)
+    safe = code.rlike(SAFE_TEXT) | code.rlike(SAFE_NAME) | code.rlike(SAFE_URL)
     return (
         F.when(code.isNull() | code.rlike(r"^\s*$"), of("SAFE", "empty", 0.6))
         .when(safe, of("SAFE", "safe_static_shape", 0.9))

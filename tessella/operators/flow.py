@@ -59,6 +59,12 @@ def verdict(candidate: Column, inconclusive: Column, none: Column) -> Column:
     return F.when(F.bool_or(candidate), "CANDIDATE").when(F.bool_or(inconclusive) | F.bool_and(none), "INCONCLUSIVE").otherwise("SAFE")
 
 
+# fixed values: what stands around a source and a sink in each relation, and which literals end a flow
+OPAQUE_CALL = (r"\s*=\s*(?:new\s+)?[A-Za-z_$][\w$.]*\([^;]*", r"[^;]*\)")
+ASSIGNED, ARGUMENT, ENDS = r"\s*=\s*", (r"\s*\([^;]*\b", r"\b[^;]*\)"), r"(?:\s*;|\s*$)"
+LITERAL_WRITE = r"""\s*=\s*(?:['"][^'"]*['"]|\d+(?:\.\d+)?|true|false|null|undefined)"""
+
+
 def relation(source: Column, sink: Column, excerpt: Column) -> Column:
     """How a source reaches a sink in an excerpt; what is not obvious is UNKNOWN.
 
@@ -70,10 +76,9 @@ def relation(source: Column, sink: Column, excerpt: Column) -> Column:
     quoted = lambda c: F.concat(F.lit("\\Q"), F.replace(bare(c), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     text, src, out = bare(F.regexp_replace(excerpt, r"\s+", " ")), quoted(source), quoted(sink)
     found = lambda *parts: F.regexp_like(text, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]))
-    end = r"(?:\s*;|\s*$)"
-    opaque = found(out, r"\s*=\s*(?:new\s+)?[A-Za-z_$][\w$.]*\([^;]*", src, r"[^;]*\)")
-    direct = found(out, r"\s*=\s*", src, end) | found(out, r"\s*\([^;]*\b", src, r"\b[^;]*\)")
-    literal = found("(?i)", out, r"""\s*=\s*(?:['"][^'"]*['"]|\d+(?:\.\d+)?|true|false|null|undefined)""", end)
+    opaque = found(out, OPAQUE_CALL[0], src, OPAQUE_CALL[1])
+    direct = found(out, ASSIGNED, src, ENDS) | found(out, ARGUMENT[0], src, ARGUMENT[1])
+    literal = found("(?i)", out, LITERAL_WRITE, ENDS)
     missing = (bare(source) == "") | (bare(sink) == "") | (text == "") | excerpt.isNull()
     return F.when(missing | opaque, "UNKNOWN").when(direct, "CONNECTED").when(literal, "DISCONNECTED").otherwise("UNKNOWN")
 

@@ -71,6 +71,10 @@ SNIPPETS = r"""snippets AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s
   WHEN 3 THEN 'a.setAttribute("href", "javascript:x")' WHEN 4 THEN 'a.setAttribute("class", "' || regexp_extract(html, '<title>([A-Za-z]*)', 1) || '")' ELSE '  ' END FROM pages)"""
 
 
+#: The SQL dialect's patterns cannot look ahead: the literal is tested apart there.
+SQL_SAFE_URL = rules.SAFE_URL.replace(r"(?!\s*(?:javascript:|data:text/html))", "")
+
+
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All scripts of pages, and for each page one made line of code."""
     pages = load(spark, sf_dir, "pages")
@@ -84,7 +88,7 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {SNIPPETS}, t AS (SELECT *, regexp_matches(code, '{quoted(rules.TAINTED)}') AS t FROM snippets)
-SELECT page_id, CASE WHEN regexp_matches(code, '^\\s*$') THEN 'empty' WHEN regexp_matches(code, '{quoted(rules.SAFE_TEXT)}') OR regexp_matches(code, '{quoted(rules.SAFE_NAME)}') OR regexp_matches(code, '{quoted(rules.SAFE_URL)}') AND NOT regexp_matches(code, '{quoted(rules.URL_LITERAL)}') THEN 'safe_static_shape'
+SELECT page_id, CASE WHEN regexp_matches(code, '^\\s*$') THEN 'empty' WHEN regexp_matches(code, '{quoted(rules.SAFE_TEXT)}') OR regexp_matches(code, '{quoted(rules.SAFE_NAME)}') OR regexp_matches(code, '{quoted(SQL_SAFE_URL)}') AND NOT regexp_matches(code, '{quoted(rules.URL_LITERAL)}') THEN 'safe_static_shape'
  WHEN t AND regexp_matches(code, '{quoted(rules.HTML_SINK)}') THEN 'tainted_html_sink' WHEN t AND regexp_matches(code, '{quoted(rules.JS_SINK)}') THEN 'tainted_js_sink' WHEN t AND regexp_matches(code, '{quoted(rules.EVENT_SINK)}') THEN 'tainted_event_handler'
  WHEN regexp_matches(code, '{quoted(rules.URL_LITERAL)}') THEN 'dangerous_url_literal' ELSE 'none' END AS rule, count(*) AS n FROM t GROUP BY ALL""")
 def triage_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
