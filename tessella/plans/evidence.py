@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import evidence
-from tessella.operators import audit
+from tessella.operators import audit, holdout
+from tessella.operators.split import hash_mod
 from tessella.registry import query
 from tessella.tables import load
 
@@ -87,3 +88,40 @@ def annotated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("pos") % 6
     made = F.when(k == 1, "// RuleId: Not-This").when(k == 2, F.concat(F.lit("# ruleid : Dom-XSS."), (F.col("doc_id") % 3).cast("string"))).when(k == 3, "  ").when(k == 5, "<!-- ok: avoid-v-html -->").otherwise(F.col("line"))
     return audit.annotated(lines.select("doc_id", "pos", made.alias("line")), "doc_id", "pos", "line")
+
+
+#: What the registered holdout says of itself.
+MANIFEST = {"evaluation_kind": "external_holdout", "exposure_status": "unseen", "frozen_before_engine_changes": True, "development_inventory_complete": False, "sampling_plan_ref": None}
+AUTHORS = ("author1", "author2")
+
+
+def holdout_cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Test documents as cases, some of them at fault, and the other documents as the development set."""
+    docs = load(spark, sf_dir, "documents").withColumn("split", hash_mod(F.col("doc_id").cast("string")))
+    of = lambda at, fault, value: F.when(F.col("doc_id") % 23 == at, fault).otherwise(value)
+    text = lambda at, fault, value: of(at, F.lit(fault).cast("string"), value if not isinstance(value, str) else F.lit(value))
+    cases = docs.where("split = 'test'").select(
+        "doc_id", text(1, None, of(2, F.lit("same"), F.concat(F.lit("c"), F.col("doc_id").cast("string")))).alias("id"), text(3, None, text(4, "", F.col("text"))).alias("code"),
+        text(5, "maybe", F.when(F.col("n_chars") % 2 == 0, "safe").otherwise("unsafe")).alias("label"), of(8, F.col("source"), text(7, None, F.concat(F.lit("ext/"), "source"))).alias("repository"), text(6, "main", F.sha1(F.col("source"))).alias("revision"), F.lit("a/b").alias("path"),
+        text(9, None, F.col("lang")).alias("family"), text(10, "", text(11, "author1", "someone")).alias("reviewer"), F.lit("e").alias("evidence_ref"), F.lit("s").alias("semantic_reason"), of(12, F.lit(None).cast("boolean"), F.lit(False)).alias("safe_by_nonexecution_only"), of(13, F.lit(False), F.lit(True)).alias("executed"),
+    )
+    return cases, docs.where("split = 'train'").select(F.col("text").alias("code"), F.col("source").alias("repository"))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, doc_id % 23 AS k, text, source, lang, n_chars, ('0x' || substr(sha256(doc_id::VARCHAR), 1, 8))::BIGINT % 3 = 0 AS test FROM documents),
+dev AS (SELECT DISTINCT sha256(regexp_replace(text, '\s+', '', 'g')) AS fp FROM d WHERE NOT test),
+c AS (SELECT *, CASE k WHEN 1 THEN NULL WHEN 2 THEN 'same' ELSE 'c' || doc_id END AS id, CASE WHEN k NOT IN (3, 4) AND text <> '' THEN sha256(regexp_replace(text, '\s+', '', 'g')) END AS fp, CASE WHEN k = 5 THEN 'maybe' WHEN n_chars % 2 = 0 THEN 'safe' ELSE 'unsafe' END AS label FROM d WHERE test),
+m AS (SELECT *, min(doc_id) OVER (PARTITION BY id) AS first_id, min(doc_id) OVER (PARTITION BY fp) AS first_fp FROM c),
+r AS (SELECT doc_id, unnest(list_filter([CASE WHEN id IS NULL OR doc_id <> first_id THEN 'missing_or_duplicate_case_id' END, CASE WHEN fp IS NULL THEN 'source_code_missing' END,
+ CASE WHEN fp IS NOT NULL AND fp IN (FROM dev) THEN 'development_code_overlap' END, CASE WHEN fp IS NOT NULL AND doc_id <> first_fp THEN 'repeated_holdout_code' END, CASE WHEN fp IS NOT NULL AND k = 5 THEN 'label_not_adjudicated' END,
+ CASE WHEN fp IS NOT NULL AND k IN (6, 7) THEN 'immutable_external_source_missing' END, CASE WHEN fp IS NOT NULL AND k = 8 AND source IN (SELECT source FROM d WHERE NOT test) THEN 'development_repository_overlap' END, CASE WHEN fp IS NOT NULL AND k = 9 THEN 'source_family_missing' END,
+ CASE WHEN fp IS NOT NULL AND k = 10 THEN 'independent_label_review_missing' END, CASE WHEN fp IS NOT NULL AND k = 11 THEN 'reviewer_is_engine_author' END, CASE WHEN fp IS NOT NULL AND k = 12 THEN 'negative_browser_result_is_not_safe_ground_truth' END,
+ CASE WHEN fp IS NOT NULL AND k = 13 AND label = 'unsafe' THEN 'positive_execution_evidence_missing' END], lambda x: x IS NOT NULL)) AS reason FROM m),
+w AS (SELECT count(*) FILTER (label = 'unsafe') AS u, count(*) FILTER (label = 'safe') AS s, count(DISTINCT CASE k WHEN 7 THEN NULL WHEN 8 THEN source ELSE 'ext/' || source END) AS places, count(DISTINCT CASE WHEN k <> 9 THEN lang END) AS kinds FROM c WHERE fp IS NOT NULL)
+SELECT reason, count(*) AS n FROM r GROUP BY reason UNION ALL SELECT 'insufficient_cases_per_class', 1 FROM w WHERE least(u, s) < 160 UNION ALL SELECT 'insufficient_disjoint_source_repositories', 1 FROM w WHERE places < 5 UNION ALL SELECT 'insufficient_source_families', 1 FROM w WHERE kinds < 10
+UNION ALL SELECT unnest(['development_inventory_incomplete', 'representative_sampling_plan_missing']), 1""")
+def holdout_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many cases each code of the holdout protocol speaks against, and what speaks against the set and its manifest."""
+    cases, development = holdout_cases(spark, sf_dir)
+    return holdout.report(holdout.case_reasons(cases, development, "doc_id", AUTHORS), MANIFEST, per_class=160)

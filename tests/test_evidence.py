@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessella.functions import evidence
-from tessella.operators import audit, metrics, ordering
+from tessella.operators import audit, holdout, metrics, ordering
 from tessella.plans import evidence as plans
 
 
@@ -85,3 +85,28 @@ def test_running_sums(spark):
     rows = [(k, k % 7) for k in range(500)]
     got = ordering.with_running(spark.createDataFrame(rows, "k int, v long").repartition(6), F.col("v"), "k", name="s").collect()
     assert {r["k"]: r["s"] for r in got} == dict(enumerate(np.cumsum([v for _, v in rows]).tolist()))
+
+
+CASE = {"n": 0, "id": "i", "code": "x = 1", "label": "safe", "repository": "ext/a", "revision": "a" * 40, "path": "p", "family": "f", "reviewer": "r", "evidence_ref": "e", "semantic_reason": "s", "safe_by_nonexecution_only": False, "executed": None}
+CASE_SCHEMA = "n int, id string, code string, label string, repository string, revision string, path string, family string, reviewer string, evidence_ref string, semantic_reason string, safe_by_nonexecution_only boolean, executed boolean"
+
+
+def test_holdout_codes_one_by_one(spark):
+    faults = [
+        ({}, []), ({"id": None}, ["missing_or_duplicate_case_id"]), ({"id": "", "code": None}, ["missing_or_duplicate_case_id", "source_code_missing"]), ({"code": "", "label": "none"}, ["source_code_missing"]), ({"code": "d e\nv"}, ["development_code_overlap"]),
+        ({"code": "x\t=  0;"}, ["repeated_holdout_code"]), ({"label": None}, ["label_not_adjudicated"]), ({"revision": "a" * 39}, ["immutable_external_source_missing"]), ({"path": None}, ["immutable_external_source_missing"]), ({"repository": None}, ["immutable_external_source_missing"]),
+        ({"repository": "dev/repo"}, ["development_repository_overlap"]), ({"family": ""}, ["source_family_missing"]), ({"evidence_ref": None}, ["independent_label_review_missing"]), ({"reviewer": "me"}, ["reviewer_is_engine_author"]),
+        ({"safe_by_nonexecution_only": True}, ["negative_browser_result_is_not_safe_ground_truth"]), ({"safe_by_nonexecution_only": None}, ["negative_browser_result_is_not_safe_ground_truth"]), ({"label": "unsafe"}, ["positive_execution_evidence_missing"]), ({"label": "unsafe", "executed": True}, []), ({"id": "i0"}, ["missing_or_duplicate_case_id"]),
+    ]
+    rows = [CASE | {"n": k, "id": f"i{k}", "code": f"x = {k};"} | f for k, (f, _) in enumerate(faults)]
+    cases = spark.createDataFrame([tuple(r.values()) for r in rows], CASE_SCHEMA).repartition(3)
+    development = spark.createDataFrame([("dev", "dev/repo"), (None, None)], "code string, repository string")
+    judged = holdout.case_reasons(cases, development, "n", ("me",))
+    got = {r["n"]: r["reasons"] for r in judged.collect()}
+    assert [got[k] for k in range(len(faults))] == [want for _, want in faults]
+    good = {"evaluation_kind": "external_holdout", "exposure_status": "unseen", "frozen_before_engine_changes": True, "development_inventory_complete": True, "sampling_plan_ref": "plan"}
+    whole = lambda m, **k: {r["reason"] for r in holdout.report(judged, m, **k).collect()} - {x for _, want in faults for x in want}
+    assert whole(good, per_class=2, repositories=2, families=1) == set()
+    assert whole({"frozen_before_engine_changes": 1}) == {*holdout.DECLARED, "representative_sampling_plan_missing", "insufficient_cases_per_class", "insufficient_disjoint_source_repositories", "insufficient_source_families"}
+    empty = holdout.case_reasons(cases.limit(0), development, "n")
+    assert {r["reason"] for r in holdout.report(empty, good).collect()} == {"insufficient_cases_per_class", "insufficient_disjoint_source_repositories", "insufficient_source_families"}
