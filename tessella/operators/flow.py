@@ -103,5 +103,6 @@ def reached(edges: DataFrame, key: str, sources: DataFrame, sinks: DataFrame) ->
     leaves out what was reached before, so cycles end; steps go on until a step reaches nothing new.
     """
     pair = lambda name: F.struct(F.col(key).alias("k"), F.col(name).alias("name"))
-    found = bfs(edges.select(pair("src").alias("src"), pair("dst").alias("dst")), sources.select(pair("name").alias("node")), None)
+    steps = stored(edges.select(pair("src").alias("src"), pair("dst").alias("dst")), "edges")
+    found = bfs(steps, sources.select(pair("name").alias("node")), None)
     return found.join(sinks.select(pair("name").alias("node")).distinct(), "node").select(F.col("node.k").alias(key), F.col("node.name").alias("sink"), "depth")

@@ -87,7 +87,7 @@ def centroid_model(df: DataFrame, key: str, text: str, label: str, most: int, sh
     labels = df.groupBy(label).agg(F.count("*").alias("n")).withColumnRenamed(label, "label")
     all_rows = df.count()
     w = features(df, key, text, vocab, most).join(df.select(key, F.col(label).alias("label")), key)
-    sums = w.groupBy("term", "label").agg(F.sum("w").alias("s"))
+    sums = stored(w.groupBy("term", "label").agg(F.sum("w").alias("s")), "sums")
     total = sums.groupBy("term").agg((F.sum("s") / all_rows).alias("mean"))
     grid = total.join(F.broadcast(labels), how="cross").join(sums, ["term", "label"], "left")  # a row per term and label
     weights = grid.select("term", "label", (sharpness * (F.coalesce("s", F.lit(0.0)) / F.col("n") - F.col("mean"))).alias("weight")).join(vocab, "term")
