@@ -96,3 +96,22 @@ def annotated(lines: DataFrame, key: str, at: str, line: str) -> DataFrame:
     following = F.last(F.when(F.btrim(F.col(line), F.lit(" \t\r\n\f")) != "", F.col(at)), ignorenulls=True).over(w)
     found = lines.withColumn("target", following).where(F.col(line).rlike(ANNOTATION) & F.col("target").isNotNull())
     return found.select(key, at, F.lower(F.regexp_extract(line, ANNOTATION, 1)).alias("rule"), F.when(F.col(line).rlike(MEANS_SAFE), "SAFE").otherwise("UNSAFE").alias("label"), "target")
+
+
+def pinned(rows: DataFrame, pins: DataFrame, order: str) -> DataFrame:
+    """``rows`` with ``reason``: unpinned, wrong_revision, wrong_license, duplicate_identity or ok.
+
+    Rows have repository, revision, path and license; ``pins`` has one row (repository, revision, license) for each
+    repository, and two are refused. An identity is (repository, revision, path); of rows alike in it the first by ``order`` stands.
+    """
+    if twice := [r["repository"] for r in pins.groupBy("repository").count().where("count > 1").limit(5).collect()]:
+        raise ValueError(f"pinned more than once, among them {twice}")
+    identity = ["repository", "revision", "path"]
+    first = rows.groupBy(*[F.col(c).alias(f"_of_{c}") for c in identity]).agg(F.min(order).alias("_first"))
+    known = pins.select("repository", F.col("revision").alias("_revision"), F.col("license").alias("_license"), F.lit(True).alias("_pinned"))
+    held = rows.join(first, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in identity]).join(known, "repository", "left")
+    reason = (
+        F.when(F.col("_pinned").isNull(), "unpinned").when(~F.col("revision").eqNullSafe(F.col("_revision")), "wrong_revision").when(~F.col("license").eqNullSafe(F.col("_license")), "wrong_license")
+        .when(F.col(order) != F.col("_first"), "duplicate_identity").otherwise("ok")
+    )
+    return held.select(*rows.columns, reason.alias("reason"))

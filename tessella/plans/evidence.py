@@ -125,3 +125,15 @@ def holdout_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many cases each code of the holdout protocol speaks against, and what speaks against the set and its manifest."""
     cases, development = holdout_cases(spark, sf_dir)
     return holdout.report(holdout.case_reasons(cases, development, "doc_id", AUTHORS), MANIFEST, per_class=160)
+
+
+@query("""
+WITH r AS (SELECT doc_id, source AS repository, CASE WHEN doc_id % 7 = 0 THEN 'r2' ELSE 'r1' END AS revision, n_chars % 50 AS path, CASE WHEN lang = 'es' THEN 'other' ELSE 'MIT' END AS license FROM documents),
+f AS (SELECT *, min(doc_id) OVER (PARTITION BY repository, revision, path) AS first FROM r)
+SELECT doc_id, CASE WHEN repository LIKE '%9' THEN 'unpinned' WHEN revision <> 'r1' THEN 'wrong_revision' WHEN license <> 'MIT' THEN 'wrong_license' WHEN doc_id <> first THEN 'duplicate_identity' ELSE 'ok' END AS reason FROM f""")
+def pinned_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of repositories, held against one pinned revision and licence for each repository."""
+    docs = load(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", F.col("source").alias("repository"), F.when(F.col("doc_id") % 7 == 0, "r2").otherwise("r1").alias("revision"), (F.col("n_chars") % 50).alias("path"), F.when(F.col("lang") == "es", "other").otherwise("MIT").alias("license"))
+    pins = docs.where("source not like '%9'").select(F.col("source").alias("repository"), F.lit("r1").alias("revision"), F.lit("MIT").alias("license")).distinct()
+    return audit.pinned(rows, pins, "doc_id").select("doc_id", "reason")

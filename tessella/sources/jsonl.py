@@ -11,6 +11,18 @@ class LockedSourceError(PermissionError):
     """A locked split was to be read, or a forbidden path to be used."""
 
 
+def training_input(path: str, allowed: tuple[str, ...] = ("data/training",), denied: tuple[str, ...] = ("frozen", "evaluation", "reports")) -> str:
+    """``path`` itself, if it lies under an allowed folder and in no denied one; anything else is refused.
+
+    Folders are whole segments; a path that steps up is refused, since where it leads cannot be told from its text.
+    """
+    parts = [p for p in path.split("://", 1)[-1].split("/") if p not in ("", ".")]
+    inside = any(parts[i : i + len(a)] == a for a in (x.split("/") for x in allowed) for i in range(len(parts) - len(a)))
+    if ".." in parts or not inside or any(p in denied for p in parts):
+        raise LockedSourceError(f"no training input: {path}")
+    return path
+
+
 def read(spark: SparkSession, path: str, schema: StructType, defaults: dict | None = None, limit: int | None = None) -> DataFrame:
     """Rows of one or more files (a glob will do), with their file; blank lines are skipped.
 

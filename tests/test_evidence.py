@@ -2,11 +2,13 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import evidence
 from tessella.operators import audit, holdout, metrics, ordering
 from tessella.plans import evidence as plans
+from tessella.sources import jsonl
 
 
 def test_evidence_of_every_combination(spark):
@@ -110,3 +112,20 @@ def test_holdout_codes_one_by_one(spark):
     assert whole({"frozen_before_engine_changes": 1}) == {*holdout.DECLARED, "representative_sampling_plan_missing", "insufficient_cases_per_class", "insufficient_disjoint_source_repositories", "insufficient_source_families"}
     empty = holdout.case_reasons(cases.limit(0), development, "n")
     assert {r["reason"] for r in holdout.report(empty, good).collect()} == {"insufficient_cases_per_class", "insufficient_disjoint_source_repositories", "insufficient_source_families"}
+
+
+def test_pins_and_identities(spark):
+    rows = [(0, "a", "r1", "p", "MIT"), (1, "a", "r1", "p", "MIT"), (2, "a", "r2", "p", "MIT"), (3, "a", "r1", "q", None), (4, "b", "r1", "p", "MIT"), (5, None, None, None, None), (6, "a", None, "p", "MIT")]
+    df, pins = spark.createDataFrame(rows, "n int, repository string, revision string, path string, license string"), spark.createDataFrame([("a", "r1", "MIT")], "repository string, revision string, license string")
+    got = {r["n"]: r["reason"] for r in audit.pinned(df, pins, "n").collect()}
+    assert got == {0: "ok", 1: "duplicate_identity", 2: "wrong_revision", 3: "wrong_license", 4: "unpinned", 5: "unpinned", 6: "wrong_revision"}
+    with pytest.raises(ValueError):
+        audit.pinned(df, pins.union(pins), "n")
+
+
+def test_only_training_folders_may_be_read_for_training():
+    for path in ("data/training/x.jsonl", "/srv/data/training/a/b.jsonl", "s3://bucket/data/training/x"):
+        assert jsonl.training_input(path) == path
+    for path in ("data/training", "data/training2/x", "data/training/frozen/x", "data/evaluation/x", "data/training/../frozen/x", "reports/data/training/x", "x.jsonl"):
+        with pytest.raises(jsonl.LockedSourceError):
+            jsonl.training_input(path)
