@@ -51,6 +51,18 @@ def line_hash(line: Column) -> Column:
     return F.when(F.length(line) >= SHORT_CHARS, h.bitwiseOR(F.lit(-(1 << 63)))).otherwise(h.bitwiseAND(F.lit((1 << 63) - 1)))
 
 
+def _byte(value: int) -> Column:
+    return F.lit(value).cast("byte")
+
+
+def _chosen() -> Column:
+    """Where the smallest hash of each run in columns h and n is; ``two`` holds where the smaller of a line's hash and the next one's is."""
+    at = lambda i: F.get("two", i)
+    four = lambda i: F.when(F.get("h", at(i)) <= F.get("h", at(i + 2)), at(i)).otherwise(at(i + 2))
+    least = F.transform("n", lambda n, i: F.when(n == _byte(2), at(i)).when(n == _byte(WINDOW), four(i)).otherwise(-1))
+    return F.array_remove(F.array_distinct(least), -1)
+
+
 def _lined(docs: DataFrame) -> DataFrame:
     """Stored rows (uid, doc_id, hash, h, n, chosen): line hashes, the lines of the run that starts at each, fingerprint positions.
 
@@ -59,12 +71,10 @@ def _lined(docs: DataFrame) -> DataFrame:
     """
     own = docs.select("doc_id", "hash", once(F.transform(lines_of(F.col("text")), lambda x: F.btrim(x, F.lit(TRIMMED))), "t"))
     own = own.where(F.size("t") > 1).select("doc_id", "hash", F.transform("t", line_hash).alias("h"), F.transform("t", lambda x: F.length(x)).alias("c"))
-    two = lambda i: F.get("c", i) + F.get("c", i + 1)  # noqa: E731  null beyond the last line
-    runs = F.transform(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.when(two(i) >= RUN_CHARS, 2).when(i + WINDOW <= F.size("h"), WINDOW).otherwise(0).cast("byte"))
-    own = own.select("doc_id", "hash", "h", once(runs, "n"), once(F.arrays_zip("h", F.sequence(F.lit(0), F.size("h") - 1).alias("at")), "placed"))
-    least = lambda i: F.when(F.get("n", i) > 0, F.array_min(F.slice("placed", i + 1, F.get("n", i).cast("int")))["at"])
-    chosen = F.array_compact(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("h") - 1), least)))
-    own = own.select("doc_id", "hash", "h", "n", chosen.alias("chosen")).where(F.size("chosen") > 0)
+    runs = F.transform("c", lambda c, i: F.when(c + F.get("c", i + 1) >= RUN_CHARS, _byte(2)).when(i <= F.size("c") - WINDOW, _byte(WINDOW)).otherwise(_byte(0)))
+    smaller = F.transform("h", lambda h, i: F.when(h <= F.get("h", i + 1), i).otherwise(i + 1))
+    own = own.select("doc_id", "hash", "h", once(runs, "n"), once(smaller, "two"))
+    own = own.select("doc_id", "hash", "h", "n", once(_chosen(), "chosen")).where(F.size("chosen") > 0)  # once: the condition would compute it anew
     if docs.agg(F.count("*") == F.count_distinct("doc_id")).first()[0]:
         return stored(own.select(F.col("doc_id").alias("uid"), "doc_id", "hash", "h", "n", "chosen"), "line-hashes")
     own = stored(own.dropDuplicates(["doc_id", "hash"]), "line-hashes")
@@ -88,10 +98,12 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     met = stored(seeds.join(repeated, "seed").groupBy("uid").agg(F.collect_list("at").alias("seeds")), "seed-positions")
     around = lambda p: F.filter(F.sequence(F.greatest(p - WINDOW + 1, F.lit(0)), p), lambda s: s + F.get("n", s) > p)
     starts = F.array_distinct(F.flatten(F.transform("seeds", around)))
-    run = lambda i: F.slice("h", i + 1, F.get("n", i).cast("int"))
-    each = lambda i: F.struct(F.xxhash64(run(i)).alias("run"), F.hash(run(i)).alias("check"), i.alias("at"), F.get("n", i).alias("n"))
+    run = lambda i: [F.get("h", i + k) if k < 2 else F.when(F.get("n", i) == _byte(WINDOW), F.get("h", i + k)) for k in range(WINDOW)]
+    each = lambda i: F.struct(F.xxhash64(*run(i)).alias("run"), F.hash(*run(i)).alias("check"), i.alias("at"), F.get("n", i).alias("n"))
     near = stored(lined.select("uid", "h", "n").join(met, "uid").select("uid", F.inline(F.transform(starts, each))), "line-runs")
-    place = F.col("uid").cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("at")
+    number = F.col("uid").cast("decimal(19,0)")
+    narrow = lined.agg(F.coalesce(F.bool_and(number.between(-(1 << 32), (1 << 32) - 1)), F.lit(True))).first()[0]  # a place is then a long, otherwise a decimal
+    place = F.col("uid").cast("long") * F.lit(1 << 31) + F.col("at") if narrow else number * F.lit(1 << 31).cast("decimal(10,0)") + F.col("at")
     # a table of its own: a join of two plain shuffles is one that Spark can split where a run is hot
     earliest = stored(near.groupBy("run", "check").agg(F.min(place).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k"), "first-runs")
     later = near.join(earliest, ["run", "check"]).where(place > F.col("first")).groupBy("uid").agg(F.collect_list(F.struct("at", "n")).alias("runs"))

@@ -80,6 +80,27 @@ def test_line_dedup_uses_no_python(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+@pytest.mark.parametrize("first", [-(1 << 32) - 2, -(1 << 32), (1 << 32) - 60, (1 << 32) - 58])
+def test_line_dedup_ids_at_the_end_of_narrow_places(spark, first):
+    docs = [(first + i, t) for i, t in enumerate(made_texts(60, 6))]
+    df = spark.createDataFrame([(k, t, "x", "y", len(t)) for k, t in docs], SCHEMA).repartition(3)
+    assert {r["doc_id"]: r["text"] for r in line_dedup.clean_documents(df).collect()} == brute_lines(docs)
+
+
+def test_line_dedup_computes_fingerprints_once(spark, monkeypatch):
+    plans, stored = {}, line_dedup.stored
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return stored(df, name)
+
+    monkeypatch.setattr(line_dedup, "stored", kept)
+    docs = [(i, t, "x", "y", len(t)) for i, t in enumerate(made_texts(20, 5))]
+    line_dedup.drop_repeated_runs(spark.createDataFrame(docs, SCHEMA))
+    assert plans["line-hashes"].count("array_distinct(") == 1
+    assert "decimal" not in plans["first-runs"] and "slice(" not in plans["line-runs"]
+
+
 INSULTS = ["blorgface", "zankhead", "wuggle"]
 
 
